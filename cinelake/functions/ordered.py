@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK = 1 << 16
-_BLK = "__block"
+_BLK = "__ordered_block"
 
 
 def with_block(df: DataFrame, ordinal: str, block: int = BLOCK) -> DataFrame:

@@ -1,0 +1,8 @@
+"""DataFrame operators. Task-side helpers are pickled by value, so executors need no installed copy of the package."""
+
+from pyspark import cloudpickle
+
+from cinelake.operators import audio, containers
+
+for _module in (audio, containers):
+    cloudpickle.register_pickle_by_value(_module)
