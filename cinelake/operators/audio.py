@@ -150,7 +150,7 @@ def frame_hashes_by_chunk(chunks: DataFrame, cap: int | None, keys: Sequence[str
     def digest(i: Column) -> Column:
         piece = B.slice_bytes(payload, i * step * block, step * block)
         return B.let(piece, lambda p: F.struct(
-            i.alias("i"), F.octet_length(p).cast("long").alias("size"), F.md5(p).alias("hash"), ~F.hex(p).rlike("[^0]").alias("silent")))
+            i.alias("i"), F.octet_length(p).cast("long").alias("size"), F.md5(p).alias("hash"), (~F.hex(p).rlike("[^0]")).alias("silent")))
 
     pieces = F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), rational.ceil_div(count, step) - 1), digest))
     hashed = chunks.select(*keys, "chunk_no", count.alias("__d"), step.alias("__step"), block.cast("long").alias("__block"), pieces.alias("__p"))
