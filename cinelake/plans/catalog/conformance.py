@@ -1 +1,326 @@
-"""Placeholder."""
+"""Conformance queries: labels are the oracle's verdict on documents, text rules stand for ours, conversations for manifests."""
+
+from pyspark.sql import functions as F
+
+from cinelake.operators import conformance as Q
+from cinelake.plans.catalog.common import documents, pick, sql_list
+from cinelake.plans.registry import query, table
+
+_NAMES = [a[2] for a in Q.AREAS] + ["decode/hash ogg other", "probe", "unrelated"]
+_KINDS = ["probe-json", "framemd5", "filter", "seek", "resample", "remux"]
+
+RES = f"""res AS (SELECT doc_id AS ord, lang, source || '/' || lang || '/f' || doc_id AS name, ({sql_list(_NAMES)})[doc_id % {len(_NAMES)} + 1] || ' ' || doc_id AS test_name,
+    ({sql_list(_KINDS)})[n_chars % 6 + 1] AS kind, orc, our, CASE WHEN n_chars % 13 = 0 THEN 'error' WHEN n_chars % 17 = 0 THEN 'skipped' WHEN (orc = 0) <> coalesce(our = 0, false) THEN 'failed' WHEN n_chars % 5 = 0 THEN 'failed' ELSE 'passed' END AS status,
+    substr(text, 1, 60) AS details FROM (SELECT d.*, CASE WHEN l.quality = 0 THEN 1 ELSE 0 END AS orc, CASE WHEN n_chars % 7 = 0 THEN 1 WHEN n_chars % 11 = 0 THEN NULL ELSE 0 END AS our FROM documents d LEFT JOIN labels l USING (doc_id)))"""
+
+
+def results(spark, sf):
+    d = documents(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    n = F.col("n_chars")
+    orc = F.when(F.col("quality") == 0, 1).otherwise(0)
+    our = F.when(n % 7 == 0, 1).when(n % 11 == 0, None).otherwise(0)
+    d = d.withColumn("oracle_returncode", orc).withColumn("our_returncode", our)
+    ok = F.coalesce(F.col("our_returncode") == 0, F.lit(False))
+    status = F.when(n % 13 == 0, "error").when(n % 17 == 0, "skipped").when((F.col("oracle_returncode") == 0) != ok, "failed").when(n % 5 == 0, "failed").otherwise("passed")
+    return d.select(
+        F.col("doc_id").alias("ord"), "lang", F.concat("source", F.lit("/"), "lang", F.lit("/f"), F.col("doc_id").cast("string")).alias("name"),
+        F.concat(pick(_NAMES, F.col("doc_id")), F.lit(" "), F.col("doc_id").cast("string")).alias("test_name"), pick(_KINDS, n).alias("kind"),
+        "oracle_returncode", "our_returncode", status.alias("status"), F.substring("text", 1, 60).alias("details"))
+
+
+# ---- documents --------------------------------------------------------------------------------------------------
+
+_FORMATS = ["mov,mp4,m4a", "wav", "matroska,webm", "", "ogg", "mp3,wav"]
+_CODECS = ["aac", "pcm_s16le", "h264", "pcm_u8", "vorbis"]
+WORDS = "w AS (SELECT doc_id, i, length(word) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')[1:8]) AS word, unnest(range(least(8, len(string_split(text, ' '))))) AS i FROM documents))"
+
+
+def word_lengths():
+    return F.transform(F.slice(F.split("text", " "), 1, 8), lambda w: F.length(w).cast("long"))
+
+
+def oracle_docs(spark, sf):
+    types = ["audio", "video", "subtitle", "data"]
+
+    def stream(n):
+        return F.struct(
+            pick(types, n).alias("codec_type"), F.when(n % 7 != 0, pick(_CODECS, n)).alias("codec_name"), F.when(n % 6 != 0, (n * 1000).cast("string")).alias("sample_rate"),
+            (n % 3).alias("channels"), F.when(n % 2 == 0, n % 8 * 2).alias("bits_per_sample"), F.when(n % 3 == 0, (n * 2).cast("string")).alias("bits_per_raw_sample"),
+            (n * 16).alias("width"), (n * 9).alias("height"), F.when(n % 5 != 0, (n * 0.25).cast("string")).alias("duration"))
+
+    d = documents(spark, sf)
+    return d.select("doc_id", F.struct(pick(_FORMATS, F.col("doc_id")).alias("format_name"), F.transform(word_lengths(), stream).alias("streams")).alias("doc"))
+
+
+_CANON = "CASE WHEN list_contains(string_split(f, ','), 'wav') THEN 'wav' WHEN list_contains(string_split(f, ','), 'mp3') THEN 'mp3' WHEN list_contains(string_split(f, ','), 'ogg') THEN 'ogg' WHEN list_has_any(string_split(f, ','), ['mov', 'mp4']) THEN 'mp4' WHEN f = '' THEN 'unknown' ELSE string_split(f, ',')[1] END"
+
+
+@query("normalise_oracle_q1", f"""WITH {WORDS}, s AS (SELECT *, CASE WHEN n % 7 <> 0 THEN ({sql_list(_CODECS)})[n % 5 + 1] ELSE 'unknown' END AS codec FROM w WHERE n % 4 < 2)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS pos, i::INTEGER AS index, CASE WHEN n % 4 = 0 THEN 'audio' ELSE 'video' END AS codec_type, codec AS codec_name,
+    CASE WHEN n % 4 = 0 THEN CASE WHEN n % 6 <> 0 THEN n * 1000 ELSE 0 END END AS sample_rate, CASE WHEN n % 4 = 0 THEN n % 3 END AS channels,
+    CASE WHEN n % 4 = 0 THEN coalesce(CASE WHEN n % 2 = 0 THEN nullif(n % 8 * 2, 0) END, CASE WHEN n % 3 = 0 THEN nullif(n * 2, 0) END, CASE codec WHEN 'pcm_s16le' THEN 16 WHEN 'pcm_u8' THEN 8 END, 0)::BIGINT END AS bits_per_sample,
+    CASE WHEN n % 4 = 1 THEN n * 16 END AS width, CASE WHEN n % 4 = 1 THEN n * 9 END AS height, round(CASE WHEN n % 5 <> 0 THEN n * 0.25::DOUBLE ELSE 0.0 END, 6) AS duration_seconds FROM s""")
+def _(spark, sf):
+    d = Q.normalise_oracle(oracle_docs(spark, sf))
+    return d.select("doc_id", F.posexplode("expected.streams").alias("pos", "s")).select("doc_id", "pos", "s.*")
+
+
+@query("canonical_format_q2", f"WITH t AS (SELECT doc_id, ({sql_list(_FORMATS)})[doc_id % 6 + 1] AS f FROM documents) SELECT doc_id, {_CANON} AS format FROM t")
+def _(spark, sf):
+    return Q.normalise_oracle(oracle_docs(spark, sf)).select("doc_id", "expected.format")
+
+
+@query("fallback_bits_q3", f"""SELECT p_partkey, coalesce(nullif(p_size % 3 * 8, 0), nullif(length(p_name) % 2 * 24, 0), CASE ({sql_list(_CODECS)})[p_partkey % 5 + 1] WHEN 'pcm_s16le' THEN 16 WHEN 'pcm_u8' THEN 8 END, 0)::INTEGER AS bits FROM part""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", Q.fallback_bits(F.col("p_size") % 3 * 8, F.length("p_name") % 2 * 24, pick(_CODECS, F.col("p_partkey"))).alias("bits"))
+
+
+def probe_pairs(spark, sf):
+    """Two documents per row: streams from the first words, the second one with planted differences."""
+    def base(n):
+        return dict(codec_type=F.when(n % 2 == 0, "audio").otherwise("video"), codec_name=pick(["aac", "pcm_s16le", "h264"], n), sample_rate=n * 1000, channels=n % 3,
+                    bits_per_sample=n % 2 * 8, width=n * 16, height=n * 9, duration_seconds=n * 0.25)
+
+    def planted(n):
+        s = base(n)
+        s["codec_type"] = F.when(n == 9, "audio").otherwise(s["codec_type"])
+        s["codec_name"] = F.when(n == 6, "mp3").otherwise(s["codec_name"])
+        s["sample_rate"] = s["sample_rate"] + F.when(n == 4, 1).otherwise(0)
+        s["duration_seconds"] = s["duration_seconds"] + F.get(F.array(*[F.lit(x) for x in (0.02, 0.0005, 0.5, 0.0)]), (n % 4).cast("int"))
+        return s
+
+    struct = lambda f: lambda n: F.struct(*[c.alias(k) for k, c in f(n).items()])
+    d = documents(spark, sf)
+    words = word_lengths()
+    fewer = F.slice(words, 1, F.when(F.col("doc_id") % 3 == 0, 3).otherwise(8))
+    e = d.select("doc_id", F.struct(pick(_FORMATS, F.col("doc_id")).alias("format"), F.transform(words, struct(base)).alias("streams")).alias("doc"))
+    a = d.select("doc_id", F.struct(pick(_FORMATS, F.col("doc_id") + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)).alias("format"), F.transform(fewer, struct(planted)).alias("streams")).alias("doc"))
+    return Q.normalise_actual(e, out="expected").drop("doc").join(Q.normalise_actual(a).drop("doc"), "doc_id")
+
+
+def _diff_sql():
+    def note(f, want, got, cond):
+        return f"CASE WHEN {cond} THEN 'stream ' || i || '.{f}: expected ' || coalesce(({want})::VARCHAR, 'None') || ', got ' || coalesce(({got})::VARCHAR, 'None') END"
+
+    fields = [
+        note("codec_type", "et", "at", "et <> at"), note("codec_name", "ec", "ac", "ec <> ac"),
+        *[note(f, e, f"CASE WHEN at = 'audio' THEN {a} END", f"et = 'audio' AND (at <> 'audio' OR {e} <> {a})") for f, e, a in (("sample_rate", "n * 1000", "n * 1000 + (n = 4)::INT"), ("channels", "n % 3", "n % 3"), ("bits_per_sample", "n % 2 * 8", "n % 2 * 8"))],
+        *[note(f, e, f"CASE WHEN at = 'video' THEN {e} END", "et = 'video' AND at <> 'video'") for f, e in (("width", "n * 16"), ("height", "n * 9"))],
+        note("duration_seconds", "round(n * 0.25::DOUBLE, 6)", "round(n * 0.25::DOUBLE + dd, 6)", "abs(round(n * 0.25::DOUBLE, 6) - round(n * 0.25::DOUBLE + dd, 6)) > CASE WHEN et = 'audio' AND ec IN ('aac', 'mp3') THEN 0.05::DOUBLE ELSE 0.001::DOUBLE END"),
+    ]
+    return f"""WITH {WORDS}, c AS (SELECT doc_id, count(*) AS ne, CASE WHEN doc_id % 3 = 0 THEN least(3, count(*)) ELSE count(*) END AS na FROM w GROUP BY doc_id),
+      f AS (SELECT doc_id, {_CANON.replace('(f,', '(f1,').replace('f = ', 'f1 = ')} AS fe, {_CANON.replace('(f,', '(f2,').replace('f = ', 'f2 = ')} AS fa FROM (SELECT doc_id, ({sql_list(_FORMATS)})[doc_id % 6 + 1] AS f1, ({sql_list(_FORMATS)})[(doc_id + (doc_id % 10 = 0)::INT) % 6 + 1] AS f2 FROM documents)),
+      s AS (SELECT w.*, CASE WHEN n % 2 = 0 THEN 'audio' ELSE 'video' END AS et, CASE WHEN n = 9 OR n % 2 = 0 THEN 'audio' ELSE 'video' END AS at, ['aac', 'pcm_s16le', 'h264'][n % 3 + 1] AS ec, CASE WHEN n = 6 THEN 'mp3' ELSE ['aac', 'pcm_s16le', 'h264'][n % 3 + 1] END AS ac, [0.02::DOUBLE, 0.0005::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE][n % 4 + 1] AS dd FROM w JOIN c USING (doc_id) WHERE i < na),
+      n AS (SELECT doc_id, -2 AS i, 0 AS k, CASE WHEN fe <> fa THEN 'format: expected ' || fe || ', got ' || fa END AS t FROM f UNION ALL SELECT doc_id, -1, 0, CASE WHEN ne <> na THEN 'stream count: expected ' || ne || ', got ' || na END FROM c
+        {' '.join(f'UNION ALL SELECT doc_id, i, {k}, {x} FROM s' for k, x in enumerate(fields))})
+      SELECT d.doc_id, coalesce(t, '') AS details FROM documents d LEFT JOIN (SELECT doc_id, string_agg(t, '; ' ORDER BY i, k) AS t FROM n WHERE t IS NOT NULL GROUP BY doc_id) USING (doc_id)""".replace(" AS at,", " AS aty,").replace("CASE WHEN at =", "CASE WHEN aty =").replace("et <> at ", "et <> aty ").replace("(at)", "(aty)").replace("(at <>", "(aty <>").replace("AND at <>", "AND aty <>")
+
+
+@query("diff_probe_q4", _diff_sql())
+def _(spark, sf):
+    return Q.diff_probe(probe_pairs(spark, sf)).select("doc_id", F.array_join("differences", "; ").alias("details"))
+
+
+@query("within_tolerance_q5", """WITH a AS (SELECT l_orderkey, sum(l_extendedprice) AS actual FROM lineitem GROUP BY 1)
+  SELECT o_orderkey, coalesce(abs(round(o_totalprice / 10000) - round(actual / 10000)) <= CASE o_orderpriority WHEN '1-URGENT' THEN 8.0 WHEN '2-HIGH' THEN 4.0 ELSE 2.0 END, false) AS matches FROM orders LEFT JOIN a ON l_orderkey = o_orderkey""")
+def _(spark, sf):
+    e = table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 10000).alias("expected"), F.col("o_orderpriority").alias("codec_name"))
+    a = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("s")).select("o_orderkey", F.round(F.col("s") / 10000).alias("actual"))
+    tolerances = spark.createDataFrame([("1-URGENT", 8.0), ("2-HIGH", 4.0)], "codec_name string, tolerance double")
+    return Q.within_tolerance(e, a, tolerances, ["o_orderkey"], default=2.0).select("o_orderkey", "matches")
+
+
+@query("diff_manifest_q6", """WITH e AS (SELECT conv_id, turn, md5(text) AS h, length(text) AS n FROM conversations), a AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 2 AND turn >= 2 THEN md5('x' || h) ELSE h END AS h, n FROM e WHERE NOT (conv_id % 4 = 1 AND turn >= 3)),
+  j AS (SELECT coalesce(e.conv_id, a.conv_id) AS path, coalesce(e.turn, a.turn) AS f, e.h AS eh, a.h AS ah, e.n AS en, a.n AS an FROM e FULL JOIN a ON e.conv_id = a.conv_id AND e.turn = a.turn),
+  g AS (SELECT path, count(eh) AS ne, count(ah) AS na, min(f) FILTER (eh IS DISTINCT FROM ah) AS fst FROM j GROUP BY path)
+  SELECT g.path, CASE WHEN fst IS NULL THEN 'passed' ELSE 'failed' END AS status, CASE WHEN fst IS NULL THEN '' WHEN ne <> na THEN 'frame count differs: expected ' || ne || ', got ' || na ELSE
+    'frame ' || fst || ' differs: expected {''stream_index'': 0, ''dts'': ' || fst || ', ''pts'': ' || fst || ', ''duration'': 1, ''size'': ' || en || ', ''hash'': ''' || eh || '''}, got {''stream_index'': 0, ''dts'': ' || fst || ', ''pts'': ' || fst || ', ''duration'': 1, ''size'': ' || an || ', ''hash'': ''' || ah || '''}' END AS details
+  FROM g LEFT JOIN j ON j.path = g.path AND j.f = g.fst""")
+def _(spark, sf):
+    c = table(spark, sf, "conversations")
+    e = c.select(F.col("conv_id").alias("path"), F.col("turn").alias("frame_no"), F.lit(0).alias("stream_index"), F.col("turn").alias("dts"), F.col("turn").alias("pts"), F.lit(1).alias("duration"), F.length("text").alias("size"), F.md5(F.encode("text", "utf-8")).alias("hash"))
+    p, n = F.col("path") % 4, F.col("frame_no")
+    a = e.where(~((p == 1) & (n >= 3))).withColumn("hash", F.when((p == 2) & (n >= 2), F.md5(F.encode(F.concat(F.lit("x"), "hash"), "utf-8"))).otherwise(F.col("hash")))
+    return Q.diff_manifest(e, a)
+
+
+@query("diff_blob_q7", """WITH t AS (SELECT doc_id, strlen(text) AS n, md5(text) AS h, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN strlen(text) + 1 ELSE strlen(text) END AS gn, CASE WHEN doc_id % 7 = 0 THEN md5(lang) ELSE md5(text) END AS gh FROM documents)
+  SELECT doc_id, CASE WHEN n = gn AND h = gh THEN 'passed' ELSE 'failed' END AS status, CASE WHEN n = gn AND h = gh THEN '' ELSE 'binary output differs: expected ' || coalesce(gn::VARCHAR, 'None') || ' bytes/' || gh || ', got ' || n || ' bytes/' || h END AS details FROM t""")
+def _(spark, sf):
+    d = documents(spark, sf)
+    n = F.octet_length("text").cast("long")
+    d = d.select("doc_id", F.encode("text", "utf-8").alias("content"), F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 3 == 0, n + 1).otherwise(n).alias("size"),
+                 F.when(F.col("doc_id") % 7 == 0, F.md5(F.encode("lang", "utf-8"))).otherwise(F.md5(F.encode("text", "utf-8"))).alias("hash"))
+    return Q.diff_blob(d).select("doc_id", "status", "details")
+
+
+@query("attach_golden_s9", """SELECT d.doc_id, quality, CASE WHEN l.doc_id IS NULL THEN 'error' END AS status, CASE WHEN l.doc_id IS NULL THEN 'missing reference ' || d.doc_id END AS details FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def _(spark, sf):
+    golden = table(spark, sf, "labels").select("doc_id", "quality")
+    return Q.attach_golden(documents(spark, sf).select("doc_id"), golden, keys=["doc_id"])
+
+
+TRIM = lambda e: f"substr(trim(regexp_replace({e}, '[\\s\\pZ\\x1c-\\x1f\\x{{85}}]+', ' ', 'g')), 1, 500)"
+
+
+@query("decide_q8", f"""WITH t AS (SELECT doc_id, text, doc_id % 19 = 0 AS t, doc_id % 23 = 0 AS x, doc_id % 29 = 0 AS p, CASE WHEN n_chars % 4 = 0 THEN 1 ELSE 0 END AS o, CASE WHEN n_chars % 6 = 0 THEN 1 ELSE 0 END AS u, CASE WHEN doc_id % 2 = 0 THEN 'format: expected a, got  b' ELSE '' END AS d FROM documents)
+  SELECT doc_id, CASE WHEN t OR x OR p THEN 'error' WHEN o <> 0 AND u <> 0 THEN 'passed' WHEN o <> 0 OR u <> 0 THEN 'failed' WHEN d = '' THEN 'passed' ELSE 'failed' END AS status,
+   {TRIM("CASE WHEN t THEN 'probe command timed out' WHEN x THEN 'boom' WHEN p THEN 'probe panicked: ' || text WHEN o <> 0 AND u <> 0 THEN 'both oracle and probe rejected input' WHEN o <> 0 THEN 'oracle rejected input but probe accepted it' WHEN u <> 0 THEN 'oracle accepted input but probe rejected it: ' || " + TRIM('text') + " ELSE d END")} AS details FROM t""")
+def _(spark, sf):
+    n, i = F.col("n_chars"), F.col("doc_id")
+    d = documents(spark, sf).select(
+        "doc_id", (i % 19 == 0).alias("timed_out"), F.when(i % 23 == 0, "boom").alias("exception"), (i % 29 == 0).alias("panic"), F.when(n % 4 == 0, 1).otherwise(0).alias("oracle_returncode"),
+        F.when(n % 6 == 0, 1).otherwise(0).alias("our_returncode"), F.col("text").alias("stderr"), F.when(i % 2 == 0, "format: expected a, got  b").otherwise("").alias("differences"))
+    return Q.decide(d).select("doc_id", "status", "details")
+
+
+_EXTS = ["mp4", "png", "tga", "avi"]
+
+
+@query("plan_surfaces_q9", f"""WITH {WORDS}, s AS (SELECT doc_id, i, CASE WHEN n % 3 < 2 THEN CASE WHEN n % 5 = 0 OR n % 4 = 0 THEN 3 ELSE 1 END ELSE 2 END AS pr, CASE WHEN n % 3 < 2 THEN 'audio' WHEN n % 7 = 0 OR doc_id % 4 IN (1, 2) THEN 'image' ELSE 'video' END AS surface FROM w),
+  a AS (SELECT * FROM s UNION ALL SELECT doc_id, 0, 4, 'stream-copy' FROM documents WHERE doc_id % 6 <> 3)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pr, i) - 1)::INTEGER AS ord, surface FROM a""")
+def _(spark, sf):
+    def stream(n):
+        return F.struct(F.when(n % 3 < 2, "audio").otherwise("video").alias("codec_type"), F.when(n % 7 == 0, "png").otherwise("h264").alias("codec_name"), (n % 5 * 8000).alias("sample_rate"), (n % 4).alias("channels"))
+
+    d = documents(spark, sf).select("doc_id", pick(_EXTS, F.col("doc_id")).alias("ext"), pick(_FORMATS, F.col("doc_id")).alias("format"), F.transform(word_lengths(), stream).alias("streams"))
+    return Q.plan_surfaces(d).select("doc_id", "ord", "surface")
+
+
+@query("first_success_q10", f"""WITH a AS (SELECT conv_id AS path, turn AS ord, role AS surface, CASE length(text) % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' ELSE 'fail' END AS r, text FROM conversations),
+  h AS (SELECT path, min(ord) FILTER (r <> 'fail') AS hit, arg_max(surface, ord) AS last FROM a GROUP BY path), f AS (SELECT path, string_agg(surface || ': ' || {TRIM('text')}, ' | ' ORDER BY ord) AS t FROM a WHERE r = 'fail' GROUP BY path)
+  SELECT h.path, coalesce(a.surface, last) AS command_surface, CASE WHEN hit IS NULL THEN 'failed' WHEN r = 'ok' THEN 'passed' ELSE 'error' END AS status,
+    {TRIM("CASE WHEN hit IS NULL THEN t WHEN r = 'ok' THEN 'decode command completed' ELSE a.text END")} AS details FROM h LEFT JOIN a ON a.path = h.path AND a.ord = h.hit LEFT JOIN f ON f.path = h.path""")
+def _(spark, sf):
+    n = F.length("text") % 9
+    a = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("path"), F.col("turn").alias("ord"), F.col("role").alias("surface"), F.when(n == 0, "ok").when(n == 1, "error").otherwise("fail").alias("result"), F.col("text").alias("stderr"))
+    return Q.first_success(a)
+
+
+# ---- summaries --------------------------------------------------------------------------------------------------
+
+SUMMARY = """count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors,
+  count(*) FILTER (orc = 0) AS oracle_accepted, count(*) FILTER (our = 0) AS ours_accepted, count(*) FILTER (orc = 0 AND coalesce(our, 1) <> 0) AS rejected_by_us"""
+
+
+@query("status_summary_q11", f"WITH {RES} SELECT {SUMMARY} FROM res")
+def _(spark, sf):
+    return Q.status_summary(results(spark, sf))
+
+
+EXECUTION = """count(*) AS total, count(our) AS attempted, count(*) FILTER (status IN ('passed', 'failed')) AS clean, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed,
+  count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'skipped') AS skipped"""
+
+
+@query("execution_summary_q12", f"WITH {RES} SELECT lang, {EXECUTION} FROM res GROUP BY lang")
+def _(spark, sf):
+    return Q.execution_summary(results(spark, sf), ["lang"])
+
+
+SCORE = "sum(CASE status WHEN 'passed' THEN 10 WHEN 'failed' THEN -20 WHEN 'error' THEN -20 WHEN 'skipped' THEN -10 END)::BIGINT"
+
+
+@query("score_q13", f"WITH {RES} SELECT lang, {SCORE} AS score FROM res GROUP BY lang")
+def _(spark, sf):
+    return Q.score(results(spark, sf), ["lang"])
+
+
+STRICT = """count(*) FILTER (orc = 0 AND status = 'passed') AS strict, count(*) FILTER (orc = 0) AS accepted, count(*) FILTER (status = 'passed') AS total_passed, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (orc <> 0 AND our = 0) AS false_accepts"""
+
+
+@query("strict_metrics_q14", f"WITH {RES}, g AS (SELECT lang, {STRICT} FROM res GROUP BY lang) SELECT *, round(coalesce(strict * 100.0::DOUBLE / nullif(accepted, 0), 0.0), 6) AS percent FROM g")
+def _(spark, sf):
+    return Q.strict_metrics(results(spark, sf), ["lang"]).withColumn("percent", F.round("percent", 6))
+
+
+@query("gate_q15", f"""WITH {RES}, g AS (SELECT lang, CASE WHEN ord % 2 = 0 THEN 'base' ELSE 'after' END AS phase, {STRICT}, {SCORE} AS score FROM res GROUP BY ALL), p AS (SELECT *, coalesce(strict * 100.0::DOUBLE / nullif(accepted, 0), 0.0) AS percent FROM g),
+  j AS (SELECT b.lang, a.strict - b.strict AS ds, a.percent - b.percent AS dp, a.false_accepts AS fa, b.false_accepts AS fb, a.errors AS e, a.score AS sa, b.score AS sb FROM p b JOIN p a USING (lang) WHERE b.phase = 'base' AND a.phase = 'after'),
+  r AS (SELECT lang, concat_ws('; ', CASE WHEN ds < 1 THEN 'strict gain ' || ds || ' < 1' END, CASE WHEN dp < 0.5 THEN printf('percent gain %.3f < 0.500', dp) END, CASE WHEN fa > fb THEN 'false accepts increased ' || fb || ' -> ' || fa END,
+    CASE WHEN e <> 0 THEN 'corpus errors = ' || e END, CASE WHEN sa < sb THEN 'mirrored score decreased ' || sb || ' -> ' || sa END) AS t FROM j)
+  SELECT lang, t = '' AS keep, CASE WHEN t = '' THEN 'guardrails passed' ELSE t END AS reason FROM r""")
+def _(spark, sf):
+    r = results(spark, sf).withColumn("phase", F.when(F.col("ord") % 2 == 0, "base").otherwise("after"))
+    keys = ["lang", "phase"]
+    return Q.gate(Q.strict_metrics(r, keys).join(Q.score(r, keys), keys), 1, 0.5, ["lang"])
+
+
+@query("protected_paths_q16", "SELECT page_id, url AS path FROM pages WHERE regexp_matches(url, '^http://m\\..*$') OR url LIKE '%/fr/%' OR regexp_matches(url, '^.*/en/[0-9]#top$')")
+def _(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
+    return Q.protected_paths(p, ["http://m.**", "*/fr/**", "**/en/?#top"])
+
+
+@query("area_rollup_q17", f"""WITH {RES}, a(area_no, area, kind, prefix) AS (VALUES {','.join(f"({i},'{x[0]}','{x[1]}','{x[2]}')" for i, x in enumerate(Q.AREAS))}),
+  g AS (SELECT area_no, area, count(r.ord) AS n, count(*) FILTER (r.status = 'passed') AS p FROM a LEFT JOIN res r ON r.kind = a.kind AND starts_with(r.test_name, a.prefix) GROUP BY ALL)
+  SELECT area_no, area, p || '/' || n || ' passing' AS ratio, CASE WHEN n > 0 AND n = p THEN 'passed' ELSE 'failed' END AS status FROM g""")
+def _(spark, sf):
+    return Q.area_rollup(results(spark, sf).drop("name").withColumnRenamed("test_name", "name"))
+
+
+@query("progress_stats_q18", f"""WITH {RES}, e AS (SELECT lang, {EXECUTION} FROM res WHERE lang <> 'en' AND ord % 2 = 0 GROUP BY lang), m AS (SELECT lang, {EXECUTION} FROM res WHERE ord % 2 = 1 GROUP BY lang)
+  SELECT lang, CASE WHEN e.total > 0 THEN 'upstream' ELSE 'mirrored' END AS source, coalesce(e.total, m.total) AS total, coalesce(e.clean, m.clean) AS clean, coalesce(e.passed, m.passed) AS passed, coalesce(e.failed, m.failed) AS failed,
+    coalesce(e.errors, m.errors) AS errors, coalesce(e.skipped, m.skipped) AS skipped, round(coalesce(e.clean, m.clean) * 100.0::DOUBLE / coalesce(e.total, m.total), 6) AS percent FROM e FULL JOIN m USING (lang)""")
+def _(spark, sf):
+    r = results(spark, sf)
+    e = Q.execution_summary(r.where("lang <> 'en' and ord % 2 = 0"), ["lang"])
+    m = Q.execution_summary(r.where("ord % 2 = 1"), ["lang"])
+    return Q.progress_stats(e, m, ["lang"]).withColumn("percent", F.round("percent", 6))
+
+
+@query("known_failures_q19", f"WITH {RES} SELECT ord, name, status, details FROM res WHERE status IN ('failed', 'error') ORDER BY ord LIMIT 25")
+def _(spark, sf):
+    return Q.known_failures(results(spark, sf)).select("ord", "name", "status", "details")
+
+
+@query("latest_logs_q20", "SELECT source || '/' || lang || '/' || doc_id AS name, regexp_replace(string_split(text, chr(10))[1], '\\r$', '') AS first_line FROM documents ORDER BY 1 DESC LIMIT 5")
+def _(spark, sf):
+    d = documents(spark, sf).select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("name"), "text")
+    return Q.latest_logs(d)
+
+
+@query("success_split_q21", f"WITH {RES} SELECT count(*) FILTER (status = 'passed' AND our = 0) AS command_successes, count(*) FILTER (status = 'passed' AND our IS NULL) AS compatible_rejections FROM res")
+def _(spark, sf):
+    return Q.success_split(results(spark, sf))
+
+
+@query("trim_text_q22", f"SELECT doc_id, {TRIM('text')} AS details FROM documents")
+def _(spark, sf):
+    return documents(spark, sf).select("doc_id", Q.trim_text(F.col("text")).alias("details"))
+
+
+BENCH = """b AS (SELECT p_partkey AS ord, CASE p_partkey % 3 WHEN 0 THEN 'oracle' WHEN 1 THEN 'ours' ELSE 'other' END AS tool, 'task ' || p_type || ' ' || p_size AS task, p_retailprice / 1000 - (p_size = 7)::INT AS mean FROM part),
+  g AS (SELECT task, arg_max(mean, ord) FILTER (tool = 'oracle') AS a, arg_max(mean, ord) FILTER (tool = 'ours') AS u FROM b WHERE tool <> 'other' GROUP BY task)"""
+
+
+def bench(spark, sf):
+    p = table(spark, sf, "part")
+    tool = pick(["oracle", "ours", "other"], F.col("p_partkey"))
+    return p.select(F.col("p_partkey").alias("ord"), F.concat(tool, F.lit(" task "), "p_type", F.lit(" "), F.col("p_size").cast("string")).alias("label"),
+                    (F.col("p_retailprice") / 1000 - F.when(F.col("p_size") == 7, 1).otherwise(0)).alias("mean"))
+
+
+@query("benchmark_ratio_q23", f"""WITH {BENCH} SELECT task, CASE WHEN a IS NULL OR u IS NULL THEN 0.0 ELSE a END AS oracle_mean, CASE WHEN a IS NULL OR u IS NULL THEN 0.0 ELSE u END AS our_mean,
+  CASE WHEN a IS NULL OR u IS NULL THEN 'not measured' WHEN a <= 0 OR u <= 0 THEN 'not comparable' WHEN u / a >= 1 THEN printf('ours is %.2fx slower', u / a) ELSE printf('ours is %.2fx faster', 1 / (u / a)) END AS relative,
+  CASE WHEN a IS NULL OR u IS NULL THEN 'skipped' ELSE 'measured' END AS status FROM g""")
+def _(spark, sf):
+    return Q.benchmark_ratio(Q.pair_benchmarks(bench(spark, sf), ("oracle", "ours")))
+
+
+@query("pair_benchmarks_q24", f"WITH {BENCH} SELECT task, a AS oracle_mean, u AS our_mean FROM g")
+def _(spark, sf):
+    return Q.pair_benchmarks(bench(spark, sf), ("oracle", "ours"))
+
+
+@query("coverage_trend_q25", """WITH r AS (SELECT doc_id AS run_no, n_chars AS strict, n_chars + doc_id % 50 AS accepted FROM documents)
+  SELECT *, strict - lag(strict) OVER (ORDER BY run_no) AS gain, round(strict * 100.0::DOUBLE / nullif(accepted, 0), 6) AS percent FROM r""")
+def _(spark, sf):
+    r = documents(spark, sf).select(F.col("doc_id").alias("run_no"), F.col("n_chars").alias("strict"), (F.col("n_chars") + F.col("doc_id") % 50).alias("accepted"))
+    return Q.coverage_trend(r).withColumn("percent", F.round("percent", 6))
+
+
+@query("failing_clusters_q26", f"WITH {RES} SELECT string_split(name, '/')[1] AS folder, count(*) AS n FROM res WHERE status <> 'passed' AND orc = 0 GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 40")
+def _(spark, sf):
+    return Q.failing_clusters(results(spark, sf))
