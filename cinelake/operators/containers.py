@@ -75,10 +75,11 @@ def _walk_ogg(data, start, end, parent, emit):
 _WALKERS = {"riff": _walk_riff, "iso": _walk_iso, "ogg": _walk_ogg}
 
 
-def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str = "content", batch_rows: int = 1 << 15) -> DataFrame:
+def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str = "content", head_bytes: int = 40, batch_rows: int = 1 << 15) -> DataFrame:
     """Nodes of size-prefixed containers, in file order: `riff` (padded, little endian), `iso` (32/64-bit, 0 = to the end), `ogg` pages.
 
-    The walk inside one object is sequential, so each row is walked where it lies; nodes leave in bounded batches.
+    The walk inside one object is sequential, so each row is walked where it lies; nodes leave in bounded batches. `head`
+    holds the first bytes of each node, enough for fixed headers, so contents need not be joined again.
     """
     walk = _WALKERS[family]
     key_type = objects.schema[key].dataType.simpleString()
@@ -88,7 +89,7 @@ def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str
         for batch in batches:
             schema = schema or pa.schema(
                 [batch.schema.field(0), ("seq", pa.int64()), ("parent", pa.int64()), ("id", pa.string()), ("data_off", pa.int64()),
-                 ("data_len", pa.int64()), ("truncated", pa.bool_())]
+                 ("data_len", pa.int64()), ("truncated", pa.bool_()), ("head", pa.binary())]
             )
             rows: list[tuple] = []
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -99,7 +100,7 @@ def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str
 
                 def emit(parent, ident, off, size, truncated):
                     nonlocal count
-                    rows.append((name, count, parent, ident.decode("latin-1"), off, size, truncated))
+                    rows.append((name, count, parent, ident.decode("latin-1"), off, size, truncated, bytes(data[off : off + min(size, head_bytes)])))
                     count += 1
                     return count - 1
 
@@ -110,7 +111,7 @@ def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    out = f"{key} {key_type}, seq bigint, parent bigint, id string, data_off bigint, data_len bigint, truncated boolean"
+    out = f"{key} {key_type}, seq bigint, parent bigint, id string, data_off bigint, data_len bigint, truncated boolean, head binary"
     return objects.select(key, content).mapInArrow(run, out)
 
 

@@ -42,7 +42,7 @@ def riff_objects(spark, sf):
   SELECT doc_id, (i + 1)::BIGINT AS seq, 0::BIGINT AS parent, lpad((i % 1000)::VARCHAR, 4, 'l') AS id, (before + 20)::BIGINT AS data_off, n::BIGINT AS data_len, false AS truncated FROM o
   UNION ALL SELECT doc_id, 0, NULL, 'RIFF', 8, (4 + sum(8 + n + n % 2))::BIGINT, false FROM o GROUP BY doc_id""")
 def _(spark, sf):
-    return C.chunk_index(riff_objects(spark, sf), "riff", key="doc_id")
+    return C.chunk_index(riff_objects(spark, sf), "riff", key="doc_id").drop("head")
 
 
 def _tail_chunks(spark, sf):

@@ -159,6 +159,41 @@ def _(spark, sf):
     return I.extract_fields(o, headers).where("fields is not null").select("doc_id", "format", F.explode("fields").alias("field", "value"))
 
 
+def _streams_sql():
+    """Streams of fixed-header formats, one SELECT per format and stream."""
+    parts = []
+    for h in R.HEADERS:
+        sig = next(s for s in R.SIGNATURES if s.format == h.format)
+        if not sig.alternatives or sig.check:
+            continue
+        where = " AND ".join(f"{hx(o, len(b))} = '{b.hex().upper()}'" for o, b in sig.alternatives[-1])
+        f = {n: f"({_field_sql(x)})" for n, x in h.fields.items()}
+        good = [f"{v} IS NOT NULL" for v in f.values()] + [f"{f[n]} <> 0" for n in h.nonzero] + [f"{f[n]} <= 65535" for n in ("channels", "bits") if n in f]
+        for i, st in enumerate(h.streams):
+            def attr(n):
+                v = st.attrs.get(n)
+                return f[v] if isinstance(v, str) else "NULL" if v is None else str(v)
+
+            if st.num:
+                secs = " * ".join(f"{f[n]}::DOUBLE" for n in st.num) + f" * {st.mul!r}::DOUBLE" + "".join(f" / nullif({f[d]}, 0)::DOUBLE" for d in st.den)
+            else:
+                secs = "NULL" if st.constant is None else repr(st.constant)
+            parts.append(f"""SELECT doc_id, '{h.format}' AS format, {i}::INTEGER AS index, '{st.codec}' AS codec_name, {attr('sample_rate')}::BIGINT AS sample_rate, {attr('channels')}::INTEGER AS channels,
+              {attr('bits_per_sample')}::INTEGER AS bits_per_sample, {attr('width')}::BIGINT AS width, {attr('height')}::BIGINT AS height, round(({secs})::DOUBLE, 3) AS duration_seconds
+              FROM objects WHERE len >= {sig.min_length} AND {where} AND {' AND '.join(good)}""")
+    return f"WITH {TAGGED_SQL} " + " UNION ALL ".join(parts)
+
+
+@query("header_streams_p10", _streams_sql())
+def _(spark, sf):
+    checked = {s.format for s in R.SIGNATURES if s.check or not s.alternatives}
+    sigs = [R.Signature(s.format, s.alternatives[-1:], s.min_length) for s in R.SIGNATURES if s.alternatives and not s.check]
+    headers = [h for h in R.HEADERS if h.format not in checked]
+    o = I.header_streams(I.extract_fields(I.match_signatures(tagged_objects(spark, sf), sigs), headers), headers)
+    s = I.explode_streams(o.select("doc_id", "format", "streams"))
+    return s.select("doc_id", "format", "index", "codec_name", "sample_rate", "channels", "bits_per_sample", "width", "height", F.round("duration_seconds", 3).alias("duration_seconds"))
+
+
 @query("match_all_terms_p4", f"""WITH {TAGGED_SQL}, v AS (SELECT doc_id, hx, len, ({sql_uint(4, 1)}) AS b4, ({sql_uint(8, 4, 'le')}) AS u8 FROM objects),
   t AS (SELECT doc_id, 'lower_text' AS rule, (b4 BETWEEN 97 AND 122)::INT + (len > 500)::INT + (u8 >= 538976288)::INT AS n, 3 AS need FROM v
     UNION ALL SELECT doc_id, 'kvag', ({hx(0, 4)} = '4B564147')::INT + coalesce((({sql_uint(12, 1)}) <= 1)::INT, 0), 2 FROM objects
