@@ -95,7 +95,7 @@ def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not blob.is_valid:
                     continue
-                data = memoryview(blob.as_buffer())
+                data = memoryview(blob.as_buffer()).cast("B")
                 count = 0
 
                 def emit(parent, ident, off, size, truncated):
