@@ -2,7 +2,8 @@
 
 from pyspark import cloudpickle
 
+from cinelake.functions import grouped
 from cinelake.operators import audio, containers
 
-for _module in (audio, containers):
+for _module in (audio, containers, grouped):
     cloudpickle.register_pickle_by_value(_module)

@@ -10,11 +10,10 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cinelake.functions import binary as B, ordered, rational
+from cinelake.functions import binary as B, grouped, ordered, rational
 
 S16_MIN, S16_MAX = -32768, 32767
 
@@ -155,7 +154,7 @@ def frame_hashes_by_chunk(chunks: DataFrame, cap: int | None, keys: Sequence[str
     pieces = F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), rational.ceil_div(count, step) - 1), digest))
     hashed = chunks.select(*keys, "chunk_no", count.alias("__d"), step.alias("__step"), block.cast("long").alias("__block"), pieces.alias("__p"))
     based = ordered.running_sum(hashed, keys, "chunk_no", {"__base": "__d"})
-    out = based.select(*keys, "chunk_no", "__base", "__step", "__block", F.explode("__p").alias("p"))
+    out = based.select(*keys, "chunk_no", "__base", "__step", "__block", F.explode_outer("__p").alias("p")).where("p is not null")
     pts = F.col("__base") + F.col("p.i") * F.col("__step")
     return out.select(
         *keys, F.lit(0).alias("stream_index"), "chunk_no", pts.alias("dts"), pts.alias("pts"), rational.int_div(F.col("p.size"), F.col("__block")).alias("duration"),
@@ -279,7 +278,7 @@ def _coefficients(fraction: np.ndarray, source: int, target: int) -> tuple[np.nd
 
 
 def _convolve(values: np.ndarray, first: int, outputs: np.ndarray, length: int, source: int, target: int, cache: dict) -> np.ndarray:
-    """Outputs of one block. Taps are added in order, one vector step per tap, so results do not depend on the block size.
+    """Outputs of one block. Summing over the leading tap axis adds the taps in order, so results do not depend on the block size.
 
     Positions repeat after target/gcd outputs: a short cycle is computed once per task, a long one per block.
     """
@@ -292,16 +291,13 @@ def _convolve(values: np.ndarray, first: int, outputs: np.ndarray, length: int,
     else:
         unique, at = np.unique(phase, return_inverse=True)
         coefs, total = _coefficients(unique * g / target, source, target)
-    base = outputs * source // target
-    out = np.zeros(len(outputs))
-    for tap in range(len(coefs)):
-        i = base + tap - len(coefs) // 2
-        if length <= 1:
-            i = np.zeros_like(i)
-        else:
-            m = np.mod(i, 2 * length - 2)
-            i = np.where(i >= length, np.clip(2 * length - 1 - i, 0, length - 1), np.where(m >= length, 2 * length - 2 - m, m))
-        out = out + values[i - first] * coefs[tap, at] / total[at]
+    i = (outputs * source // target)[None, :] + (np.arange(len(coefs)) - len(coefs) // 2)[:, None]
+    if length <= 1:
+        i = np.zeros_like(i)
+    else:
+        m = np.mod(i, 2 * length - 2)
+        i = np.where(i >= length, np.clip(2 * length - 1 - i, 0, length - 1), np.where(m >= length, 2 * length - 2 - m, m))
+    out = (values[i - first] * coefs[:, at] / total[at]).sum(axis=0)
     return np.clip(np.rint(out), S16_MIN, S16_MAX).astype(np.int32)
 
 
@@ -316,7 +312,6 @@ def resample(samples: DataFrame, source: int, target: int, keys: Sequence[str] =
     keys = list(keys)
     halo = 2 * tap_count(source, target) + 2
     block = max(block, 2 * halo)
-    types = {f.name: f.dataType.simpleString() for f in samples.schema}
     lengths = samples.groupBy(*keys).agg((F.max("n") + 1).alias("__frames"))
     s = samples.join(lengths, keys)
     last = rational.int_div(F.col("__frames") - 1, F.lit(block))
@@ -326,21 +321,22 @@ def resample(samples: DataFrame, source: int, target: int, keys: Sequence[str] =
 
     cache: dict = {}
 
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        frames, b = int(pdf["__frames"].iloc[0]), int(pdf["__b"].iloc[0])
+    def one_block(g: dict) -> dict:
+        frames, b = int(g["__frames"][0]), int(g["__at"][0])
         n_out = (frames * target + source // 2) // source
         # outputs whose centre floor(o * source / target) lies in this block; the last block also takes the overhang
         start = -(-b * block * target // source)
         stop = n_out if (b + 1) * block >= frames else min(n_out, -(-(b + 1) * block * target // source))
-        outs = np.arange(start, max(start, stop), dtype=np.int64)
-        v = _convolve(pdf["v"].to_numpy(np.float64), int(pdf["n"].iloc[0]), outs, frames, source, target, cache)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(outs) for k in keys})
-        out["n"], out["ch"], out["v"] = outs, pdf["ch"].iloc[0], v
-        return out
-
-    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", n bigint, ch {types['ch']}, v int"
-    return s.groupBy(*keys, "ch", "__b").applyInPandas(one_block, ddl)
+        values, first = g["v"].astype(np.float64), int(g["n"][0])
+        n, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for lo in range(start, stop, 4096):
+            outs = np.arange(lo, min(stop, lo + 4096), dtype=np.int64)
+            n.append(outs)
+            v.append(_convolve(values, first, outs, frames, source, target, cache))
+        return {"n": np.concatenate(n), "v": np.concatenate(v)}
+
+    s = s.withColumn("__at", F.col("__b"))
+    return grouped.map_groups(s, [*keys, "ch", "__b"], "n", one_block, "n bigint, v int", keep=[*keys, "ch"])
 
 
 # ---- trims ------------------------------------------------------------------------------------------------------

@@ -210,7 +210,7 @@ def plan_surfaces(docs: DataFrame, streams: str = "streams", ext: str = "ext", f
     image = lambda x: F.coalesce(x["codec_name"].isin(*IMAGE_CODECS), F.lit(False)) | F.col(ext).isin(*IMAGE_EXTENSIONS)
     visual = F.transform(F.filter(s, lambda x: x["codec_type"] == "video"), lambda x: F.when(image(x), "image").otherwise("video"))
     copy = F.when(F.coalesce(format, F.lit("")) != "", F.array(F.lit("stream-copy"))).otherwise(F.array().cast("array<string>"))
-    return docs.select(*[c for c in docs.columns if c != streams], F.posexplode(F.concat(audio(True), visual, audio(False), copy)).alias("ord", "surface"))
+    return docs.select(*[c for c in docs.columns if c != streams], F.posexplode_outer(F.concat(audio(True), visual, audio(False), copy)).alias("ord", "surface")).where("ord is not null")
 
 
 def first_success(attempts: DataFrame, keys: Sequence[str] = ("path",), limit: int = 500) -> DataFrame:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake import rules as R
-from cinelake.functions import binary as B, ordered, rational
+from cinelake.session import checkpointed
+from cinelake.functions import binary as B, grouped, ordered, rational
 
 
 
@@ -28,7 +29,8 @@ def split_records(objects: DataFrame, size: int, content: str = "content") -> Da
     keep = [c for c in objects.columns if c != content]
     n = rational.int_div(B.size_of(content), F.lit(size))
     slices = F.when(n > 0, F.transform(F.sequence(_zero(), n - 1), lambda i: B.slice_bytes(content, i * size, size)))
-    out = objects.select(*keep, F.posexplode(slices).alias("record_no", "payload"))
+    # the outer form keeps the optimizer from testing (and so computing) the slices a second time in a filter
+    out = objects.select(*keep, F.posexplode_outer(slices).alias("record_no", "payload")).where("record_no is not null")
     return out.withColumn("record_no", F.col("record_no").cast("long"))
 
 
@@ -250,14 +252,21 @@ def resolve_samples(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Seq
     forward block by block, so the cost is linear and no key is gathered in one task.
     """
     keys = list(keys)
-    placed = chunk_samples(stsc, stco, keys)
-    slots = placed.where("samples_per_chunk > 0").select(
+    # the placed chunks feed both the expansion and the coverage test; a checkpoint keeps them from being derived twice
+    placed = checkpointed(chunk_samples(stsc, stco, keys))
+    covered = _coverage(placed, stsz, keys).where("__room >= __need").select(*keys)
+    slots = placed.where("samples_per_chunk > 0").join(covered, keys, "left_semi").select(
         *keys, "chunk_no", "offset", F.explode(F.sequence(F.col("first_sample"), F.col("first_sample") + F.col("samples_per_chunk") - 1)).alias("sample_no")
     )
     sized = slots.join(stsz, [*keys, "sample_no"])
-    placed_samples = ordered.running_sum(sized, [*keys, "chunk_no"], "sample_no", {"__before": "size"})
-    resolved = placed_samples.withColumn("sample_offset", F.col("offset") + F.col("__before")).drop("__before", "offset")
-    return resolved.join(unmapped_tracks(stsc, stco, stsz, keys), keys, "left_anti")
+    out = ordered.running_sum(sized, [*keys, "chunk_no"], "sample_no", {"__before": "size"})
+    return out.withColumn("sample_offset", F.col("offset") + F.col("__before")).drop("__before", "offset")
+
+
+def _coverage(placed: DataFrame, stsz: DataFrame, keys: list[str]) -> DataFrame:
+    room = placed.groupBy(*keys).agg(F.sum("samples_per_chunk").alias("__room"))
+    need = stsz.groupBy(*keys).agg(F.count("*").alias("__need"))
+    return need.join(room, keys, "left").withColumn("__room", F.coalesce("__room", _zero()))
 
 
 def chunk_samples(stsc: DataFrame, stco: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -278,9 +287,7 @@ def chunk_samples(stsc: DataFrame, stco: DataFrame, keys: Sequence[str]) -> Data
 
 def unmapped_tracks(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Sequence[str] = ("path", "track")) -> DataFrame:
     keys = list(keys)
-    room = chunk_samples(stsc, stco, keys).groupBy(*keys).agg(F.sum("samples_per_chunk").alias("__room"))
-    need = stsz.groupBy(*keys).agg(F.count("*").alias("__need"))
-    return need.join(room, keys, "left").where(F.coalesce("__room", _zero()) < F.col("__need")).select(*keys)
+    return _coverage(chunk_samples(stsc, stco, keys), stsz, keys).where("__room < __need").select(*keys)
 
 
 def sample_budget(table_samples: Column, duration: Column, rate: Column, timescale: Column) -> Column:
@@ -436,57 +443,44 @@ def frame_chain(candidates: DataFrame, keys: Sequence[str] = ("path",), resync:
     `reach`, so entries lie near its start), and one short pass per object hops from block to block.
     """
     keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-
-    def hop(offs, target):
-        i = offs.searchsorted(target)
-        return i if i < len(offs) and (resync or offs[i] == target) else -1
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("off")
-        offs, lens = pdf["off"].to_numpy(), pdf["frame_len"].to_numpy()
-        n = len(offs)
-        if lens.max() > reach:
-            raise ValueError(f"frame length {lens.max()} exceeds reach {reach}")
-        base = int(offs[0]) // block * block
-        targets = offs + lens
-        nxt = offs.searchsorted(targets)
-        leave, count, last = targets.copy(), [1] * n, offs.copy()
-        stops = [False] * n
-        for i in range(n - 1, -1, -1):
-            j = int(nxt[i])
-            if targets[i] >= base + block:
-                continue
-            if j < n and (resync or offs[j] == targets[i]):
-                leave[i], count[i], last[i], stops[i] = leave[j], count[j] + 1, last[j], stops[j]
-            elif resync:
-                leave[i] = targets[i]
-            else:
-                stops[i] = True
-        entry = offs < base + reach
+
+    def chain(nxt: np.ndarray, counts: np.ndarray, terminal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per node: frames up to the end of its path and the node where it ends (pointer doubling over one bounded group)."""
+        at = np.where(terminal, np.arange(len(nxt)), nxt)
+        steps = np.where(terminal, 0, counts)
+        while True:
+            further = at[at]
+            if np.array_equal(further, at):
+                return steps + counts[at], at
+            steps, at = steps + steps[at], further
+
+    def inside(g: dict) -> dict:
+        offs, targets = g["off"], g["off"] + g["frame_len"]
+        if g["frame_len"].max() > reach or g["frame_len"].min() < 1:
+            raise ValueError(f"frame lengths must lie between 1 and the reach of {reach}")
+        end = int(offs[0]) // block * block + block
+        nxt = np.searchsorted(offs, targets)
+        found = nxt < len(offs)
+        hit = found if resync else found & (offs[np.minimum(nxt, len(offs) - 1)] == targets)
+        terminal = ~hit | (targets >= end)
+        n, last = chain(np.minimum(nxt, len(offs) - 1), np.ones(len(offs), np.int64), terminal)
+        entry = offs < end - block + reach
         entry[0] = True
-        out = pdf.loc[entry, keys].copy()
-        out["off"], out["leave"], out["n"], out["last"] = offs[entry], leave[entry], [c for c, e in zip(count, entry) if e], last[entry]
-        out["stops"] = [s for s, e in zip(stops, entry) if e]
-        return out
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("off")
-        offs = pdf["off"].to_numpy()
-        i, total, last = 0, 0, -1
-        while i >= 0:
-            row = pdf.iloc[i]
-            total += int(row["n"])
-            last = int(row["last"])
-            i = -1 if row["stops"] else hop(offs, row["leave"])
-        out = pdf.iloc[[0]][keys].copy()
-        out["n_frames"], out["first_off"], out["last_off"] = total, int(offs[0]), last
-        return out
-
-    rows = candidates.select(*keys, F.col("off").cast("long").alias("off"), F.col("frame_len").cast("long").alias("frame_len"), F.floor(F.col("off") / block).alias("__b"))
-    entries = rows.groupBy(*keys, "__b").applyInPandas(inside, f"{key_ddl}, off bigint, `leave` bigint, n bigint, last bigint, stops boolean")
-    return entries.groupBy(*keys).applyInPandas(across, f"{key_ddl}, n_frames bigint, first_off bigint, last_off bigint")
+        stops = np.zeros(len(offs), bool) if resync else targets < end
+        return {"off": offs[entry], "leave": targets[last][entry], "n": n[entry], "last": offs[last][entry], "stops": stops[last][entry]}
+
+    def across(g: dict) -> dict:
+        offs = g["off"]
+        nxt = np.searchsorted(offs, g["leave"])
+        found = nxt < len(offs)
+        hit = found if resync else found & (offs[np.minimum(nxt, len(offs) - 1)] == g["leave"])
+        terminal = ~hit | g["stops"]
+        n, last = chain(np.minimum(nxt, len(offs) - 1), g["n"], terminal)
+        return {"n_frames": n[:1], "first_off": offs[:1], "last_off": g["last"][last][:1]}
+
+    rows = candidates.select(*keys, F.col("off").cast("long").alias("off"), F.col("frame_len").cast("long").alias("frame_len"), F.floor(F.col("off") / block).cast("long").alias("__b"))
+    entries = grouped.map_groups(rows, [*keys, "__b"], "off", inside, "off bigint, leave bigint, n bigint, last bigint, stops boolean", keep=keys)
+    return grouped.map_groups(entries, keys, "off", across, "n_frames bigint, first_off bigint, last_off bigint")
 
 
 def inject_params(units: DataFrame, params: DataFrame, keys: Sequence[str] = ("path", "packet_no")) -> DataFrame:

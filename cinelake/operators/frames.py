@@ -169,7 +169,7 @@ def blend_frames(patches: DataFrame, key: str = "path") -> DataFrame:
 
         return B.let(drawn, after)
 
-    out = runs.select(key, "pixel", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("o"))
+    out = runs.select(key, "pixel", F.explode_outer(F.aggregate("items", start, step, lambda a: a["out"])).alias("o"))
     return out.select(key, "pixel", "o.*")
 
 

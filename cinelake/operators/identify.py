@@ -209,7 +209,7 @@ def match_all_terms(objects: DataFrame, terms: dict[str, list[Column]], any_of:
         need = 1 if any_of and rule in any_of else len(tests)
         hits.append(F.when(n >= need, F.struct(F.lit(rule).alias("rule"), n.alias("n_hit"))))
     return (
-        objects.withColumn("__m", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+        objects.withColumn("__m", F.explode(F.array(*hits))).where("__m is not null")
         .select("*", "__m.rule", "__m.n_hit")
         .drop("__m")
     )
@@ -490,7 +490,8 @@ def duration(df: DataFrame, rule: str = "rule") -> DataFrame:
 def explode_streams(docs: DataFrame, streams: str = "streams") -> DataFrame:
     """One row per stream; the index is its position in the document."""
     keep = [c for c in docs.columns if c != streams]
-    out = docs.select(*keep, F.posexplode(streams).alias("__pos", "__s"))
+    # the outer form keeps the optimizer from computing the streams a second time for an emptiness filter
+    out = docs.select(*keep, F.posexplode_outer(streams).alias("__pos", "__s")).where("__pos is not null")
     return out.select(*keep, F.col("__s").withField("index", F.col("__pos")).alias("__s")).select(*keep, "__s.*")
 
 

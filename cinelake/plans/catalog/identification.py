@@ -156,7 +156,7 @@ def _(spark, sf):
     sigs = [R.Signature(s.format, s.alternatives[-1:], s.min_length) for s in R.SIGNATURES if s.alternatives and not s.check]
     headers = [h for h in R.HEADERS if h.format not in checked]
     o = I.match_signatures(tagged_objects(spark, sf), sigs)
-    return I.extract_fields(o, headers).where("fields is not null").select("doc_id", "format", F.explode("fields").alias("field", "value"))
+    return I.extract_fields(o, headers).select("doc_id", "format", F.explode_outer("fields").alias("field", "value")).where("field is not null")
 
 
 def _streams_sql():

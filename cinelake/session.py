@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cinelake", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,3 +30,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: computed once, readable after an executor is lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
