@@ -21,48 +21,64 @@ def with_block(df: DataFrame, ordinal: str, block: int = BLOCK) -> DataFrame:
 
 
 def _join_blocks(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe join of block-level values back to the rows."""
-    on = None
-    renamed = side
-    for k in [*keys, _BLK]:
-        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
-        term = rows[k].eqNullSafe(F.col(f"__r_{k}"))
-        on = term if on is None else on & term
-    return rows.join(renamed, on, "left").drop(*[f"__r_{k}" for k in [*keys, _BLK]])
-
-
-def running_sum(
-    df: DataFrame, keys: Sequence[str], ordinal: str, sums: dict[str, Column | str], block: int = BLOCK, inclusive: bool = False
-) -> DataFrame:
-    """Add one running total per entry of `sums` (name -> value): over earlier rows, or up to and with the row itself."""
+    """Block-level values back to the rows. Plain equality lets the window that follows reuse the join's partitioning; a NULL
+    key finds no block, which the callers turn into an error."""
+    return rows.join(side.withColumn("__found", F.lit(True)), [*keys, _BLK], "left")
+
+
+def _checked(value: Column) -> Column:
+    return F.when(F.col("__found").isNull(), F.raise_error(F.lit("running values need keys and ordinals that are not NULL"))).otherwise(value)
+
+
+def scan(df: DataFrame, keys: Sequence[str], ordinal: str, sums: dict[str, Column | str] | None = None,
+         carries: dict[str, tuple[Column, bool]] | None = None, block: int = BLOCK, inclusive: bool = False) -> DataFrame:
+    """Running totals and carried values of one key order in one pass: one aggregate over blocks, one join, one window.
+
+    `sums` maps a name to the value totalled over earlier rows (up to and with the row itself if `inclusive`); `carries`
+    maps a name to (value, skip_nulls): the value of the row before, or of the last earlier row where it is not NULL.
+    The input is read twice (block facts, rows): checkpoint it first when it is itself the result of a scan.
+    """
+    sums, carries = sums or {}, carries or {}
     rows = with_block(df, ordinal, block)
-    for name, value in sums.items():
-        rows = rows.withColumn(f"__v_{name}", F.coalesce((F.col(value) if isinstance(value, str) else value).cast("long"), F.lit(0).cast("long")))
-    totals = rows.groupBy(*keys, _BLK).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    before = W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select(*keys, _BLK, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0).cast("long")).alias(f"__b_{n}") for n in sums])
-    inside = W.partitionBy(*keys, _BLK).orderBy(ordinal).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    out = _join_blocks(rows, bases, keys)
+    zero = F.lit(0).cast("long")
+    facts, bases, drops = [], [], [_BLK, "__found", "__first"]
+    by_block = W.partitionBy(*keys).orderBy(_BLK)
+    before = by_block.rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, _BLK).orderBy(ordinal)
+    for n, value in sums.items():
+        rows = rows.withColumn(f"__v_{n}", F.coalesce((F.col(value) if isinstance(value, str) else value).cast("long"), zero))
+        facts.append(F.sum(f"__v_{n}").alias(f"__t_{n}"))
+        bases.append(F.coalesce(F.sum(f"__t_{n}").over(before), zero).alias(f"__b_{n}"))
+    for n, (value, skip) in carries.items():
+        rows = rows.withColumn(f"__v_{n}", value)
+        seen = F.col(f"__v_{n}").isNotNull() if skip else F.lit(True)
+        facts.append(F.max_by(f"__v_{n}", F.when(seen, F.col(ordinal))).alias(f"__t_{n}"))
+        bases.append((F.last(f"__t_{n}", ignorenulls=True).over(before) if skip else F.lag(f"__t_{n}").over(by_block)).alias(f"__b_{n}"))
+    totals = rows.groupBy(*keys, _BLK).agg(*facts)
+    out = _join_blocks(rows, totals.select(*keys, _BLK, *bases), keys)
+    if any(not skip for _, skip in carries.values()):
+        out = out.withColumn("__first", F.row_number().over(inside) == 1)
     for n in sums:
-        local = F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0).cast("long"))
-        out = out.withColumn(n, F.col(f"__b_{n}") + local)
-    return out.drop(_BLK, *[f"__v_{n}" for n in sums], *[f"__b_{n}" for n in sums])
-
-
-def previous_value(
-    df: DataFrame, keys: Sequence[str], ordinal: str, value: Column, name: str, block: int = BLOCK, skip_nulls: bool = False
-) -> DataFrame:
-    """Add the value of the row before (or of the last earlier row that is not NULL)."""
-    rows = with_block(df, ordinal, block).withColumn("__v", F.struct(value.alias("v")))
-    seen = F.col("__v.v").isNotNull() if skip_nulls else F.lit(True)
-    held = F.when(seen, F.col("__v"))
-    edges = rows.groupBy(*keys, _BLK).agg(F.max_by(held, F.when(seen, F.col(ordinal))).alias("__edge"))
-    before = W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
-    bases = edges.select(*keys, _BLK, F.last("__edge", ignorenulls=True).over(before).alias("__base"))
-    inside = W.partitionBy(*keys, _BLK).orderBy(ordinal).rowsBetween(W.unboundedPreceding, -1)
-    out = _join_blocks(rows.withColumn("__held", held), bases, keys)
-    out = out.withColumn("__local", F.last("__held", ignorenulls=True).over(inside))
-    return out.withColumn(name, F.coalesce("__local", "__base")["v"]).drop(_BLK, "__v", "__held", "__base", "__local")
+        local = F.sum(f"__v_{n}").over(inside.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
+        out = out.withColumn(f"__l_{n}", F.coalesce(local, zero))
+    for n, (_, skip) in carries.items():
+        local = F.last(f"__v_{n}", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1)) if skip else F.lag(f"__v_{n}").over(inside)
+        out = out.withColumn(f"__l_{n}", local)
+    result = {n: F.col(f"__b_{n}") + F.col(f"__l_{n}") for n in sums}
+    for n, (_, skip) in carries.items():
+        result[n] = F.coalesce(f"__l_{n}", f"__b_{n}") if skip else F.when(F.col("__first"), F.col(f"__b_{n}")).otherwise(F.col(f"__l_{n}"))
+    for n, value in result.items():
+        out = out.withColumn(n, _checked(value))
+        drops += [f"__v_{n}", f"__b_{n}", f"__l_{n}"]
+    return out.drop(*drops)
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], ordinal: str, sums: dict[str, Column | str], block: int = BLOCK, inclusive: bool = False) -> DataFrame:
+    return scan(df, keys, ordinal, sums=sums, block=block, inclusive=inclusive)
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], ordinal: str, value: Column, name: str, block: int = BLOCK, skip_nulls: bool = False) -> DataFrame:
+    return scan(df, keys, ordinal, carries={name: (value, skip_nulls)}, block=block)
 
 
 def row_index(df: DataFrame, keys: Sequence[str], ordinal: str, name: str, block: int = BLOCK) -> DataFrame:

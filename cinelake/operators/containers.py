@@ -282,7 +282,7 @@ def chunk_samples(stsc: DataFrame, stco: DataFrame, keys: Sequence[str]) -> Data
     lead = stsc.groupBy(*keys).agg(F.min_by(F.col("samples_per_chunk").cast("long"), "first_chunk").alias("lead"))
     filled = filled.where(F.col("offset").isNotNull()).join(lead, keys)
     chunks = filled.select(*keys, "chunk_no", "offset", F.coalesce("spc", "carried", "lead").alias("samples_per_chunk"))
-    return ordered.running_sum(chunks, keys, "chunk_no", {"first_sample": "samples_per_chunk"})
+    return ordered.running_sum(checkpointed(chunks), keys, "chunk_no", {"first_sample": "samples_per_chunk"})
 
 
 def unmapped_tracks(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Sequence[str] = ("path", "track")) -> DataFrame:

@@ -149,12 +149,11 @@ def blend_frames(patches: DataFrame, key: str = "path") -> DataFrame:
     """
     p = patches.withColumn("__reset", (F.col("op") == "source") | (F.col("rgba.a") == 255))
     forgets = (F.col("__reset") & (F.col("dispose") == "keep")) | (F.col("dispose") == "clear")
-    p = ordered.running_sum(p, [key, "pixel"], "frame_no", {"__run": forgets.cast("long")})
     clear = F.struct(*[_long(0).alias(c) for c in "rgba"])
     wide = F.struct(*[F.col("rgba")[c].cast("long").alias(c) for c in "rgba"])
     # a run's base is the write that opened it: the last earlier draw that forgets
-    base = F.when(F.col("dispose") == "clear", clear).otherwise(wide)
-    p = ordered.previous_value(p.withColumn("__base_here", F.when(forgets, base)), [key, "pixel"], "frame_no", F.col("__base_here"), "__opened", skip_nulls=True)
+    base = F.when(forgets, F.when(F.col("dispose") == "clear", clear).otherwise(wide))
+    p = ordered.scan(p, [key, "pixel"], "frame_no", sums={"__run": forgets.cast("long")}, carries={"__opened": (base, True)})
     item = F.struct("frame_no", wide.alias("rgba"), "op", "dispose")
     runs = p.groupBy(key, "pixel", "__run").agg(F.first("__opened").alias("base"), F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.coalesce("base", clear).alias("canvas"), F.array().cast("array<struct<frame_no:bigint,r:bigint,g:bigint,b:bigint,a:bigint>>").alias("out"))

@@ -7,6 +7,7 @@ from cinelake.functions import binary as B, ordered
 from cinelake.operators import containers as C
 from cinelake.plans.catalog.common import documents, pick, sql_list
 from cinelake.plans.registry import query, table
+from cinelake.session import checkpointed
 
 EV = "ev AS (SELECT event_id, user_id, event_type, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k, (epoch_us(ts) * 9) // 100 AS pts, props FROM events)"
 
@@ -144,13 +145,14 @@ def _(spark, sf):
 def sample_tables(spark, sf):
     """Suppliers as tracks: orders are chunks, lines are samples; every seventh track has more samples than room."""
     l = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("chunk_no")).agg(F.count("*").alias("n"))
+    l = checkpointed(l)  # four tables come from it
     stco = l.select("path", "chunk_no", (F.col("chunk_no") * 1000).alias("offset"))
     group = F.call_function("div", F.col("chunk_no"), F.lit(100))
     stsc = l.select("path", (group * 100).alias("first_chunk")).distinct().withColumn("samples_per_chunk", F.call_function("div", F.col("first_chunk"), F.lit(100)) % 4 + 1)
     counted = l.withColumn("n", F.when(F.col("path") % 7 == 0, F.col("n") * 4).otherwise(F.col("n")))
     based = ordered.running_sum(counted, ["path"], "chunk_no", {"base": "n"})
     stsz = based.select("path", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("n") - 1)).alias("sample_no")).withColumn("size", F.col("sample_no") % 37 + 100)
-    return stsc, stco, stsz
+    return stsc, stco, checkpointed(stsz)
 
 
 @query("resolve_samples_c10", """WITH l AS (SELECT l_suppkey AS path, l_orderkey AS chunk_no, count(*) AS n FROM lineitem GROUP BY ALL),

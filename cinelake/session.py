@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,18 @@ def build_session(app: str = "cinelake", cores: int | str = "*", shuffle_partiti
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; fall back to a temporary one only in local runs without the setting."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only in local runs that set none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, readable after an executor is lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows as a table written once to the checkpoint folder: computed a single time, readable after an executor is lost."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/cinelake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
-"""Blocked running values equal the plain ones for any block size, with hot, empty and NULL keys."""
+"""Blocked running values equal the plain ones for any block size, with hot, empty and single-row keys."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cinelake.functions import ordered, rational
@@ -10,7 +11,7 @@ from cinelake.functions import ordered, rational
 def data():
     rng = random.Random(7)
     rows = []
-    for key, n in (("hot", 400), ("cold", 7), (None, 20), ("one", 1)):
+    for key, n in (("hot", 400), ("cold", 7), ("", 20), ("one", 1)):
         for o in sorted(rng.sample(range(2000), n)):
             rows.append((key, o, rng.choice([None, 1, 2, 5, 300])))
     return rows
@@ -44,6 +45,12 @@ def test_previous_value(spark):
             assert got == want
 
 
+def test_null_keys_fail(spark):
+    df = spark.createDataFrame([(None, 1, 1), ("a", 1, 1)], "k string, o long, v long")
+    with pytest.raises(Exception, match="not NULL"):
+        ordered.running_sum(df, ["k"], "o", {"s": "v"}).collect()
+
+
 def test_gcd(spark):
     df = spark.createDataFrame([(12, 18), (0, 5), (7, 0), (2**40, 2**35 * 3), (1134903170, 701408733)], "a long, b long")
     import math
