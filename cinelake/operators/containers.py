@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake import rules as R
+from cinelake.functions import binary as B, generate, grouped, ordered, rational
 from cinelake.session import checkpointed
-from cinelake.functions import binary as B, grouped, ordered, rational
 
 
 
@@ -255,8 +255,8 @@ def resolve_samples(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Seq
     # the placed chunks feed both the expansion and the coverage test; a checkpoint keeps them from being derived twice
     placed = checkpointed(chunk_samples(stsc, stco, keys))
     covered = _coverage(placed, stsz, keys).where("__room >= __need").select(*keys)
-    slots = placed.where("samples_per_chunk > 0").join(covered, keys, "left_semi").select(
-        *keys, "chunk_no", "offset", F.explode(F.sequence(F.col("first_sample"), F.col("first_sample") + F.col("samples_per_chunk") - 1)).alias("sample_no")
+    slots = generate.expand(placed.join(covered, keys, "left_semi"), F.col("samples_per_chunk"), "__i", [*keys, "chunk_no"]).select(
+        *keys, "chunk_no", "offset", (F.col("first_sample") + F.col("__i")).alias("sample_no")
     )
     sized = slots.join(stsz, [*keys, "sample_no"])
     out = ordered.running_sum(sized, [*keys, "chunk_no"], "sample_no", {"__before": "size"})
@@ -324,7 +324,7 @@ def timing(stts: DataFrame, timescale: str = "timescale", keys: Sequence[str] =
 def frame_times(stts: DataFrame, keys: Sequence[str] = ("path", "track")) -> DataFrame:
     """One row per frame with its decode time: run bases come from blocked running sums, frames inside a run are arithmetic."""
     runs = ordered.running_sum(stts, keys, "run_no", {"__frame": "count", "__tick": F.col("count") * F.col("delta")})
-    out = runs.where("count > 0").withColumn("__i", F.explode(F.sequence(_zero(), F.col("count").cast("long") - 1)))
+    out = generate.expand(runs, F.col("count"), "__i", [*keys, "run_no"])
     return out.select(
         *keys, (F.col("__frame") + F.col("__i")).alias("frame_no"), (F.col("__tick") + F.col("__i") * F.col("delta")).alias("dts"), F.col("delta").alias("duration"))
 

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cinelake.functions import binary as B, ordered, rational
+from cinelake.functions import binary as B, generate, ordered, rational
 
 _div = rational.int_div
 
@@ -46,10 +46,7 @@ def baseline_manifest(streams: DataFrame, key: str = "path", block: int = 1 << 1
     """n_frames identical zero frames per stream. Long streams are first cut into blocks, so the rows are made by many tasks."""
     zero = F.md5(F.unhex(F.repeat(F.lit("00"), F.col("size").cast("int"))))
     s = streams.where("n_frames > 0").select(key, "n_frames", "size", zero.alias("hash"))
-    blocks = s.select("*", F.explode(F.sequence(_long(0), _div(F.col("n_frames") - 1, F.lit(block)))).alias("__b"))
-    blocks = blocks.repartition(F.col(key), F.col("__b"))
-    last = F.least(F.col("n_frames"), (F.col("__b") + 1) * block) - 1
-    rows = blocks.select(key, "size", "hash", F.explode(F.sequence(F.col("__b") * block, last)).alias("frame_no"))
+    rows = generate.expand(s, F.col("n_frames"), "frame_no", [key], block)
     n = F.col("frame_no")
     return rows.select(key, F.lit(0).alias("stream_index"), "frame_no", n.alias("dts"), n.alias("pts"), _long(1).alias("duration"), "size", "hash")
 
@@ -279,7 +276,7 @@ def expand_runs(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("path"
     keys = list(keys)
     good = runs.join(run_rejects(runs, sizes, keys), keys, "left_anti").join(sizes.select(*keys), keys, "left_semi")
     based = ordered.running_sum(good, keys, ordinal, {"__at": "count"})
-    return based.select(*keys, F.explode(F.sequence(F.col("__at"), F.col("__at") + F.col("count") - 1)).alias("pos"), "value")
+    return generate.expand(based, F.col("count"), "__i", [*keys, ordinal]).select(*keys, (F.col("__at") + F.col("__i")).alias("pos"), "value")
 
 
 # ---- colours ----------------------------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cinelake.functions import generate
+
 # The generated samples (name -> kind, rate, channels, frames).
 SAMPLES = {
     "mono_silence_8k": ("silence", 8000, 1, 8000),
@@ -30,11 +32,8 @@ def tone(kind: Column, i: Column, ch: Column, rate: Column) -> Column:
 
 def synth(spec: DataFrame, key: str = "path", block: int = 1 << 16) -> DataFrame:
     """Samples of spec(key, kind, rate, channels, frames): blocks of frames are spread over tasks before they are expanded."""
-    zero = F.lit(0).cast("long")
-    blocks = spec.where("frames > 0").select(key, "kind", "rate", "channels", "frames", F.explode(F.sequence(zero, F.floor((F.col("frames") - 1) / block))).alias("__b"))
-    blocks = blocks.repartition(F.col(key), F.col("__b"))
-    stop = F.least(F.col("frames").cast("long"), (F.col("__b") + 1) * block) - 1
-    rows = blocks.withColumn("n", F.explode(F.sequence(F.col("__b") * block, stop))).withColumn("ch", F.explode(F.sequence(F.lit(0), F.col("channels").cast("int") - 1)))
+    rows = generate.expand(spec.select(key, "kind", "rate", "channels", "frames"), F.col("frames"), "n", [key], block)
+    rows = rows.withColumn("ch", F.explode(F.sequence(F.lit(0), F.col("channels").cast("int") - 1)))
     value = tone(F.col("kind"), F.col("n"), F.col("ch"), F.col("rate"))
     u8 = F.col("kind") == "sine_u8"
     clamped = F.when(u8, F.greatest(F.lit(0), F.least(F.lit(255), value))).otherwise(F.greatest(F.lit(-32768), F.least(F.lit(32767), value)))
