@@ -74,11 +74,33 @@ def _walk_ogg(data, start, end, parent, emit):
         pos = table + size
 
 
-_WALKERS = {"riff": _walk_riff, "iso": _walk_iso, "ogg": _walk_ogg}
+def _walk_gif(data, start, end, parent, emit):
+    """Extension ("X" + label in hex) and image ("IMG ") blocks after the screen descriptor; data sub-blocks are skipped."""
+    def table(flags):
+        return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+
+    def skip(pos):
+        while pos < end and data[pos]:
+            pos += 1 + data[pos]
+        return pos + 1
+
+    pos = 13 + table(data[10]) if end >= 13 else end
+    while pos < end and data[pos] in (0x21, 0x2C):
+        extension = data[pos] == 0x21
+        body = pos + 2 if extension else pos + 1
+        if not extension and pos + 10 > end or extension and body >= end:
+            emit(parent, b"CUT ", body, 0, True)
+            return
+        nxt = skip(body) if extension else skip(pos + 11 + table(data[pos + 9]))
+        emit(parent, b"X%02X " % data[pos + 1] if extension else b"IMG ", body, nxt - body, nxt > end)
+        pos = nxt
+
+
+_WALKERS = {"riff": _walk_riff, "iso": _walk_iso, "ogg": _walk_ogg, "gif": _walk_gif}
 
 
 def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str = "content", head_bytes: int = 40, batch_rows: int = 1 << 15) -> DataFrame:
-    """Nodes of size-prefixed containers, in file order: `riff` (padded, little endian), `iso` (32/64-bit, 0 = to the end), `ogg` pages.
+    """Nodes of size-prefixed containers, in file order: `riff` (padded, little endian), `iso` (32/64-bit, 0 = to the end), `ogg` pages, `gif` blocks.
 
     The walk inside one object is sequential, so each row is walked where it lies; nodes leave in bounded batches. `head`
     holds the first bytes of each node, enough for fixed headers, so contents need not be joined again.

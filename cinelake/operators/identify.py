@@ -115,7 +115,7 @@ def _u32(c: Column, o: int) -> Column:
 CHECKS: dict[str, Callable[[Column], Column]] = {
     "kvag_rate": lambda c: _u32(c, 8).between(8000, 96000),
     "sgi_mv_tracks": lambda c: B.contains_bytes(c, b"__NUM_I_TRACKS"),
-    "ac3_header": lambda c: B.bits(B.uint(c, 4, 1), 6, 3) != 3,
+    "ac3_header": lambda c: ac3_info(c).isNotNull(),
     "mpeg_audio_pair": consecutive_headers,
     "truehd_sync": lambda c: B.contains_bytes(c, b"\xf8\x72\x6f\xba"),
     "bink_letter": lambda c: B.slice_bytes(c, 3, 1).cast("string").rlike("[A-Za-z]"),
@@ -198,6 +198,64 @@ def match_signatures(objects: DataFrame, signatures: Sequence[R.Signature] = R.S
     return objects.withColumn("format", signature_format(F.col(content), signatures))
 
 
+def refine_format(objects: DataFrame, content: str = "content") -> DataFrame:
+    """Variants that need one more look: animated PNG, old and unknown BMP headers, IVF by codec, ALP by header size."""
+    c, f = F.col(content), F.col("format")
+    latin = F.decode(c, "ISO-8859-1")
+    first = lambda tag: F.instr(latin, tag)
+    animated = (first("acTL") > 0) & ((first("IDAT") == 0) | (first("acTL") < first("IDAT")))
+    dib = B.uint(c, 14, 4, "le")
+    fourcc = F.try_element_at(B.literal_table(R.IVF_CODECS, "map<string,string>"), F.decode(F.substring(c, 9, 4), "ISO-8859-1"))
+    ivf_ok = (B.uint(c, 4, 2, "le") == 0) & (B.uint(c, 6, 2, "le") >= 32)
+    alp = F.when(B.bytes_at(c, 8, b"ADPCM\0") & (B.uint(c, 4, 4, "le") >= 8), F.when(B.uint(c, 4, 4, "le") >= 12, "alp").when(B.uint(c, 15, 1) == 2, "alp_22050").otherwise("alp_11025"))
+    return objects.withColumn(
+        "format",
+        F.when(f == "png_pipe", F.when(animated, "apng").otherwise(f))
+        .when(f == "bmp_pipe", F.when(dib == 12, "bmp_core").when(dib.isin(*R.BMP_DIB_SIZES), f).otherwise("bmp_unknown"))
+        .when(f == "ivf", F.coalesce(F.when(ivf_ok, F.concat(F.lit("ivf_"), fourcc)), F.lit("ivf_unknown")))
+        .when(f == "alp", F.coalesce(alp, F.lit("alp_unknown"))).otherwise(f))
+
+
+def extension_format(ext: Column, content: Column) -> Column:
+    """Formats with a header but no signature of their own, known by extension and a plausibility test."""
+    packets = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(content, i * 24 + 1, 1))
+    cdg = (B.size_of(content) > 0) & (B.size_of(content) % 24 == 0) & F.forall(
+        packets, lambda p: (F.octet_length(p) == 0) | (F.conv(F.hex(p), 16, 10).cast("int").bitwiseAND(F.lit(0x3F)) == 9))
+    return (
+        F.when((ext == "pix") & (B.uint(content, 4, 4) == 0), "alias_pix").when((ext == "cam") & B.bytes_at(content, 12, b"ML20"), "mimic")
+        .when((ext == "cdg") & cdg, "cdg"))
+
+
+def ac3_info(content: Column) -> Column:
+    """Struct of a raw AC-3 or E-AC-3 stream from its first header, NULL when it has none."""
+    t = B.literal_table({"kbps": R.AC3_KBPS, "channels": R.AC3_CHANNELS, "rates": R.AC3_SAMPLE_RATES, "half": R.EAC3_HALF_RATES, "blocks": R.EAC3_BLOCKS}, "map<string,array<int>>")
+    at = lambda name, i: F.get(F.try_element_at(t, F.lit(name)), i.cast("int"))
+
+    def parse(p: Column) -> Column:
+        b = lambda i: F.conv(F.hex(F.substring(p, i + 1, 1)), 16, 10).cast("int")
+        bit = lambda v, shift, mask: F.shiftright(v, shift).bitwiseAND(F.lit(mask))
+        mode = bit(b(6), 5, 7)
+        # mix levels of 2 bits each come before the low-frequency flag
+        mixes = F.when((mode.bitwiseAND(F.lit(1)) != 0) & (mode != 1), 2).otherwise(0) + F.when(mode.bitwiseAND(F.lit(4)) != 0, 2).otherwise(0) + F.when(mode == 2, 2).otherwise(0)
+        word = b(6) * 256 + F.coalesce(b(7), F.lit(0))
+        lfe = F.call_function("shiftright", word, F.lit(12) - mixes).bitwiseAND(F.lit(1))
+        plain = F.struct(
+            F.lit("ac3").alias("codec"), at("rates", bit(b(4), 6, 3)).alias("sample_rate"), (at("channels", mode) + lfe).alias("channels"),
+            (at("kbps", F.shiftright(bit(b(4), 0, 63), 1)) * 1000).cast("long").alias("bitrate"))
+        size = (bit(b(2), 0, 7) * 256 + b(3) + 1) * 2
+        code, sub = bit(b(4), 6, 3), bit(b(4), 4, 3)
+        rate = F.when(code == 3, at("half", sub)).otherwise(at("rates", code))
+        blocks = F.when(code == 3, 6).otherwise(at("blocks", sub))
+        enhanced = F.struct(
+            F.lit("eac3").alias("codec"), rate.alias("sample_rate"), (at("channels", bit(b(4), 1, 7)) + bit(b(4), 0, 1)).alias("channels"),
+            rational.int_div(size.cast("long") * 8 * rate, blocks * 256).alias("bitrate"))
+        first = (bit(b(5), 3, 31) <= 10) & plain["sample_rate"].isNotNull() & plain["bitrate"].isNotNull()
+        second = (bit(b(2), 6, 3) <= 2) & (size >= 6) & bit(b(5), 3, 31).between(11, 16) & rate.isNotNull()
+        return F.when((F.octet_length(p) >= 7) & first, plain).when((F.octet_length(p) >= 8) & second, enhanced)
+
+    return F.when(B.bytes_at(content, 0, b"\x0b\x77"), B.let(F.substring(content, 1, 8), parse))
+
+
 def match_all_terms(objects: DataFrame, terms: dict[str, list[Column]], any_of: dict[str, list[Column]] | None = None) -> DataFrame:
     """One row per (object, rule) whose terms all hold (or, for `any_of` rules, at least one), with the count of terms met.
 
@@ -281,12 +339,12 @@ def payload_start(content: Column) -> Column:
 
 def _field_specs(headers: Sequence[R.Header]) -> Column:
     """Constant map of field layouts, looked up by format, so plan size does not grow with the rule table."""
-    ddl = "map<string,array<struct<name:string,offset:int,width:int,little:boolean,signed:boolean,absolute:boolean,shift:int,mask:bigint,add:bigint>>>"
+    ddl = "map<string,array<struct<name:string,offset:int,width:int,little:boolean,signed:boolean,absolute:boolean,shift:int,mask:bigint,add:bigint,from_end:boolean>>>"
 
     def spec(n: str, f: R.Field) -> dict:
         mask = f.mask if f.mask is not None else (1 << 63) - 1
         return {"name": n, "offset": f.offset, "width": f.width, "little": f.endian == "le", "signed": f.signed, "absolute": f.absolute,
-                "shift": f.shift, "mask": mask, "add": f.add}
+                "shift": f.shift, "mask": mask, "add": f.add, "from_end": f.from_end}
 
     return B.literal_table({h.format: [spec(n, f) for n, f in h.fields.items()] for h in headers}, ddl)
 
@@ -297,7 +355,7 @@ def extract_fields(objects: DataFrame, headers: Sequence[R.Header] = R.HEADERS,
     Only the leading bytes that the rules can reach are decoded, so whole contents are not copied per field.
     """
     reach = max(f.offset + f.width for h in headers for f in h.fields.values())
-    objects = objects.withColumn("__head", F.substring(F.col(content), 1, reach))
+    objects = objects.withColumn("__head", F.substring(F.col(content), 1, reach)).withColumn("__size", B.size_of(content))
 
     def decode(s: Column) -> Column:
         raw = B.uint_var(F.col("__head"), s["offset"], s["width"], s["little"])
@@ -307,12 +365,14 @@ def extract_fields(objects: DataFrame, headers: Sequence[R.Header] = R.HEADERS,
             v = F.when(s["signed"] & (r >= rational.int_div(full, F.lit(2))), r - full).otherwise(r)
             v = F.when(s["absolute"], F.abs(v)).otherwise(v)
             v = F.call_function("shiftright", v, s["shift"])
-            return F.when(s["signed"], v).otherwise(v.bitwiseAND(s["mask"])) + s["add"]
+            v = F.when(s["signed"], v).otherwise(v.bitwiseAND(s["mask"])) + s["add"]
+            rest = F.col("__size") - v
+            return F.when(s["from_end"], F.when(rest >= 0, rest)).otherwise(v)
 
         return F.struct(s["name"].alias("key"), B.let(raw, finish).alias("value"))
 
     specs = F.try_element_at(_field_specs(headers), F.col("format"))
-    return objects.withColumn("fields", F.map_from_entries(F.transform(specs, decode))).drop("__head")
+    return objects.withColumn("fields", F.map_from_entries(F.transform(specs, decode))).drop("__head", "__size")
 
 
 def _stream_specs(headers: Sequence[R.Header]) -> Column:

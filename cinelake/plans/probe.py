@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from cinelake import rules as R
-from cinelake.functions import binary as B
+from cinelake.functions import binary as B, rational
 from cinelake.operators import containers as C, identify as I
 
 
@@ -61,6 +61,29 @@ def wav_documents(objects: DataFrame) -> DataFrame:
     return plain.withColumn("wav_error", error).select("path", "wav_error", F.when(F.col("wav_error").isNull(), F.array(stream)).alias("wav_streams"))
 
 
+def gif_durations(objects: DataFrame) -> DataFrame:
+    """Seconds per GIF from its blocks: the sum of delays, else a tenth per image. A file that breaks off inside a block has an error."""
+    blocks = C.chunk_index(objects.where(B.bytes_at("content", 0, b"GIF8")), "gif")
+    delay = F.when(F.col("id") == "XF9 ", B.uint("head", 2, 2, "le"))
+    g = blocks.groupBy("path").agg(F.sum(delay).alias("delay"), F.count_if(F.col("id") == "IMG ").alias("images"), F.bool_or("truncated").alias("gif_cut"))
+    seconds = F.when(F.coalesce("delay", F.lit(0)) > 0, F.col("delay") / 100.0).otherwise(F.col("images") / 10.0)
+    return g.select("path", seconds.alias("gif_seconds"), "gif_cut")
+
+
+def _tty_streams():
+    null = lambda t: F.lit(None).cast(t)
+    return F.array(F.struct(
+        F.lit(0).alias("index"), F.lit("video").alias("codec_type"), F.lit("ansi").alias("codec_name"), null("long").alias("sample_rate"), null("int").alias("channels"),
+        null("int").alias("bits_per_sample"), F.col("tty_seconds").alias("duration_seconds"), F.lit(640).cast("long").alias("width"), F.lit(400).cast("long").alias("height"), null("string").alias("frame_rate")))
+
+
+def _ac3_streams(info):
+    return F.array(F.struct(
+        F.lit(0).alias("index"), F.lit("audio").alias("codec_type"), info["codec"].alias("codec_name"), info["sample_rate"].cast("long").alias("sample_rate"),
+        info["channels"].cast("int").alias("channels"), F.lit(0).alias("bits_per_sample"), F.try_divide(F.col("length") * 8.0, info["bitrate"].cast("double")).alias("duration_seconds"),
+        F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), F.lit(None).cast("string").alias("frame_rate")))
+
+
 def probe_corpus(objects: DataFrame) -> Probed:
     """Identify every object of objects(path, length, content): documents, their streams, and a reject row for the others.
 
@@ -70,22 +93,35 @@ def probe_corpus(objects: DataFrame) -> Probed:
     refused = objects.join(o.select("path"), "path", "left_anti").select(
         "path", F.lit("invalid_data").alias("error_kind"), F.lit("refused observation").alias("message"))
     o = I.apply_overrides(o, I.override_table(objects.sparkSession))
-    o = I.header_streams(I.extract_fields(I.match_signatures(o)))
+    c = F.col("content")
+    o = I.header_streams(I.extract_fields(I.refine_format(I.match_signatures(o)))).drop("fields")
+    # the same header rules for formats known by extension, kept apart as the last stage
+    o = o.withColumnsRenamed({"format": "content_format", "streams": "content_streams", "error_kind": "content_kind"})
+    o = I.header_streams(I.extract_fields(o.withColumn("format", I.extension_format(F.col("ext"), c)))).withColumnsRenamed(
+        {"format": "ext_format", "streams": "ext_streams", "content_format": "format", "content_streams": "streams", "content_kind": "header_error"})
     # from here on only small columns travel
     text = o.select(
-        "path", "ext", "length", "format", "override_doc", "streams", "error_kind",
-        F.when(F.col("format") == "subtitle", I.text_format(F.make_valid_utf8(F.col("content").cast("string")))).alias("text_format"))
-    d = text.join(wav_documents(I.with_extension(objects).withColumn("length", B.size_of("content"))), "path", "left")
+        "path", "ext", "length", "format", "override_doc", "ext_format", "ext_streams", F.col("header_error").alias("error_kind"),
+        F.when(F.col("format") == "ac3", I.ac3_info(c)).alias("ac3"), "streams",
+        F.when(F.col("format") == "subtitle", I.text_format(F.make_valid_utf8(c.cast("string")))).alias("text_format"),
+        F.when(F.col("format") == "tty", rational.ceil_div(F.col("length"), F.lit(240)) / 25.0).alias("tty_seconds"))
+    base = I.with_extension(objects).withColumn("length", B.size_of("content"))
+    d = text.join(wav_documents(base), "path", "left").join(gif_durations(base), "path", "left")
+    gif = F.when((F.col("format") == "gif") & ~F.coalesce("gif_cut", F.lit(False)), F.transform("streams", lambda s: s.withField("duration_seconds", F.coalesce(F.col("gif_seconds"), F.lit(0.0)))))
+    d = d.withColumn("streams", F.when(F.col("format") == "gif", gif).when(F.col("format") == "ac3", _ac3_streams(F.col("ac3"))).when(F.col("format") == "tty", _tty_streams()).otherwise(F.col("streams")))
     streams = F.coalesce("wav_streams", "streams")
-    reported = F.coalesce(F.when(F.col("format") == "subtitle", F.col("text_format")), F.try_element_at(B.literal_table(R.REPORTED_FORMAT, "map<string,string>"), F.col("format")), F.col("format"))
+    reported = F.coalesce(F.when(F.col("format") == "subtitle", F.col("text_format")), F.col("ac3.codec"), F.try_element_at(B.literal_table(R.REPORTED_FORMAT, "map<string,string>"), F.col("format")), F.col("format"))
     empty = F.array().cast(d.schema["streams"].dataType)
     known = F.when(streams.isNotNull(), streams).when(F.col("format") == "subtitle", empty)
     content_error = F.when(F.col("format").isNull(), "unsupported: unrecognized media format").otherwise(
         F.coalesce(F.col("wav_error"), F.concat(F.col("error_kind"), F.lit(": header")), F.lit("unsupported: no header rule")))
+    packets = lambda s: s.withField("duration_seconds", F.when(F.col("ext_format") == "cdg", rational.int_div(F.col("length"), F.lit(24)) / 300.0).otherwise(s["duration_seconds"]))
+    named = F.coalesce(F.try_element_at(B.literal_table(R.REPORTED_FORMAT, "map<string,string>"), F.col("ext_format")), F.col("ext_format"))
+    by_header = F.when(F.col("ext_streams").isNotNull(), F.struct(named.alias("format"), F.transform("ext_streams", packets).alias("streams")))
     d = d.select(
         "path", F.when(F.col("ext").isin(*R.PREFERRED_EXTENSIONS), F.col("override_doc")).alias("preferred"),
         F.when(known.isNotNull(), F.struct(reported.alias("format"), known.alias("streams"))).alias("by_content"),
-        I.extension_streams(F.col("ext"), F.col("length")).alias("by_extension"), content_error.alias("content_error"))
+        F.coalesce(I.extension_streams(F.col("ext"), F.col("length")), by_header).alias("by_extension"), content_error.alias("content_error"))
     r = I.resolve_probe(d, "preferred", "by_content", "by_extension", "content_error")
     docs = r.where("doc is not null").select("path", "doc.format", "doc.streams")
     rejects = r.where("doc is null").select("path", F.substring_index("error", ":", 1).alias("error_kind"), F.col("error").alias("message"))

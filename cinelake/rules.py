@@ -128,7 +128,7 @@ SIGNATURES: tuple[Signature, ...] = (
 
 @dataclass(frozen=True)
 class Field:
-    """Integer at a fixed offset: ((raw >> shift) & mask) + add."""
+    """Integer at a fixed offset: ((raw >> shift) & mask) + add; with `from_end` the bytes left after raw + add."""
 
     offset: int
     width: int
@@ -138,6 +138,7 @@ class Field:
     mask: int | None = None
     add: int = 0
     absolute: bool = False
+    from_end: bool = False
 
 
 @dataclass(frozen=True)
@@ -229,12 +230,30 @@ HEADERS: tuple[Header, ...] = (
            ("width", "height")),
     Header("bethsoftvid", _wh(7, 9),
            (_au("pcm_u8", constant=0.0, sample_rate=11111, channels=1, bits_per_sample=8), _vi("bethsoftvid", constant=0.0)), ("width", "height")),
-    Header("ivf", _wh(12, 14, den=Field(16, 4), num=Field(20, 4), frames=Field(24, 4)),
-           (_vi("ivf_video", ("frames", "num"), ("den",)),), ("width", "height")),
+    *[Header(f"ivf_{c}", _wh(12, 14, den=Field(16, 4), num=Field(20, 4), frames=Field(24, 4)), (_vi(c, ("frames", "num"), ("den",)),), ("width", "height", "den"))
+      for c in ("vp8", "vp9", "av1")],
+    Header("alp", {"channels": Field(15, 1), "sample_rate": Field(16, 4), "data": Field(4, 4, from_end=True, add=8)},
+           (_au("adpcm_ima_alp", ("data",), ("sample_rate", "channels"), 2.0, bits_per_sample=4, **_AUDIO),), _RATED),
+    *[Header(f"alp_{rate}", {"channels": Field(15, 1), "data": Field(4, 4, from_end=True, add=8)},
+             (_au("adpcm_ima_alp", ("data",), ("channels",), 2.0 / rate, bits_per_sample=4, sample_rate=rate, channels="channels"),), ("channels",)) for rate in (22050, 11025)],
+    Header("apng", _wh(16, 20, 4, "be"), (_vi("apng", constant=0.0),), ("width", "height")),
+    Header("bmp_core", _wh(18, 20), (_vi("bmp", constant=0.0),), ("width", "height")),
+    Header("alias_pix", _wh(0, 2, 2, "be"), (_vi("alias_pix", constant=0.0),), ("width", "height")),
+    Header("mimic", _wh(2, 4), (_vi("mimic", constant=0.0),), ("width", "height")),
+    Header("cdg", {"size": Field(0, 1, from_end=True)}, (_vi("cdgraphics", constant=0.0, width=300, height=216),)),
 )
 
+# Variants of a format that are told apart by one more look at the bytes (variant -> reported name).
+BMP_DIB_SIZES = (40, 52, 56, 64, 108, 124)
+AC3_KBPS = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
+AC3_CHANNELS = (2, 1, 2, 3, 3, 4, 4, 5)
+AC3_SAMPLE_RATES = (48000, 44100, 32000)
+EAC3_HALF_RATES = (24000, 22050, 16000)
+EAC3_BLOCKS = (1, 2, 3, 6)
+
 # Name reported for a format when it differs from the rule name.
-REPORTED_FORMAT = {"ptx": "image2", "amv": "avi", "jpegxl_pipe": "jpegxl_pipe"}
+REPORTED_FORMAT = {"ptx": "image2", "amv": "avi", "bmp_core": "bmp_pipe", "ivf_vp8": "ivf", "ivf_vp9": "ivf", "ivf_av1": "ivf", "alp_22050": "alp",
+                   "alp_11025": "alp", "mimic": "msnwctcp"}
 
 # Formats known by extension only (ext -> format, kind, codec, rate, channels, bits, width, height, bits per second, constant seconds).
 EXTENSION_FORMATS: tuple[tuple, ...] = (

@@ -69,6 +69,37 @@ def test_probe(spark, folder):
     assert p.streams.count() == 5
 
 
+def test_probe_more_formats(spark, folder):
+    u16, u32 = lambda v: struct.pack("<H", v), lambda v: struct.pack("<I", v)
+    put(folder, "a.ac3", bytes([0x0B, 0x77, 0, 0, 0x1E, 0x40, 0x43, 0]) + bytes(1592))
+    put(folder, "a.eac3", bytes([0x0B, 0x77, 0x01, 0xFF, 0x34, 0x80, 0, 0]) + bytes(1016))
+    put(folder, "core.bmp", b"BM" + bytes(12) + u32(12) + u16(30) + u16(20))
+    put(folder, "up.bmp", b"BM" + bytes(12) + u32(40) + u32(30) + struct.pack("<i", -20))
+    put(folder, "x.ivf", b"DKIF" + u16(0) + u16(32) + b"VP80" + u16(320) + u16(240) + u32(30) + u32(1) + u32(60) + bytes(8))
+    put(folder, "y.alp", b"ALP " + u32(8) + b"ADPCM\0" + b"\0\x02" + bytes(22050))
+    put(folder, "m.cam", bytes(2) + u16(160) + u16(120) + bytes(6) + b"ML20")
+    put(folder, "k.cdg", (b"\x09" + bytes(23)) * 600)
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 8, 9) + bytes(9)
+    put(folder, "anim.png", png + b"\0\0\0\0acTL" + bytes(4) + b"\0\0\0\0IDAT")
+    gce = b"\x21\xf9\x04\0" + u16(25) + b"\0\0"
+    image = b"\x2c" + bytes(4) + u16(4) + u16(4) + b"\0" + b"\x02" + b"\x02ab" + b"\0"
+    put(folder, "two.gif", b"GIF89a" + u16(4) + u16(4) + b"\0\0\0" + (gce + image) * 2 + b";")
+    put(folder, "still.gif", b"GIF89a" + u16(4) + u16(4) + b"\0\0\0" + image + b";")
+    put(folder, "cap.txt", b"\x1b[" + bytes(500))
+    d = {r.path: (r.format, [(s.codec_name, s.sample_rate, s.channels, s.width, s.height, None if s.duration_seconds is None else round(s.duration_seconds, 6)) for s in r.streams])
+         for r in probe_corpus(corpus.scan_corpus(spark, folder)).documents.collect()}
+    assert d["a.ac3"] == ("ac3", [("ac3", 48000, 2, None, None, round(1600 * 8 / 448000, 6))])
+    assert d["a.eac3"] == ("eac3", [("eac3", 48000, 2, None, None, round(1024 * 8 / (1024 * 8 * 48000 // (6 * 256)), 6))])
+    assert d["core.bmp"][1][0][3:5] == (30, 20) and d["up.bmp"][1][0][3:5] == (30, 20) and d["core.bmp"][0] == "bmp_pipe"
+    assert d["x.ivf"] == ("ivf", [("vp8", None, None, 320, 240, 2.0)])
+    assert d["y.alp"] == ("alp", [("adpcm_ima_alp", 22050, 2, None, None, 1.0)])
+    assert d["m.cam"] == ("msnwctcp", [("mimic", None, None, 160, 120, 0.0)])
+    assert d["k.cdg"] == ("cdg", [("cdgraphics", None, None, 300, 216, 2.0)])
+    assert d["anim.png"] == ("apng", [("apng", None, None, 8, 9, 0.0)])
+    assert d["two.gif"][1][0][5] == 0.5 and d["still.gif"][1][0][5] == 0.1
+    assert d["cap.txt"] == ("tty", [("ansi", None, None, 640, 400, 0.12)])
+
+
 def test_framehash_round_trip(spark, folder):
     s = synth.synth(synth.standard_spec(spark).where("path in ('tiny', 'short_100ms')"))
     header = spark.createDataFrame([("tiny", 8000, 1), ("short_100ms", 8000, 1)], "path string, sample_rate long, channels int")
