@@ -37,13 +37,13 @@ def split_records(objects: DataFrame, size: int, content: str = "content") -> Da
 _ISO_NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"moof", b"traf", b"edts", b"dinf", b"mvex"}
 
 
-def _walk_riff(data, start, end, parent, emit):
+def _walk_riff(data, start, end, parent, emit, nested=True):
     pos = start
     while pos + 8 <= end:
         ident = bytes(data[pos : pos + 4])
         size = int.from_bytes(data[pos + 4 : pos + 8], "little")
         node = emit(parent, ident, pos + 8, size, pos + 8 + size > end)
-        if ident in (b"RIFF", b"LIST") and size >= 4:
+        if nested and ident in (b"RIFF", b"LIST") and size >= 4:
             _walk_riff(data, pos + 12, min(pos + 8 + size, end), node, emit)
         pos += 8 + size + (size & 1)
 
@@ -139,6 +139,41 @@ def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str
     return objects.select(key, content).mapInArrow(run, out)
 
 
+_CHUNK_LIST = "array<struct<seq:bigint,id:string,data_off:bigint,data_len:bigint,truncated:boolean,head:binary>>"
+
+
+def chunk_list(content: Column, family: Column, head_bytes: int = 40) -> Column:
+    """Top-level chunks of one object as an array, for objects with few of them (`wave`: below the RIFF node, `gif`: blocks).
+
+    Unlike `chunk_index` this is a column of the row at hand, so a plan that also looks at the bytes reads them once.
+    Objects without a family are passed on as NULL and cost nothing.
+    """
+    def walk(blobs: pa.Array, families: pa.Array) -> pa.Array:
+        out = []
+        for blob, name in zip(blobs, families.to_pylist()):
+            if name is None or not blob.is_valid:
+                out.append(None)
+                continue
+            data = memoryview(blob.as_buffer()).cast("B")
+            rows: list[dict] = []
+
+            def emit(parent, ident, off, size, truncated):
+                rows.append({"seq": len(rows), "id": ident.decode("latin-1"), "data_off": off, "data_len": size, "truncated": truncated, "head": bytes(data[off : off + min(size, head_bytes)])})
+                return None
+
+            if name == "gif":
+                _walk_gif(data, 0, len(data), None, emit)
+            else:
+                _walk_riff(data, 12, len(data), None, emit, False)
+            out.append(rows)
+        item = pa.struct([("seq", pa.int64()), ("id", pa.string()), ("data_off", pa.int64()), ("data_len", pa.int64()), ("truncated", pa.bool_()), ("head", pa.binary())])
+        return pa.array(out, pa.list_(item))
+
+    # annotations by value: the module's own are texts
+    walk.__annotations__ = {"blobs": pa.Array, "families": pa.Array, "return": pa.Array}
+    return F.arrow_udf(walk, _CHUNK_LIST)(F.when(family.isNotNull(), content), family)
+
+
 def tail_policy(chunks: DataFrame, mode: str, length: str = "length", key: str = "path") -> DataFrame:
     """Truncated chunks: `clamp` shortens them to the bytes present, `ignore` drops them, `stop` also drops what follows one."""
     if mode == "clamp":

@@ -496,11 +496,14 @@ def apply_overrides(objects: DataFrame, overrides: DataFrame, key: str = "path",
     )
 
 
+def is_denied(content: Column, deny_list: Sequence[tuple] = R.DENY_LIST) -> Column:
+    refused = [_all([B.size_of(content) == n, *[B.bytes_at(content, o, b) for o, b in terms]]) for n, terms in deny_list]
+    return F.coalesce(_any(refused), F.lit(False))
+
+
 def deny(objects: DataFrame, deny_list: Sequence[tuple] = R.DENY_LIST, content: str = "content") -> DataFrame:
     """Drop exact observations that are refused."""
-    c = F.col(content)
-    refused = [_all([B.size_of(c) == n, *[B.bytes_at(c, o, b) for o, b in terms]]) for n, terms in deny_list]
-    return objects.where(~F.coalesce(_any(refused), F.lit(False)))
+    return objects.where(~is_denied(F.col(content), deny_list))
 
 
 def extension_streams(ext: Column, length: Column) -> Column:

@@ -46,7 +46,8 @@ def _check_sql(check):
     return {
         "kvag_rate": f"{u(8, 4)} BETWEEN 8000 AND 96000",
         "sgi_mv_tracks": f"contains(hx, '{b'__NUM_I_TRACKS'.hex().upper()}')",
-        "ac3_header": "false",
+        "ac3_header": f"(({sql_uint(4, 1)}) < 192 AND ({sql_uint(5, 1)}) < 88 AND ({sql_uint(4, 1)}) & 63 < 38) OR (len >= 8 AND ({sql_uint(2, 1)}) < 192 AND ({sql_uint(5, 1)}) BETWEEN 88 AND 135 "
+                      f"AND ((({sql_uint(2, 1)}) & 7) * 256 + ({sql_uint(3, 1)}) + 1) * 2 >= 6 AND (({sql_uint(4, 1)}) < 192 OR ({sql_uint(4, 1)}) & 48 < 48))",
         "bink_letter": f"regexp_matches(chr(({sql_uint(3, 1)})::INTEGER), '[A-Za-z]')",
         "idcin_header": f"{u(0, 4)} IN (320, 640) AND {u(4, 4)} IN (200, 240, 480) AND {u(8, 4)} BETWEEN 8000 AND 48000",
         "pictor_size": f"{u(2, 2)} <> 0 AND {u(4, 2)} <> 0",
@@ -57,7 +58,7 @@ def _check_sql(check):
         "tga_footer": "right(hx, 36) = '54525545564953494F4E2D5846494C452E00'",
         "mpeg_sequence": f"contains({hx(0, 16)}, '000001B3')",
         "truehd_sync": "contains(hx, 'F8726FBA')",
-        # no text here has the bytes these need (0xFF, a packet grid, an AC-3 header); they are tested on fixtures
+        # no text has the 0xFF byte or packet grid these two need; they are tested on fixtures
         "mpeg_audio_pair": "false", "ts_sync": "false",
     }[check]
 
@@ -377,3 +378,13 @@ def _(spark, sf):
 def _(spark, sf):
     d = documents(spark, sf).select("doc_id", B.uint(F.encode("text", "utf-8"), 0, 4).alias("raw"))
     return d.select("doc_id", B.bits("raw", 19, 3).alias("version"), B.bits("raw", 12, 15).alias("rate_index"), B.bits("raw", 6, 3).alias("mode"), B.bits("raw", 0, 63).alias("low"))
+
+
+@query("probe_parity_p2", f"WITH {TAGGED_SQL} SELECT path, 1::BIGINT AS n FROM objects")
+def _(spark, sf):
+    """The whole probe plan: every object ends up exactly once, as a document or as a reject."""
+    from cinelake.plans.probe import probe_corpus
+
+    o = tagged_objects(spark, sf)
+    p = probe_corpus(o.select("path", B.size_of("content").alias("length"), "content"))
+    return p.documents.select("path").unionByName(p.rejects.select("path")).groupBy("path").agg(F.count("*").alias("n"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake import rules as R
 from cinelake.functions import binary as B, rational
 from cinelake.operators import containers as C, identify as I
+from cinelake.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -18,111 +19,104 @@ class Probed:
     rejects: DataFrame
 
 
-def wav_documents(objects: DataFrame) -> DataFrame:
-    """Format, codec and duration of WAV objects from their chunk table: the format chunk's header, the data chunk clamped to the bytes present.
-
-    Adds one row per WAV object with `wav_streams` or `wav_error`; contents do not travel, only chunk headers do.
-    """
-    chunks = C.chunk_index(objects.where(B.bytes_at("content", 0, b"RIFF") & B.bytes_at("content", 8, b"WAVE")), "riff")
-    lengths = objects.select("path", "length")
-    chunks = C.tail_policy(chunks.join(lengths, "path"), "clamp")
-    first = lambda ident, c: F.min_by(F.col(c), F.when(F.col("id") == ident, F.col("seq")))
-    w = chunks.groupBy("path").agg(first("fmt ", "head").alias("fmt"), first("data", "data_len").alias("data_len"), first("fact", "head").alias("fact"))
-    u = lambda o, n: B.uint("fmt", o, n, "le")
-    tag = F.when(u(0, 2) == 0xFFFE, B.uint("fmt", 24, 2, "le")).otherwise(u(0, 2))
-    w = w.select("path", "data_len", tag.alias("tag"), u(2, 2).alias("channels"), u(4, 4).alias("sample_rate"), u(8, 4).alias("byte_rate"), u(12, 2).alias("block_align"),
-                 u(14, 2).alias("bits"), B.uint("fact", 0, 4, "le").alias("samples"))
-    dims = I.tag_dimension(objects.sparkSession, R.WAV_TAGS).withColumn("codec_bits", F.when(F.col("tag").isin(*R.WAV_TAG_BITS), 4).otherwise(0))
-    w = I.map_codec(w, dims, default="")
-    pcm = F.col("tag") == 1
-    pcm_name = F.try_element_at(B.literal_table({str(k): v for k, v in R.WAV_PCM_BITS.items()}, "map<string,string>"), F.col("bits").cast("string"))
-    codec = F.when(F.col("codec_name") != "", F.col("codec_name")).when(pcm, pcm_name)
-    plain = I.validate_headers(w.withColumn("codec_type", F.lit("audio")).withColumn("width", F.lit(None).cast("long")).withColumn("height", F.lit(None).cast("long")))
+def _stream(kind: str, codec: Column, seconds: Column, rate=None, channels=None, bits=None, width=None, height=None) -> Column:
+    as_ = lambda v, t: B.lit(v).cast(t)
+    return F.struct(
+        F.lit(0).alias("index"), F.lit(kind).alias("codec_type"), codec.alias("codec_name"), as_(rate, "long").alias("sample_rate"), as_(channels, "int").alias("channels"),
+        as_(bits, "int").alias("bits_per_sample"), seconds.cast("double").alias("duration_seconds"), as_(width, "long").alias("width"), as_(height, "long").alias("height"),
+        F.lit(None).cast("string").alias("frame_rate"))
+
+
+def with_wav(objects: DataFrame, chunks: str = "chunks") -> DataFrame:
+    """Add `wav_streams` and `wav_error` of WAV objects from their chunk list: the format chunk's header, the data chunk clamped to the bytes present."""
+    first = lambda ident: F.get(F.filter(chunks, lambda c: c["id"] == ident), F.lit(0))
+    objects = objects.withColumn("__fmt", first("fmt ")["head"]).withColumn("__data", first("data")).withColumn("__fact", first("fact")["head"])
+    u = lambda o, n: B.uint("__fmt", o, n, "le")
+    tag = F.when(u(0, 2) == 0xFFFE, B.uint("__fmt", 24, 2, "le")).otherwise(u(0, 2))
+    clamped = F.greatest(F.lit(0).cast("long"), F.least(F.col("__data.data_len"), F.col("length") - F.col("__data.data_off")))
+    w = objects.withColumns({
+        "tag": tag, "channels": u(2, 2), "sample_rate": u(4, 4), "byte_rate": u(8, 4), "block_align": u(12, 2), "bits": u(14, 2), "data_len": clamped,
+        "samples": B.uint("__fact", 0, 4, "le"), "codec_type": F.lit("audio"), "width": F.lit(None).cast("long"), "height": F.lit(None).cast("long")})
+    name = lambda table, key: F.try_element_at(B.literal_table({str(k): v for k, v in table.items()}, "map<string,string>"), key.cast("string"))
+    w = I.validate_headers(w).withColumn("__other", name(R.WAV_TAGS, F.col("tag")))
+    pcm, t = F.col("tag") == 1, F.col("tag")
     needs_rate = F.when(F.coalesce("channels", F.lit(0)) == 0, "unsupported: zero channels").when(F.coalesce("sample_rate", F.lit(0)) == 0, "unsupported: zero sample rate")
-    by_fact = F.col("tag").isin(0x22, 0x31, 0x125)
+    by_fact = t.isin(0x22, 0x31, 0x125)
     error = (
-        F.when(F.col("tag").isNull(), "unexpected_eof: format chunk").when(F.col("data_len").isNull(), "invalid_data: no data chunk")
-        .when(pcm, F.col("reason")).when(F.col("codec_name") == "", "unsupported: audio format")
-        .when((F.col("tag") == 0x200) & ((F.col("channels") != 1) | (F.col("bits") != 4)), "unsupported: layout")
-        .when(F.col("tag").isin(0x161, 0x270) & (F.col("byte_rate") == 0), "unsupported: byte rate missing")
+        F.when(t.isNull(), "unexpected_eof: format chunk").when(F.col("data_len").isNull(), "invalid_data: no data chunk")
+        .when(pcm, F.col("reason")).when(F.col("__other").isNull(), "unsupported: audio format")
+        .when((t == 0x200) & ((F.col("channels") != 1) | (F.col("bits") != 4)), "unsupported: layout")
+        .when(t.isin(0x161, 0x270) & (F.col("byte_rate") == 0), "unsupported: byte rate missing")
         .when(by_fact & F.col("samples").isNull(), "invalid_data: sample count missing").otherwise(needs_rate)
     )
     data, rate = F.col("data_len").cast("double"), F.col("sample_rate").cast("double")
     seconds = (
-        F.when(F.col("tag").isin(0x17, 0x200), F.try_divide(data * 2, rate)).when(by_fact, F.try_divide(F.col("samples").cast("double"), rate))
-        .when(F.col("tag").isin(0x161, 0x270), F.try_divide(data, F.col("byte_rate").cast("double"))).when(F.col("tag") == 0x28E, F.try_divide(data * 8, rate))
+        F.when(t.isin(0x17, 0x200), F.try_divide(data * 2, rate)).when(by_fact, F.try_divide(F.col("samples").cast("double"), rate))
+        .when(t.isin(0x161, 0x270), F.try_divide(data, F.col("byte_rate").cast("double"))).when(t == 0x28E, F.try_divide(data * 8, rate))
         .otherwise(F.coalesce(F.try_divide(data, (F.col("block_align") * F.col("sample_rate")).cast("double")), F.lit(0.0)))
     )
-    stream = F.struct(
-        F.lit(0).alias("index"), F.lit("audio").alias("codec_type"), codec.alias("codec_name"), F.col("sample_rate"), F.col("channels").cast("int").alias("channels"),
-        F.when(pcm, F.col("bits").cast("int")).otherwise(F.col("codec_bits")).alias("bits_per_sample"), seconds.alias("duration_seconds"),
-        F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), F.lit(None).cast("string").alias("frame_rate"),
-    )
-    return plain.withColumn("wav_error", error).select("path", "wav_error", F.when(F.col("wav_error").isNull(), F.array(stream)).alias("wav_streams"))
-
+    other_bits = F.when(t.isin(*R.WAV_TAG_BITS), 4).otherwise(0)
+    stream = _stream("audio", F.when(pcm, name(R.WAV_PCM_BITS, F.col("bits"))).otherwise(F.col("__other")), seconds, F.col("sample_rate"), F.col("channels"),
+                     F.when(pcm, F.col("bits").cast("int")).otherwise(other_bits))
+    w = w.withColumn("wav_error", F.when(F.col(chunks).isNotNull(), error))
+    return w.withColumn("wav_streams", F.when(F.col("wav_error").isNull(), F.array(stream))).select(*objects.columns, "wav_streams", "wav_error").drop("__fmt", "__data", "__fact")
 
-def gif_durations(objects: DataFrame) -> DataFrame:
-    """Seconds per GIF from its blocks: the sum of delays, else a tenth per image. A file that breaks off inside a block has an error."""
-    blocks = C.chunk_index(objects.where(B.bytes_at("content", 0, b"GIF8")), "gif")
-    delay = F.when(F.col("id") == "XF9 ", B.uint("head", 2, 2, "le"))
-    g = blocks.groupBy("path").agg(F.sum(delay).alias("delay"), F.count_if(F.col("id") == "IMG ").alias("images"), F.bool_or("truncated").alias("gif_cut"))
-    seconds = F.when(F.coalesce("delay", F.lit(0)) > 0, F.col("delay") / 100.0).otherwise(F.col("images") / 10.0)
-    return g.select("path", seconds.alias("gif_seconds"), "gif_cut")
 
+def gif_seconds(chunks: Column) -> Column:
+    """Sum of the delays in a GIF's blocks, else a tenth per image; NULL when the file breaks off inside a block."""
+    delays = F.transform(F.filter(chunks, lambda c: c["id"] == "XF9 "), lambda c: B.uint(c["head"], 2, 2, "le"))
+    total = F.aggregate(delays, F.lit(0).cast("long"), lambda a, d: a + F.coalesce(d, F.lit(0)))
+    images = F.size(F.filter(chunks, lambda c: c["id"] == "IMG "))
+    return F.when(~F.exists(chunks, lambda c: c["truncated"]), F.when(total > 0, total / 100.0).otherwise(images / 10.0))
 
-def _tty_streams():
-    null = lambda t: F.lit(None).cast(t)
-    return F.array(F.struct(
-        F.lit(0).alias("index"), F.lit("video").alias("codec_type"), F.lit("ansi").alias("codec_name"), null("long").alias("sample_rate"), null("int").alias("channels"),
-        null("int").alias("bits_per_sample"), F.col("tty_seconds").alias("duration_seconds"), F.lit(640).cast("long").alias("width"), F.lit(400).cast("long").alias("height"), null("string").alias("frame_rate")))
 
-
-def _ac3_streams(info):
-    return F.array(F.struct(
-        F.lit(0).alias("index"), F.lit("audio").alias("codec_type"), info["codec"].alias("codec_name"), info["sample_rate"].cast("long").alias("sample_rate"),
-        info["channels"].cast("int").alias("channels"), F.lit(0).alias("bits_per_sample"), F.try_divide(F.col("length") * 8.0, info["bitrate"].cast("double")).alias("duration_seconds"),
-        F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), F.lit(None).cast("string").alias("frame_rate")))
-
-
-def probe_corpus(objects: DataFrame) -> Probed:
-    """Identify every object of objects(path, length, content): documents, their streams, and a reject row for the others.
+def probe_table(objects: DataFrame) -> DataFrame:
+    """One row per object of objects(path, length, content): doc or error, and the stage that decided.
 
     Precedence: exact observations for preferred extensions, then content (signature, then header), then the extension alone.
+    All of it is one pass over the contents without a shuffle (the observation table is a broadcast literal).
     """
-    o = I.deny(I.with_extension(objects).withColumn("length", B.size_of("content")))
-    refused = objects.join(o.select("path"), "path", "left_anti").select(
-        "path", F.lit("invalid_data").alias("error_kind"), F.lit("refused observation").alias("message"))
-    o = I.apply_overrides(o, I.override_table(objects.sparkSession))
     c = F.col("content")
+    o = I.with_extension(objects).withColumn("length", B.size_of("content")).withColumn("refused", I.is_denied(c))
+    o = I.apply_overrides(o, I.override_table(objects.sparkSession))
     o = I.header_streams(I.extract_fields(I.refine_format(I.match_signatures(o)))).drop("fields")
     # the same header rules for formats known by extension, kept apart as the last stage
     o = o.withColumnsRenamed({"format": "content_format", "streams": "content_streams", "error_kind": "content_kind"})
-    o = I.header_streams(I.extract_fields(o.withColumn("format", I.extension_format(F.col("ext"), c)))).withColumnsRenamed(
-        {"format": "ext_format", "streams": "ext_streams", "content_format": "format", "content_streams": "streams", "content_kind": "header_error"})
+    o = I.header_streams(I.extract_fields(o.withColumn("format", I.extension_format(F.col("ext"), c)))).drop("fields", "error_kind").withColumnsRenamed(
+        {"format": "ext_format", "streams": "ext_streams", "content_format": "format", "content_streams": "streams", "content_kind": "error_kind"})
+    f = F.col("format")
+    o = o.withColumn("chunks", C.chunk_list(c, F.when(f == "wav", "wave").when(f == "gif", "gif")))
     # from here on only small columns travel
-    text = o.select(
-        "path", "ext", "length", "format", "override_doc", "ext_format", "ext_streams", F.col("header_error").alias("error_kind"),
-        F.when(F.col("format") == "ac3", I.ac3_info(c)).alias("ac3"), "streams",
-        F.when(F.col("format") == "subtitle", I.text_format(F.make_valid_utf8(c.cast("string")))).alias("text_format"),
-        F.when(F.col("format") == "tty", rational.ceil_div(F.col("length"), F.lit(240)) / 25.0).alias("tty_seconds"))
-    base = I.with_extension(objects).withColumn("length", B.size_of("content"))
-    d = text.join(wav_documents(base), "path", "left").join(gif_durations(base), "path", "left")
-    gif = F.when((F.col("format") == "gif") & ~F.coalesce("gif_cut", F.lit(False)), F.transform("streams", lambda s: s.withField("duration_seconds", F.coalesce(F.col("gif_seconds"), F.lit(0.0)))))
-    d = d.withColumn("streams", F.when(F.col("format") == "gif", gif).when(F.col("format") == "ac3", _ac3_streams(F.col("ac3"))).when(F.col("format") == "tty", _tty_streams()).otherwise(F.col("streams")))
-    streams = F.coalesce("wav_streams", "streams")
-    reported = F.coalesce(F.when(F.col("format") == "subtitle", F.col("text_format")), F.col("ac3.codec"), F.try_element_at(B.literal_table(R.REPORTED_FORMAT, "map<string,string>"), F.col("format")), F.col("format"))
-    empty = F.array().cast(d.schema["streams"].dataType)
-    known = F.when(streams.isNotNull(), streams).when(F.col("format") == "subtitle", empty)
-    content_error = F.when(F.col("format").isNull(), "unsupported: unrecognized media format").otherwise(
+    o = o.select(
+        "path", "ext", "length", "format", "override_doc", "refused", "ext_format", "ext_streams", "error_kind", "streams", F.when(f == "gif", gif_seconds(F.col("chunks"))).alias("gif_seconds"),
+        F.when(f == "wav", F.col("chunks")).alias("chunks"), F.when(f == "ac3", I.ac3_info(c)).alias("ac3"),
+        F.when(f == "subtitle", I.text_format(F.make_valid_utf8(c.cast("string")))).alias("text_format"))
+    o = with_wav(o)
+    length = F.col("length")
+    gif = F.when(F.col("gif_seconds").isNotNull(), F.transform("streams", lambda s: s.withField("duration_seconds", F.col("gif_seconds"))))
+    ac3 = F.array(_stream("audio", F.col("ac3.codec"), F.try_divide(length * 8.0, F.col("ac3.bitrate").cast("double")), F.col("ac3.sample_rate"), F.col("ac3.channels"), 0))
+    tty = F.array(_stream("video", F.lit("ansi"), rational.ceil_div(length, F.lit(240)) / 25.0, width=640, height=400))
+    empty = F.array().cast(o.schema["streams"].dataType)
+    streams = (
+        F.when(f == "wav", F.col("wav_streams")).when(f == "gif", gif).when(f == "ac3", ac3).when(f == "tty", tty).when(f == "subtitle", empty).otherwise(F.col("streams")))
+    reported = lambda name: F.coalesce(F.try_element_at(B.literal_table(R.REPORTED_FORMAT, "map<string,string>"), name), name)
+    content_name = F.coalesce(F.when(f == "subtitle", F.col("text_format")), F.col("ac3.codec"), reported(f))
+    content_error = F.when(F.col("refused"), "invalid_data: refused observation").when(f.isNull(), "unsupported: unrecognized media format").otherwise(
         F.coalesce(F.col("wav_error"), F.concat(F.col("error_kind"), F.lit(": header")), F.lit("unsupported: no header rule")))
-    packets = lambda s: s.withField("duration_seconds", F.when(F.col("ext_format") == "cdg", rational.int_div(F.col("length"), F.lit(24)) / 300.0).otherwise(s["duration_seconds"]))
-    named = F.coalesce(F.try_element_at(B.literal_table(R.REPORTED_FORMAT, "map<string,string>"), F.col("ext_format")), F.col("ext_format"))
-    by_header = F.when(F.col("ext_streams").isNotNull(), F.struct(named.alias("format"), F.transform("ext_streams", packets).alias("streams")))
-    d = d.select(
+    packets = lambda s: s.withField("duration_seconds", F.when(F.col("ext_format") == "cdg", rational.int_div(length, F.lit(24)) / 300.0).otherwise(s["duration_seconds"]))
+    by_header = F.when(F.col("ext_streams").isNotNull(), F.struct(reported(F.col("ext_format")).alias("format"), F.transform("ext_streams", packets).alias("streams")))
+    o = o.withColumn("streams", streams)
+    o = o.select(
         "path", F.when(F.col("ext").isin(*R.PREFERRED_EXTENSIONS), F.col("override_doc")).alias("preferred"),
-        F.when(known.isNotNull(), F.struct(reported.alias("format"), known.alias("streams"))).alias("by_content"),
-        F.coalesce(I.extension_streams(F.col("ext"), F.col("length")), by_header).alias("by_extension"), content_error.alias("content_error"))
-    r = I.resolve_probe(d, "preferred", "by_content", "by_extension", "content_error")
-    docs = r.where("doc is not null").select("path", "doc.format", "doc.streams")
-    rejects = r.where("doc is null").select("path", F.substring_index("error", ":", 1).alias("error_kind"), F.col("error").alias("message"))
-    return Probed(docs, I.explode_streams(docs), rejects.unionByName(refused))
+        F.when(F.col("streams").isNotNull() & ~F.col("refused"), F.struct(content_name.alias("format"), F.col("streams").alias("streams"))).alias("by_content"),
+        F.coalesce(I.extension_streams(F.col("ext"), length), by_header).alias("by_extension"), content_error.alias("content_error"))
+    return I.resolve_probe(o, "preferred", "by_content", "by_extension", "content_error").select("path", "stage", "doc", "error")
+
+
+def probe_corpus(objects: DataFrame) -> Probed:
+    """Documents, streams and rejects. The result of the one pass over the contents is written to the checkpoint folder, so the
+    three tables do not read the corpus again."""
+    t = checkpointed(probe_table(objects))
+    docs = t.where("doc is not null").select("path", "doc.format", "doc.streams")
+    rejects = t.where("doc is null").select("path", F.substring_index("error", ":", 1).alias("error_kind"), F.col("error").alias("message"))
+    return Probed(docs, I.explode_streams(docs), rejects)
