@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cinelake.functions import ordered
+from cinelake.functions import literal, ordered
 
 # Tolerances in seconds, compressed audio codecs, status weights.
 DEFAULT_TOLERANCE, COMPRESSED_TOLERANCE = 0.001, 0.05
@@ -299,7 +299,7 @@ def _glob(pattern: str) -> str:
 def area_rollup(results: DataFrame, areas: Sequence[tuple] = AREAS) -> DataFrame:
     """Passing ratio and status per area; an area without tests has failed, a test may count in several areas."""
     spark = results.sparkSession
-    dim = spark.createDataFrame([(i, *a) for i, a in enumerate(areas)], "area_no int, area string, __kind string, prefix string")
+    dim = literal.small_table(spark, [(i, *a) for i, a in enumerate(areas)], "area_no int, area string, __kind string, prefix string")
     # areas are matched per result by kind and prefix, then counted; the dimension has a fixed handful of rows
     hits = results.join(dim, (F.col("kind") == F.col("__kind")) & F.startswith("name", "prefix"))
     g = hits.groupBy(F.col("area_no").alias("__no")).agg(F.count("*").alias("n"), _status("passed").alias("p"))

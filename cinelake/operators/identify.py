@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake import rules as R
-from cinelake.functions import binary as B, rational
+from cinelake.functions import binary as B, literal, rational
 
 _ASCII_UP, _ASCII_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -452,11 +452,11 @@ def split_rejects(df: DataFrame, error: str = "error_kind", message: str = "mess
 def tag_dimension(spark, codecs: dict, bits: dict | None = None) -> DataFrame:
     rows = [(k, v, int((bits or {}).get(v, 0))) for k, v in codecs.items()]
     key = "long" if isinstance(next(iter(codecs)), int) else "string"
-    return spark.createDataFrame(rows, f"tag {key}, codec_name string, codec_bits int")
+    return literal.small_table(spark, rows, f"tag {key}, codec_name string, codec_bits int")
 
 
 def map_codec(df: DataFrame, tag_dim: DataFrame, tag: str = "tag", default: str = "unknown") -> DataFrame:
-    """Codec name and bits by tag. The dimension is a literal table of at most a few hundred rows, so Spark broadcasts it."""
+    """Codec name and bits by tag; a dimension of constants (`tag_dimension`) is broadcast."""
     dim = tag_dim.select(F.col("tag").alias("__tag"), F.col("codec_name").alias("__codec"), F.col("codec_bits").alias("__bits"))
     return (
         df.join(dim, F.col(tag) == F.col("__tag"), "left")
@@ -474,14 +474,14 @@ def override_table(spark, overrides: Sequence[tuple] = R.OVERRIDES) -> DataFrame
     from cinelake.schemas import PROBE_DOC
 
     schema = f"o_ext string, o_length long, o_offset int, o_prefix binary, o_doc {PROBE_DOC.simpleString()}"
-    return spark.createDataFrame(rows, schema)
+    return literal.small_table(spark, rows, schema)
 
 
 def apply_overrides(objects: DataFrame, overrides: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Add `override_doc` where an exact observation (length, bytes, optional extension) matches.
 
-    Joined on length, then on the bytes; the observation table is a literal of bounded size. Entries for one length must
-    differ in their bytes or extension, so at most one matches an object.
+    Joined on length, then on the bytes. `override_table` is a broadcast table of constants, so contents stay where they are.
+    Entries for one length must differ in their bytes or extension, so at most one matches an object.
     """
     return (
         objects.join(

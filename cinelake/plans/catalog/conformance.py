@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cinelake.functions import literal
 from cinelake.operators import conformance as Q
 from cinelake.plans.catalog.common import documents, pick, sql_list
 from cinelake.plans.registry import query, table
@@ -127,7 +128,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 10000).alias("expected"), F.col("o_orderpriority").alias("codec_name"))
     a = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("s")).select("o_orderkey", F.round(F.col("s") / 10000).alias("actual"))
-    tolerances = spark.createDataFrame([("1-URGENT", 8.0), ("2-HIGH", 4.0)], "codec_name string, tolerance double")
+    tolerances = literal.small_table(spark, [("1-URGENT", 8.0), ("2-HIGH", 4.0)], "codec_name string, tolerance double")
     return Q.within_tolerance(e, a, tolerances, ["o_orderkey"], default=2.0).select("o_orderkey", "matches")
 
 
