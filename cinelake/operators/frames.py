@@ -122,20 +122,14 @@ def _div255(v: Column) -> Column:
 
 def alpha_over(src: Column, dst: Column) -> Column:
     """Blend of RGBA structs (r, g, b, a), integer arithmetic with rounded division by 255."""
-    sa = src["a"].cast("long")
-
-    def mix(t: Column) -> Column:
-        inverse = 255 - t["s"]["a"]
-        out_a = t["s"]["a"] + _div255(t["d"]["a"] * inverse)
-
-        def channel(c: str) -> Column:
-            below = _div255(t["d"][c] * t["d"]["a"] * inverse)
-            return _div(t["s"][c] * t["s"]["a"] + below + _div(out_a, F.lit(2)), out_a).alias(c)
-
-        return F.struct(channel("r"), channel("g"), channel("b"), out_a.alias("a"))
-
-    wide = lambda p: F.struct(*[p[c].cast("long").alias(c) for c in "rgba"])
-    return F.when(sa == 0, wide(dst)).when(sa == 255, wide(src)).otherwise(B.let(F.struct(wide(src).alias("s"), wide(dst).alias("d")), mix))
+    wide = lambda p: {c: p[c].cast("long") for c in "rgba"}
+    s, d = wide(src), wide(dst)
+    inverse = 255 - s["a"]
+    out_a = s["a"] + _div255(d["a"] * inverse)
+    # plain columns, so that the blend stays inside generated code
+    mixed = {c: _div(s[c] * s["a"] + _div255(d[c] * d["a"] * inverse) + _div(out_a, F.lit(2)), out_a) for c in "rgb"} | {"a": out_a}
+    as_struct = lambda p: F.struct(*[p[c].alias(c) for c in "rgba"])
+    return F.when(s["a"] == 0, as_struct(d)).when(s["a"] == 255, as_struct(s)).otherwise(as_struct(mixed))
 
 
 def blend_frames(patches: DataFrame, key: str = "path") -> DataFrame:
