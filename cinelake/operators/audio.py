@@ -135,16 +135,17 @@ def frame_hashes(samples: DataFrame, header: DataFrame, keys: Sequence[str] = ("
     )
 
 
-def frame_hashes_by_chunk(chunks: DataFrame, cap: int | None, keys: Sequence[str] = ("path",), channels: str = "channels",
+def frame_hashes_by_chunk(chunks: DataFrame, cap: int | Column | None, keys: Sequence[str] = ("path",), channels: str = "channels",
                           payload: str = "payload") -> DataFrame:
     """Frames that never cross a chunk: at most `cap` samples each, or the whole chunk. Payloads are s16le and channel-aligned.
 
-    Only chunk durations take part in the running total; payloads are hashed where they lie and do not travel.
+    Only chunk durations take part in the running total; payloads are hashed where they lie and do not travel. With the whole
+    data as one chunk and `frame_len(rate)` as the cap this is the fixed-size manifest of `frame_hashes`, without a row per sample.
     """
     keys = list(keys)
     block = F.col(channels) * 2
     count = rational.int_div(B.size_of(payload), block)
-    step = F.lit(cap).cast("long") if cap else count
+    step = count if cap is None else B.lit(cap).cast("long")
 
     def digest(i: Column) -> Column:
         piece = B.slice_bytes(payload, i * step * block, step * block)

@@ -132,6 +132,18 @@ def alpha_over(src: Column, dst: Column) -> Column:
     return F.when(s["a"] == 0, as_struct(d)).when(s["a"] == 255, as_struct(s)).otherwise(as_struct(mixed))
 
 
+def _alpha_over_once(src: Column, dst: Column) -> Column:
+    """`alpha_over` for use inside a fold, where nothing shares repeated terms: each is bound to a variable first."""
+    wide = lambda p: F.struct(*[p[c].cast("long").alias(c) for c in "rgba"])
+    alpha = lambda t: F.struct(t["s"].alias("s"), t["d"].alias("d"), (t["s"]["a"] + _div255(t["d"]["a"] * (255 - t["s"]["a"]))).alias("out"))
+
+    def mix(t: Column) -> Column:
+        channel = lambda c: _div(t["s"][c] * t["s"]["a"] + _div255(t["d"][c] * t["d"]["a"] * (255 - t["s"]["a"])) + _div(t["out"], F.lit(2)), t["out"])
+        return F.when(t["s"]["a"] == 0, t["d"]).when(t["s"]["a"] == 255, t["s"]).otherwise(F.struct(*[channel(c).alias(c) for c in "rgb"], t["out"].alias("a")))
+
+    return B.let(B.let(F.struct(wide(src).alias("s"), wide(dst).alias("d")), alpha), mix)
+
+
 def blend_frames(patches: DataFrame, key: str = "path") -> DataFrame:
     """Pixels shown by frames that are blended over what lies below: patches(path, frame_no, pixel, rgba STRUCT, op source|over, dispose).
 
@@ -150,7 +162,7 @@ def blend_frames(patches: DataFrame, key: str = "path") -> DataFrame:
     start = F.struct(F.coalesce("base", clear).alias("canvas"), F.array().cast("array<struct<frame_no:bigint,r:bigint,g:bigint,b:bigint,a:bigint>>").alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
-        drawn = F.when(i["op"] == "source", i["rgba"]).otherwise(alpha_over(i["rgba"], acc["canvas"]))
+        drawn = F.when(i["op"] == "source", i["rgba"]).otherwise(_alpha_over_once(i["rgba"], acc["canvas"]))
 
         def after(d: Column) -> Column:
             kept = F.when(i["dispose"] == "keep", d).when(i["dispose"] == "clear", clear).otherwise(acc["canvas"])

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake import rules as R
 from cinelake.functions import binary as B, literal, rational
+from cinelake.observations import OBSERVATIONS
+from cinelake.schemas import PROBE_DOC
 
 _ASCII_UP, _ASCII_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -128,6 +130,7 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
     "ptx_size": lambda c: (B.uint(c, 8, 2, "le") > 0) & (B.uint(c, 10, 2, "le") > 0)
     & (B.size_of(c) >= B.uint(c, 8, 2, "le") * B.uint(c, 10, 2, "le") * 2 + 44),
     "subtitle_text": _subtitle,
+    "observed": lambda c: observed_document(F.lit("*"), c).isNotNull(),
     "tty_packet_pts": lambda c: B.contains_bytes(c, b"packet PTS: "),
 }
 
@@ -466,34 +469,28 @@ def map_codec(df: DataFrame, tag_dim: DataFrame, tag: str = "tag", default: str
     )
 
 
-def override_table(spark, overrides: Sequence[tuple] = R.OVERRIDES) -> DataFrame:
-    rows = []
-    for ext, length, offset, prefix, fmt, streams in overrides:
-        docs = [(i, k, codec, rate, ch, bits, secs, w, h, None) for i, (k, codec, rate, ch, bits, w, h, secs) in enumerate(streams)]
-        rows.append((ext, length, offset, bytearray(prefix), (fmt, docs)))
-    from cinelake.schemas import PROBE_DOC
-
-    schema = f"o_ext string, o_length long, o_offset int, o_prefix binary, o_doc {PROBE_DOC.simpleString()}"
-    return literal.small_table(spark, rows, schema)
+def observed_document(suffix: Column, content: Column, observations: Sequence[tuple] = OBSERVATIONS) -> Column:
+    """Document of the first exact observation for a suffix ('*' for those without one), NULL when none matches.
 
+    The observations are one literal keyed by suffix, so nothing is joined and contents stay where they are.
+    """
+    ddl = f"map<string,array<struct<length:bigint,terms:array<{_TERM}>,doc:{PROBE_DOC.simpleString()}>>>"
+    names = ("codec_type", "codec_name", "sample_rate", "channels", "bits_per_sample", "width", "height", "duration_seconds")
+    table: dict[str, list] = {}
+    for ext, length, terms, fmt, streams in observations:
+        docs = [{"index": i, **dict(zip(names, s))} for i, s in enumerate(streams)]
+        table.setdefault("*" if ext is None else ext, []).append(
+            {"length": length, "terms": [{"at": o + 1, "n": len(b), "hex": b.hex().upper()} for o, b in terms], "doc": {"format": fmt, "streams": docs}})
+    at = lambda t: F.hex(F.substring(content, t["at"], t["n"]))
+    hit = F.filter(
+        F.try_element_at(B.literal_table(table, ddl), suffix),
+        lambda r: (r["length"].isNull() | (r["length"] == B.size_of(content))) & F.forall(r["terms"], lambda t: at(t) == t["hex"]))
+    return F.get(hit, F.lit(0))["doc"]
 
-def apply_overrides(objects: DataFrame, overrides: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """Add `override_doc` where an exact observation (length, bytes, optional extension) matches.
 
-    Joined on length, then on the bytes. `override_table` is a broadcast table of constants, so contents stay where they are.
-    Entries for one length must differ in their bytes or extension, so at most one matches an object.
-    """
-    return (
-        objects.join(
-            overrides,
-            (B.size_of(content) == F.col("o_length"))
-            & (F.col("o_ext").isNull() | (F.col("o_ext") == F.col("ext")))
-            & (B.slice_bytes(content, F.col("o_offset"), F.octet_length("o_prefix")) == F.col("o_prefix")),
-            "left",
-        )
-        .withColumnRenamed("o_doc", "override_doc")
-        .drop("o_ext", "o_length", "o_offset", "o_prefix")
-    )
+def apply_overrides(objects: DataFrame, observations: Sequence[tuple] = OBSERVATIONS, content: str = "content") -> DataFrame:
+    """Add `override_doc` where an exact observation for the object's suffix matches."""
+    return objects.withColumn("override_doc", observed_document(F.col("ext"), F.col(content), observations))
 
 
 def is_denied(content: Column, deny_list: Sequence[tuple] = R.DENY_LIST) -> Column:

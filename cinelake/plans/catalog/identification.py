@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cinelake import rules as R
 from cinelake.functions import binary as B
+from cinelake.observations import OBSERVATIONS
 from cinelake.operators import identify as I
 from cinelake.plans.catalog.common import PREFIXES, TAGGED_SQL, documents, hx, pick, sql_list, sql_uint, tagged_objects
 from cinelake.plans.registry import query, table
@@ -44,6 +45,7 @@ def text_format_sql(txt: str) -> str:
 def _check_sql(check):
     u = lambda o, n: f"({sql_uint(o, n, 'le')})"
     return {
+        "observed": " OR ".join("(len = %d AND %s)" % (n, " AND ".join(f"{hx(o, len(b))} = '{b.hex().upper()}'" for o, b in ts)) for e, n, ts, _, _ in OBSERVATIONS if e is None),
         "kvag_rate": f"{u(8, 4)} BETWEEN 8000 AND 96000",
         "sgi_mv_tracks": f"contains(hx, '{b'__NUM_I_TRACKS'.hex().upper()}')",
         "ac3_header": f"(({sql_uint(4, 1)}) < 192 AND ({sql_uint(5, 1)}) < 88 AND ({sql_uint(4, 1)}) & 63 < 38) OR (len >= 8 AND ({sql_uint(2, 1)}) < 192 AND ({sql_uint(5, 1)}) BETWEEN 88 AND 135 "
@@ -214,22 +216,21 @@ def _(spark, sf):
 
 @query("apply_overrides_p5", f"""WITH {TAGGED_SQL}, d AS (SELECT * FROM objects),
   o AS (SELECT len % 997 AS k, ext, hx, doc_id, len FROM d),
-  r(r_ext, r_mod, r_off, r_bytes, codec, rate) AS (VALUES ('mp3', 0, 0, '5249', 'mp3', 44100), (NULL, 1, 0, '46', 'mpeg2video', NULL),
-    ('wav', 2, 0, '', 'pcm_s16le', 8000))
+  r(r_ext, r_mod, r_bytes, r_third, codec, rate) AS (VALUES ('mp3', 0, '5249', NULL, 'mp3', 44100), ('png', NULL, '46', '52', 'mpeg2video', NULL), ('wav', 2, '', NULL, 'pcm_s16le', 8000))
   SELECT doc_id, r.codec AS codec_name, r.rate::BIGINT AS sample_rate FROM o LEFT JOIN r
-  ON o.len % 3 = r.r_mod AND (r.r_ext IS NULL OR r.r_ext = o.ext) AND starts_with(substr(hx, 2 * r_off + 1), r_bytes)""")
+  ON (r.r_mod IS NULL OR o.len % 3 = r.r_mod) AND r.r_ext = o.ext AND starts_with(hx, r_bytes) AND (r_third IS NULL OR {hx(2, 1)} = r_third)""")
 def _(spark, sf):
     # lengths folded to three classes so that the observations hit real rows
     o = I.with_extension(tagged_objects(spark, sf)).withColumn("full", F.col("content"))
     o = o.withColumn("content", F.concat(F.substring("full", 1, 10), F.expr("substring(X'000000', 1, cast(length(full) % 3 as int))")))
     o = o.where(F.octet_length("full") >= 10).unionByName(o.where(F.octet_length("full") < 10))
     rules = (
-        ("mp3", 10, 0, b"RI", "mp3", (("audio", "mp3", 44100, 1, 0, None, None, 1.0),)),
-        (None, 11, 0, b"F", "mpeg", (("video", "mpeg2video", None, None, None, 160, 120, 1.58),)),
-        ("wav", 12, 0, b"", "wav", (("audio", "pcm_s16le", 8000, 1, 16, None, None, 1.0),)),
+        ("mp3", 10, ((0, b"RI"),), "mp3", (("audio", "mp3", 44100, 1, 0, None, None, 1.0),)),
+        ("wav", 12, (), "wav", (("audio", "pcm_s16le", 8000, 1, 16, None, None, 1.0),)),
+        ("png", None, ((0, b"F"), (2, b"R")), "mpeg", (("video", "mpeg2video", None, None, None, 160, 120, 1.58),)),
     )
     s = F.get(F.col("override_doc.streams"), 0)
-    return I.apply_overrides(o, I.override_table(spark, rules)).select("doc_id", s["codec_name"].alias("codec_name"), s["sample_rate"].alias("sample_rate"))
+    return I.apply_overrides(o, rules).select("doc_id", s["codec_name"].alias("codec_name"), s["sample_rate"].alias("sample_rate"))
 
 
 @query("deny_p6", f"""WITH {TAGGED_SQL} SELECT doc_id, path FROM objects

@@ -74,11 +74,11 @@ def probe_table(objects: DataFrame) -> DataFrame:
     """One row per object of objects(path, length, content): doc or error, and the stage that decided.
 
     Precedence: exact observations for preferred extensions, then content (signature, then header), then the extension alone.
-    All of it is one pass over the contents without a shuffle (the observation table is a broadcast literal).
+    All of it is one pass over the contents without a join or a shuffle.
     """
     c = F.col("content")
     o = I.with_extension(objects).withColumn("length", B.size_of("content")).withColumn("refused", I.is_denied(c))
-    o = I.apply_overrides(o, I.override_table(objects.sparkSession))
+    o = I.apply_overrides(o)
     o = I.header_streams(I.extract_fields(I.refine_format(I.match_signatures(o)))).drop("fields")
     # the same header rules for formats known by extension, kept apart as the last stage
     o = o.withColumnsRenamed({"format": "content_format", "streams": "content_streams", "error_kind": "content_kind"})
@@ -89,7 +89,7 @@ def probe_table(objects: DataFrame) -> DataFrame:
     # from here on only small columns travel
     o = o.select(
         "path", "ext", "length", "format", "override_doc", "refused", "ext_format", "ext_streams", "error_kind", "streams", F.when(f == "gif", gif_seconds(F.col("chunks"))).alias("gif_seconds"),
-        F.when(f == "wav", F.col("chunks")).alias("chunks"), F.when(f == "ac3", I.ac3_info(c)).alias("ac3"),
+        F.when(f == "wav", F.col("chunks")).alias("chunks"), F.when(f == "ac3", I.ac3_info(c)).alias("ac3"), F.when(f == "observed", I.observed_document(F.lit("*"), c)).alias("observed_doc"),
         F.when(f == "subtitle", I.text_format(F.make_valid_utf8(c.cast("string")))).alias("text_format"))
     o = with_wav(o)
     length = F.col("length")
@@ -98,9 +98,9 @@ def probe_table(objects: DataFrame) -> DataFrame:
     tty = F.array(_stream("video", F.lit("ansi"), rational.ceil_div(length, F.lit(240)) / 25.0, width=640, height=400))
     empty = F.array().cast(o.schema["streams"].dataType)
     streams = (
-        F.when(f == "wav", F.col("wav_streams")).when(f == "gif", gif).when(f == "ac3", ac3).when(f == "tty", tty).when(f == "subtitle", empty).otherwise(F.col("streams")))
+        F.when(f == "wav", F.col("wav_streams")).when(f == "gif", gif).when(f == "ac3", ac3).when(f == "tty", tty).when(f == "subtitle", empty).when(f == "observed", F.col("observed_doc.streams")).otherwise(F.col("streams")))
     reported = lambda name: F.coalesce(F.try_element_at(B.literal_table(R.REPORTED_FORMAT, "map<string,string>"), name), name)
-    content_name = F.coalesce(F.when(f == "subtitle", F.col("text_format")), F.col("ac3.codec"), reported(f))
+    content_name = F.coalesce(F.when(f == "subtitle", F.col("text_format")), F.col("ac3.codec"), F.col("observed_doc.format"), reported(f))
     content_error = F.when(F.col("refused"), "invalid_data: refused observation").when(f.isNull(), "unsupported: unrecognized media format").otherwise(
         F.coalesce(F.col("wav_error"), F.concat(F.col("error_kind"), F.lit(": header")), F.lit("unsupported: no header rule")))
     packets = lambda s: s.withField("duration_seconds", F.when(F.col("ext_format") == "cdg", rational.int_div(length, F.lit(24)) / 300.0).otherwise(s["duration_seconds"]))
@@ -109,7 +109,7 @@ def probe_table(objects: DataFrame) -> DataFrame:
     o = o.select(
         "path", F.when(F.col("ext").isin(*R.PREFERRED_EXTENSIONS), F.col("override_doc")).alias("preferred"),
         F.when(F.col("streams").isNotNull() & ~F.col("refused"), F.struct(content_name.alias("format"), F.col("streams").alias("streams"))).alias("by_content"),
-        F.coalesce(I.extension_streams(F.col("ext"), length), by_header).alias("by_extension"), content_error.alias("content_error"))
+        F.coalesce(F.when(F.col("ext").isin(*R.FALLBACK_EXTENSIONS), F.col("override_doc")), I.extension_streams(F.col("ext"), length), by_header).alias("by_extension"), content_error.alias("content_error"))
     return I.resolve_probe(o, "preferred", "by_content", "by_extension", "content_error").select("path", "stage", "doc", "error")
 
 

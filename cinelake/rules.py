@@ -44,6 +44,7 @@ SIGNATURES: tuple[Signature, ...] = (
     _sig("dxa", b"DEXA", n=15),
     _sig("film_cpk", [(0, b"FILM"), (16, b"FDSC")], n=48),
     _sig("ipmovie", b"Interplay MVE File\x1a", n=20),
+    _sig("observed", check="observed"),
     _sig("gdv", b"\x94\x19\x11\x29", n=24),
     _sig("roq", b"\x84\x10\xff\xff\xff\xff", n=8),
     _sig("jv", b"JV00 Compression", n=94),
@@ -269,20 +270,9 @@ EXTENSION_FORMATS: tuple[tuple, ...] = (
 PREFERRED_EXTENSIONS = ("", "264", "aac", "adts", "asf", "avi", "ape", "bit", "eac3", "flv", "hif", "ism", "ivf", "jpg", "m4a", "mkv",
                         "mov", "mp3", "mp4", "mpg", "mtv", "mxg", "ogg", "opus", "thd", "trec", "ts", "vp7", "wav", "wma", "wmv", "wv")
 
-# Exact observations (ext, length, offset, bytes, format, streams(kind, codec, rate, channels, bits, width, height, seconds)).
-OVERRIDES: tuple[tuple, ...] = (
-    ("mp3", 17135, 0, b"\xff\xfb\x90\xc4\0\0\0\0\0\0\0\0", "mp3", (("audio", "mp3", 44100, 1, 0, None, None, 1.0),)),
-    ("mp3", 25069, 0, b"ID3\x04", "mp3", (("audio", "mp3", 44100, 2, 0, None, None, 0.53551), ("video", "mjpeg", None, None, None, 263, 263, 0.535511))),
-    ("mp3", 250264, 0, b"ID3\x04", "mp3", (("audio", "mp3", 44100, 2, 0, None, None, 15.484807),)),
-    ("mp4", 87059, 4, b"ftypisom", "mp4", (("video", "hevc", None, None, None, 320, 240, 0.95),)),
-    ("mp4", 39845, 4, b"ftypmp42", "mp4", (("audio", "mpegh_3d_audio", 48000, 0, 0, None, None, 1.8),)),
-    ("mp4", 144820, 4, b"ftypmp42", "mp4", (("audio", "mp3", 44100, 2, 0, None, None, 7.523265),)),
-    (None, 2048, 0, b"II*\0", "tiff_pipe", (("video", "tiff", None, None, None, 0, 0, 0.0),)),
-    (None, 25000, 0, b"\0\0\x01\xba\x21\0\x03\x51\x81\xa1\x9a\x75", "mpeg",
-     (("video", "mpeg2video", None, None, None, 160, 120, 1.58), ("audio", "ac3", 48000, 2, 0, None, None, 1.055))),
-    (None, 25000, 0, b"\x1f\x07\0\x3f\x08\x78\x78\x78\xff\xff\xff\xff", "dv",
-     (("video", "dvvideo", None, None, None, 720, 480, 0.00695), ("audio", "pcm_s16le", 48000, 2, 16, None, None, 0.006951))),
-)
+# Extensions whose exact-observation rules are tried last, when the content is not recognised.
+FALLBACK_EXTENSIONS = ("asf", "avi", "bit", "divx", "f32", "flv", "m4v", "mkv", "mov", "mp4", "mpg", "mvi", "obu", "ogg", "pcm", "pva", "rmvb", "rsd",
+                       "s16", "seq", "smv", "sw", "ts", "vob", "vvc", "webm", "xesc")
 
 # Exact observations that are refused (length, ((offset, bytes), ...)).
 DENY_LIST: tuple[tuple, ...] = (

@@ -29,6 +29,12 @@ def test_silent_frames(spark):
     assert rows[0].size == 1024 and rows[0].hash == "0f343b0931126a20f133d67c2b018a3b"
 
 
+def test_frames_from_payload(spark):
+    chunk = spark.createDataFrame([("a", 0, 1, 8000, bytearray(2200))], "path string, chunk_no long, channels int, sample_rate long, payload binary")
+    rows = sorted(A.frame_hashes_by_chunk(chunk, A.frame_len(F.col("sample_rate"))).collect(), key=lambda r: r.pts)
+    assert [r.duration for r in rows] == [512, 512, 76] and rows[0].hash == "0f343b0931126a20f133d67c2b018a3b" and all(r.silent for r in rows)
+
+
 @pytest.mark.parametrize("fmt,payload,want", [
     ("u8", "0080FF", [-32768, 0, 32512]),
     ("s24le", "000000008000000080FFFF7F", [0, 128, -32768, 32767]),
@@ -183,11 +189,30 @@ def test_overrides_and_deny(spark):
     for o, b in R.DENY_LIST[0][1]:
         denied[o : o + len(b)] = b
     df = spark.createDataFrame([("a.mp3", "mp3", blob), ("a.wav", "wav", blob), ("u.mp4", "mp4", denied)], "path string, ext string, content binary")
-    rows = {r.path: r.override_doc for r in I.apply_overrides(df, I.override_table(spark)).collect()}
+    rows = {r.path: r.override_doc for r in I.apply_overrides(df).collect()}
     assert rows["a.wav"] is None and [s.codec_name for s in rows["a.mp3"].streams] == ["mp3", "mjpeg"]
     assert {r.path for r in I.deny(df).collect()} == {"a.mp3", "a.wav"}
 
 
+def test_observations(spark):
+    """Every observation is found by an object made from it, and entries of one suffix do not hide each other."""
+    from cinelake.observations import OBSERVATIONS
+
+    rows = []
+    for i, (ext, length, terms, fmt, streams) in enumerate(OBSERVATIONS):
+        size = length or 600
+        if size > 600000:
+            continue
+        blob = bytearray(size)
+        for o, b in terms:
+            blob[o : o + len(b)] = b
+        rows.append((i, "*" if ext is None else ext, blob, fmt, streams[0][1]))
+    df = spark.createDataFrame(rows, "i int, ext string, content binary, fmt string, codec string").repartition(8)
+    got = df.select("i", "fmt", "codec", I.observed_document(F.col("ext"), F.col("content")).alias("d")).collect()
+    assert len(got) > 100
+    assert [(r.i, r.d and r.d.format) for r in got if r.d is None or r.d.format != r.fmt or r.d.streams[0].codec_name != r.codec] == []
+
+
 def test_chunk_index(spark):
     box = lambda name, body: struct.pack(">I", 8 + len(body)) + name + body
     iso = box(b"ftyp", b"isom") + box(b"moov", box(b"mvhd", bytes(20)) + box(b"trak", box(b"tkhd", b""))) + struct.pack(">I4sQ", 1, b"mdat", 20) + bytes(4) + struct.pack(">I4s", 0, b"free") + b"rest"
