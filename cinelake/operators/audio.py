@@ -66,11 +66,17 @@ def decode_pcm(pieces: DataFrame, fmt: str, key: str = "path", base: str = "base
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, bases, blobs = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            rows, numbers, values, held = [], [], [], 0
             for i in range(batch.num_rows):
                 v = _decode(np.frombuffer(blobs[i].as_buffer(), dtype=np.uint8), fmt)
-                n = np.arange(bases[i], bases[i] + len(v), dtype=np.int64)
-                same = keys.take(pa.array(np.full(len(v), i, np.int64)))
-                yield pa.RecordBatch.from_arrays([same, pa.array(n), pa.array(v.astype(np.int32))], names=[key, "n", "v"])
+                rows.append(np.full(len(v), i, np.int64))
+                numbers.append(np.arange(bases[i], bases[i] + len(v), dtype=np.int64))
+                values.append(v.astype(np.int32))
+                held += len(v)
+                if held >= 1 << 18 or i + 1 == batch.num_rows:
+                    columns = [keys.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(numbers)), pa.array(np.concatenate(values))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "v"])
+                    rows, numbers, values, held = [], [], [], 0
 
     rows = pieces.select(key, F.col(base).cast("long"), payload).where(F.octet_length(payload) > 0)
     return rows.mapInArrow(run, ddl)

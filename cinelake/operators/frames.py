@@ -96,6 +96,15 @@ def pattern_timing(frames: DataFrame, keys: Sequence[str] = ("path",), ordinal:
     return ends.select(*keys, F.when(steps, "steps_1_1").when(all11 | but_last, "rate_109_12").alias("pattern")).where("pattern is not null")
 
 
+def fraction_timing(delays: DataFrame, keys: Sequence[str] = ("path",), ordinal: str = "frame_no", num: str = "num", den: str = "den") -> DataFrame:
+    """Rate and frame duration of images timed by fractions: all 9/50 is 50/3 with 3 ticks per frame, else the first delay gives the rate."""
+    d = delays.withColumn("__f", fraction_delay(F.col(num), F.col(den)))
+    fixed = (F.col("__f.num") == 9) & (F.col("__f.den") == 50)
+    g = d.groupBy(*keys).agg(F.bool_and(fixed).alias("__all"), F.min_by("__f", ordinal).alias("__first"))
+    pick = lambda a, b: F.when(F.col("__all"), _long(a)).otherwise(b)
+    return g.select(*keys, pick(50, F.col("__first.den")).alias("rate_num"), pick(3, F.col("__first.num")).alias("rate_den"), pick(3, _long(1)).alias("duration"))
+
+
 # ---- compositing ------------------------------------------------------------------------------------------------
 
 def composite(frames: DataFrame, patches: DataFrame, canvas: DataFrame, background: Column | int = 0, key: str = "path", block: int = 1 << 12) -> DataFrame:

@@ -218,3 +218,14 @@ def _(spark, sf):
 def _(spark, sf):
     frames = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("path"))
     return A.empty_manifest(table(spark, sf, "orders").select(F.col("o_orderkey").alias("path")), frames)
+
+
+@query("transform_manifest_a7", f"""WITH {STREAMS}, g AS (SELECT path, n - 10 AS n, ch, greatest(-32768, least(32767, round_even(v * 0.5::DOUBLE, 0)))::INTEGER AS v FROM samples WHERE n >= 10)
+  SELECT path, n // 16 AS frame_no, n // 16 * 16 AS pts, count(*) // 2 AS duration, count(*) * 2 AS size, md5(unhex(string_agg({S16HEX}, '' ORDER BY n, ch))) AS hash FROM g GROUP BY path, n // 16""")
+def _(spark, sf):
+    """Gain and seek, then the frame manifest, as one plan."""
+    from cinelake.plans.transform import transform_manifest
+
+    s = streams(spark, sf)
+    header = s.select("path").distinct().select("path", F.lit(200).cast("long").alias("sample_rate"), F.lit(2).alias("channels"))
+    return transform_manifest(s, header, gain=0.5, start="0.05").select("path", "frame_no", "pts", "duration", "size", "hash")

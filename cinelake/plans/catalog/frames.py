@@ -109,6 +109,16 @@ def _(spark, sf):
     return V.pattern_timing(o.select("path", "frame_no", delay.alias("delay")))
 
 
+@query("fraction_timing_v8", f"""WITH {EV}, d AS (SELECT user_id AS path, event_id, CASE WHEN user_id % 4 = 0 THEN 18 ELSE k % 6 END AS n, CASE WHEN user_id % 4 = 0 THEN 100 ELSE k % 5 * 25 END AS d0 FROM ev),
+  e AS (SELECT path, event_id, n, CASE WHEN d0 = 0 THEN 100 ELSE d0 END AS d FROM d), f AS (SELECT path, event_id, CASE WHEN n = 0 THEN 1 ELSE n // gcd(n, d) END AS num, CASE WHEN n = 0 THEN 10 ELSE d // gcd(n, d) END AS den FROM e),
+  g AS (SELECT path, bool_and(num = 9 AND den = 50) AS al, arg_min(num, event_id) AS num, arg_min(den, event_id) AS den FROM f GROUP BY path)
+  SELECT path, CASE WHEN al THEN 50 ELSE den END AS rate_num, CASE WHEN al THEN 3 ELSE num END AS rate_den, CASE WHEN al THEN 3 ELSE 1 END::BIGINT AS duration FROM g""")
+def _(spark, sf):
+    k, fixed = F.col("k"), F.col("user_id") % 4 == 0
+    d = events(spark, sf).select(F.col("user_id").alias("path"), F.col("event_id").alias("frame_no"), F.when(fixed, 18).otherwise(k % 6).alias("num"), F.when(fixed, 100).otherwise(k % 5 * 25).alias("den"))
+    return V.fraction_timing(d)
+
+
 _DISPOSE = ["keep", "clear", "restore"]
 COMP = f"""{EV}, f AS (SELECT user_id AS path, event_id AS frame_no, ({sql_list(_DISPOSE)})[event_id % 3 + 1] AS dispose, k FROM ev WHERE event_type IN ('view', 'click')),
   c AS (SELECT DISTINCT user_id AS path, k // 10 AS pixel FROM ev WHERE k % 3 = 0)"""
