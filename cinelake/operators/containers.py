@@ -34,6 +34,7 @@ def split_records(objects: DataFrame, size: int, content: str = "content") -> Da
     return out.withColumn("record_no", F.col("record_no").cast("long"))
 
 
+_ISO_TABLES = frozenset({b"stsz", b"stco", b"co64", b"stsc", b"stts"})
 _ISO_NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"moof", b"traf", b"edts", b"dinf", b"mvex"}
 
 
@@ -70,7 +71,7 @@ def _walk_ogg(data, start, end, parent, emit):
     while pos + 27 <= end and bytes(data[pos : pos + 4]) == b"OggS":
         table = pos + 27 + data[pos + 26]
         size = sum(data[pos + 27 : table])
-        emit(parent, b"OggS", table, size, table + size > end)
+        emit(parent, b"OggS", table, size, table + size > end, bytes(data[pos : min(table, end)]))
         pos = table + size
 
 
@@ -103,9 +104,10 @@ def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str
     """Nodes of size-prefixed containers, in file order: `riff` (padded, little endian), `iso` (32/64-bit, 0 = to the end), `ogg` pages, `gif` blocks.
 
     The walk inside one object is sequential, so each row is walked where it lies; nodes leave in bounded batches. `head`
-    holds the first bytes of each node, enough for fixed headers, so contents need not be joined again.
+    holds the first bytes of each node (the whole of sample tables, the header of Ogg pages), so contents need not be joined again.
     """
     walk = _WALKERS[family]
+    whole = _ISO_TABLES if family == "iso" else frozenset()
     key_type = objects.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +124,11 @@ def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str
                 data = memoryview(blob.as_buffer()).cast("B")
                 count = 0
 
-                def emit(parent, ident, off, size, truncated):
+                def emit(parent, ident, off, size, truncated, head=None):
                     nonlocal count
-                    rows.append((name, count, parent, ident.decode("latin-1"), off, size, truncated, bytes(data[off : off + min(size, head_bytes)])))
+                    if head is None:
+                        head = bytes(data[off : off + (size if ident in whole else min(size, head_bytes))])
+                    rows.append((name, count, parent, ident.decode("latin-1"), off, size, truncated, head))
                     count += 1
                     return count - 1
 
@@ -300,6 +304,49 @@ def first_last_span(packets: DataFrame, keys: Sequence[str] = ("path", "pid"), p
     return agg.select(*keys, (F.greatest(_zero(), F.col("b") - F.col("a")) / F.lit(90000.0)).alias("duration_seconds"))
 
 
+# ---- tables from chunks -------------------------------------------------------------------------------------------
+
+def iso_sample_tables(chunks: DataFrame) -> dict[str, DataFrame]:
+    """stsc, stco, stsz and stts of `chunk_index(..., "iso")` as tables keyed by (path, track); tracks are numbered by their box.
+
+    Boxes come in depth-first order, so a table belongs to the last track box before it.
+    """
+    track = F.when(F.col("id") == "trak", F.col("seq"))
+    boxes = ordered.previous_value(chunks, ["path"], "seq", track, "track", skip_nulls=True).where(F.col("track").isNotNull())
+    h = F.col("head")
+    u = lambda o, n=4: B.uint(h, o, n)
+    keys = ["path", "track"]
+
+    def entries(ids: Sequence[str], count: Column, entry) -> DataFrame:
+        b = boxes.where(F.col("id").isin(*ids)).select(*keys, "id", "head", count.alias("__n"))
+        rows = F.when(F.col("__n") > 0, F.transform(F.sequence(_zero(), F.col("__n") - 1), lambda i: F.struct(i.alias("i"), *entry(i))))
+        return b.select(*keys, F.explode_outer(rows).alias("e")).where("e is not null").select(*keys, "e.*")
+
+    offset = lambda i: F.when(F.col("id") == "co64", u(i * 8 + 8, 8)).otherwise(u(i * 4 + 8))
+    size = lambda i: F.when(u(4) == 0, u(i * 4 + 12)).otherwise(u(4))
+    return {
+        "stsc": entries(["stsc"], u(4), lambda i: [u(i * 12 + 8).alias("first_chunk"), u(i * 12 + 12).alias("samples_per_chunk")]).drop("i"),
+        "stco": entries(["stco", "co64"], u(4), lambda i: [offset(i).alias("offset")]).withColumn("chunk_no", F.col("i") + 1).drop("i"),
+        "stsz": entries(["stsz"], u(8), lambda i: [size(i).alias("size")]).withColumnRenamed("i", "sample_no"),
+        "stts": entries(["stts"], u(4), lambda i: [u(i * 8 + 8).alias("count"), u(i * 8 + 12).alias("delta")]).withColumnRenamed("i", "run_no"),
+    }
+
+
+def ogg_pages(chunks: DataFrame) -> DataFrame:
+    """pages(path, page_no, serial, granule, truncated, data_off, lens) of `chunk_index(..., "ogg")`; granule -1 is unknown."""
+    h = F.col("head")
+    lens = F.transform(F.sequence(F.lit(27), F.octet_length(h) - 1), lambda i: B.uint(h, i, 1))
+    return chunks.select(
+        "path", F.col("seq").alias("page_no"), B.uint(h, 14, 4, "le").alias("serial"), F.coalesce(B.uint(h, 6, 8, "le"), F.lit(-1).cast("long")).alias("granule"), "truncated",
+        "data_off", F.when(F.octet_length(h) > 27, lens).otherwise(F.array().cast("array<bigint>")).alias("lens"))
+
+
+def ogg_segments(pages: DataFrame) -> DataFrame:
+    """segments(path, serial, seg_no, len): lacing values in file order; a page has at most 255, so numbers never meet."""
+    s = pages.select("path", "serial", "page_no", F.posexplode_outer("lens").alias("__i", "len")).where("len is not null")
+    return s.select("path", "serial", (F.col("page_no") * 256 + F.col("__i")).alias("seg_no"), F.col("len").cast("int").alias("len"))
+
+
 # ---- sample tables ----------------------------------------------------------------------------------------------
 
 def resolve_samples(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Sequence[str] = ("path", "track")) -> DataFrame:

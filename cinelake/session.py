@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "cinelake", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,10 +30,11 @@ def build_session(app: str = "cinelake", cores: int | str = "*", shuffle_partiti
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only in local runs that set none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    return _LOCAL["folder"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

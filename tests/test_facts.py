@@ -228,6 +228,32 @@ def test_chunk_index(spark):
     assert (r.data_off, r.data_len) == (8, 16)
 
 
+def test_iso_sample_tables(spark):
+    box = lambda name, body: struct.pack(">I", 8 + len(body)) + name + body
+    table = lambda name, n, *v: box(name, struct.pack(">II", 0, n) + struct.pack(f">{len(v)}I", *v))
+    stbl = lambda sizes, chunks: box(b"stbl", table(b"stsc", 2, 1, 2, 1, 3, 1, 1) + table(b"stco", len(chunks), *chunks) + box(b"stsz", struct.pack(">III", 0, 0, len(sizes)) + struct.pack(f">{len(sizes)}I", *sizes))
+                                     + table(b"stts", 2, 3, 10, 2, 5))
+    trak = lambda *a: box(b"trak", box(b"tkhd", bytes(8)) + box(b"mdia", box(b"minf", stbl(*a))))
+    blob = box(b"ftyp", b"isom") + box(b"moov", trak([5, 6, 7, 8, 9], [100, 200, 300]) + trak([1, 1], [40, 50, 60]))
+    t = C.iso_sample_tables(C.chunk_index(spark.createDataFrame([("m", bytearray(blob))], "path string, content binary"), "iso"))
+    rows = C.resolve_samples(t["stsc"], t["stco"], t["stsz"]).orderBy("track", "sample_no").collect()
+    assert [r.sample_offset for r in rows] == [100, 105, 200, 207, 300, 40, 41]
+    timing = C.timing(t["stts"].withColumn("timescale", F.lit(600).cast("long"))).collect()
+    assert [(r.frames, r.ticks, r.rate_num, r.rate_den) for r in timing] == [(5, 40, 75, 1)] * 2
+    times = [(r.frame_no, r.dts) for r in C.frame_times(t["stts"]).where(F.col("track") == rows[0].track).orderBy("frame_no").collect()]
+    assert times == [(0, 0), (1, 10), (2, 20), (3, 30), (4, 35)]
+
+
+def test_ogg_tables(spark):
+    page = lambda serial, granule, segs: b"OggS\0\0" + struct.pack("<qI", granule, serial) + bytes(8) + bytes([len(segs)]) + bytes(segs) + bytes(sum(segs))
+    blob = page(7, 0, [30]) + page(9, 0, [40]) + page(7, -1, [255, 255]) + page(7, 220500, [10, 4])
+    pages = C.ogg_pages(C.chunk_index(spark.createDataFrame([("o", bytearray(blob))], "path string, content binary"), "ogg"))
+    g = {r.serial: (r.last_granule, r.stream_index) for r in C.last_granule(pages).collect()}
+    assert g == {7: (220500, 0), 9: (0, 1)}
+    packets = C.packet_sizes(C.packets_from_segments(C.ogg_segments(pages), keys=["path", "serial"]), keys=["path", "serial"]).orderBy("serial", "packet_no").collect()
+    assert [(r.serial, r.size, r.n_segments) for r in packets] == [(7, 30, 1), (7, 520, 3), (7, 4, 1), (9, 40, 1)]
+
+
 def test_transport(spark):
     pes = b"\0\0\x01\xe0\0\0\x80\x80\x05" + bytes([0x21 | (1 << 1), 0x00, 0x01 | (2 << 1), 0x00, 0x01 | (3 << 1)]) + b"PAY"
     packet = bytes([0x47, 0x41, 0x00, 0x10]) + pes + bytes(184 - len(pes))
