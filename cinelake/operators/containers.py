@@ -232,6 +232,62 @@ def pes_pts(data: Column) -> Column:
     return F.when(B.bytes_at(data, 0, b"\0\0\x01") & (b(7).bitwiseAND(F.lit(0x80)) != 0), pts)
 
 
+def _section(data: Column) -> Column:
+    """Table section of a packet that starts a unit: the bytes after the pointer field."""
+    start = B.uint(data, 0, 1) + 1
+    return F.when(start < B.size_of(data), B.slice_bytes(data, start, B.size_of(data) - start))
+
+
+def _section_end(section: Column) -> Column:
+    """End of the entries: the checksum is left out, and nothing is read past the packet."""
+    return F.least(B.uint(section, 1, 2).bitwiseAND(F.lit(0xFFF)) - 1, B.size_of(section))
+
+
+def pat_entries(packets: DataFrame) -> DataFrame:
+    """pat(path, packet_no, program, pmt_pid) of `transport_packets` rows keyed by (path, packet_no)."""
+    s = packets.where("pid = 0 and unit_start and data is not null").select("path", "packet_no", _section(F.col("data")).alias("s"))
+    s = s.where((B.size_of("s") >= 12) & (B.uint("s", 0, 1) == 0)).withColumn("n", rational.int_div(_section_end(F.col("s")) - 8, F.lit(4)))
+    entry = lambda i: F.struct(B.uint("s", i * 4 + 8, 2).alias("program"), B.uint("s", i * 4 + 10, 2).bitwiseAND(F.lit(0x1FFF)).alias("pmt_pid"))
+    rows = F.when(F.col("n") > 0, F.transform(F.sequence(_zero(), F.col("n") - 1), entry))
+    return s.select("path", "packet_no", F.explode(rows).alias("e")).select("path", "packet_no", "e.*")
+
+
+def _walk_lengths(start: Column, end: Column, limit: int, head: int, length, item, whole: bool) -> Column:
+    """Array of variable-length items: `length(pos)` bytes follow each `head`; at most `limit` fit. With `whole`, an item past the end stops the walk."""
+    state = F.struct(start.cast("long").alias("pos"), F.array(item(start.cast("long"), end)).alias("out"))
+    empty = F.slice(state["out"], 1, 0)
+
+    def step(acc: Column, _: Column) -> Column:
+        def advance(n: Column) -> Column:
+            nxt = acc["pos"] + head + n
+            fits = (nxt <= end) if whole else F.lit(True)
+            stop = F.struct((end + 1).cast("long").alias("pos"), acc["out"].alias("out"))
+            return F.when(fits, F.struct(F.least(nxt, end).cast("long").alias("pos"), F.concat(acc["out"], F.array(item(acc["pos"], F.least(nxt, end)))).alias("out"))).otherwise(stop)
+
+        return F.when(acc["pos"] + head <= end, B.let(length(acc["pos"]), advance)).otherwise(acc)
+
+    begin = F.struct(start.cast("long").alias("pos"), empty.alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(limit)), begin, step, lambda a: a["out"])
+
+
+def pmt_entries(packets: DataFrame) -> DataFrame:
+    """pmt(path, packet_no, pid, entry_no, es_pid, stream_type, registration, descriptors) of `transport_packets` rows. A section lies in one packet,
+    so it holds at most 36 entries and an entry at most 91 descriptors."""
+    s = packets.where("pid <> 0 and unit_start and data is not null").select("path", "packet_no", "pid", _section(F.col("data")).alias("s"))
+    s = s.where((B.size_of("s") >= 16) & (B.uint("s", 0, 1) == 2)).withColumn("end", _section_end(F.col("s")))
+    u12 = lambda o: B.uint("s", o, 2).bitwiseAND(F.lit(0xFFF))
+    entry = lambda pos, stop: F.struct(
+        B.uint("s", pos, 1).alias("stream_type"), B.uint("s", pos + 1, 2).bitwiseAND(F.lit(0x1FFF)).alias("es_pid"), B.slice_bytes("s", pos + 5, stop - pos - 5).alias("d"))
+    entries = _walk_lengths(u12(10) + 12, F.col("end"), 36, 5, lambda pos: u12(pos + 3), entry, whole=False)
+    e = s.select("path", "packet_no", "pid", F.posexplode_outer(entries).alias("entry_no", "e")).where("e is not null").select("path", "packet_no", "pid", F.col("entry_no").cast("long").alias("entry_no"), "e.*")
+    descriptor = lambda pos, stop: F.struct(B.uint("d", pos, 1).cast("int").alias("tag"), B.slice_bytes("d", pos + 2, stop - pos - 2).alias("data"))
+    found = _walk_lengths(_zero(), B.size_of("d"), 91, 2, lambda pos: B.uint("d", pos + 1, 1), descriptor, whole=True)
+    e = e.withColumn("__d", found)
+    registration = F.get(F.filter("__d", lambda x: (x["tag"] == 5) & (F.octet_length(x["data"]) >= 4)), F.lit(0))["data"]
+    return e.select("path", "packet_no", "pid", "entry_no", "es_pid", "stream_type", F.decode(F.substring(registration, 1, 4), "ISO-8859-1").alias("registration"),
+                    F.transform("__d", lambda x: x["tag"]).alias("descriptors"))
+
+
 def program_streams(pat: DataFrame, pmt: DataFrame) -> DataFrame:
     """Elementary streams of the first program map that has any.
 

@@ -264,6 +264,29 @@ def test_transport(spark):
     assert rows[0].pts == (1 << 30) | (2 << 15) | 3 and bytes(rows[0].p)[:3] == b"PAY" and bytes(rows[1].p) == b"END"
 
 
+def test_program_tables(spark):
+    def packet(pid, section):
+        body = b"\0" + section
+        return bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10]) + body + b"\xff" * (184 - len(body))
+
+    def section(table, body):
+        return bytes([table, 0xB0, len(body) + 9 - 4 + 4]) + bytes(5) + body + b"CRC!"
+
+    pat = section(0, struct.pack(">HH", 0, 0xE010) + struct.pack(">HH", 1, 0xE100))
+    es = lambda kind, pid, d=b"": bytes([kind]) + struct.pack(">HH", 0xE000 | pid, 0xF000 | len(d)) + d
+    early = packet(0x100, section(2, b"\xe1\0\xf0\0" + es(0x02, 0x150)))
+    pmt = section(2, b"\xe1\0\xf0\x03abc" + es(0x1B, 0x101) + es(0x06, 0x102, b"\x0a\x01x\x05\x04Opus") + es(0x06, 0x103, b"\x6a\x01\0") + es(0x99, 0x104, b"\x05\x09HEVC") + es(0x03, 0x103))
+    blob = early + packet(0, pat) + packet(0x200, pmt.replace(b"Opus", b"none")) + packet(0x100, section(2, b"\xe1\0\xf0\0")) + packet(0x100, pmt)
+    records = C.split_records(spark.createDataFrame([("t", bytearray(blob))], "path string, content binary"), 188)
+    packets = C.transport_packets(records).withColumnRenamed("record_no", "packet_no")
+    assert [(r.program, r.pmt_pid) for r in C.pat_entries(packets).collect()] == [(0, 0x10), (1, 0x100)]
+    entries = C.pmt_entries(packets)
+    rows = {(r.packet_no, r.entry_no): (r.stream_type, r.es_pid, r.registration, r.descriptors) for r in entries.collect()}
+    assert rows[4, 1] == (6, 0x102, "Opus", [10, 5]) and rows[4, 3] == (0x99, 0x104, None, []) and (3, 0) not in rows and len(rows) == 11
+    streams = {r.es_pid: r.codec for r in C.program_streams(C.pat_entries(packets), C.ts_codec(entries)).collect()}
+    assert streams == {0x101: "h264", 0x102: "opus", 0x103: "ac3", 0x104: None}
+
+
 def test_blend_fold(spark):
     import random
 
