@@ -150,8 +150,23 @@ def _(spark, sf):
     return l.select(*LKEY, V.alpha_over(p, below).alias("o")).select(*LKEY, "o.*")
 
 
-# Blending in frame order is a fold, so the query has no SQL form; tests fold small fixtures by hand.
-@query("blend_frames_v10")
+def _blend_sql():
+    """The fold as a recursion over the draws of each pixel: c* is the canvas left behind, s* what the frame shows."""
+    oa = "(a + (ca * (255 - a) + 127) // 255)"
+    mix = lambda x: f"CASE WHEN op = 'source' OR a = 255 THEN {x} WHEN a = 0 THEN c{x} ELSE ({x} * a + (c{x} * ca * (255 - a) + 127) // 255 + {oa} // 2) // {oa} END"
+    alpha = f"CASE WHEN op = 'source' OR a = 255 THEN a WHEN a = 0 THEN ca ELSE {oa} END"
+    after = lambda x: f"CASE dispose WHEN 'keep' THEN s{x} WHEN 'clear' THEN 0 ELSE c{x} END"
+    return f"""WITH RECURSIVE {EV}, p AS (SELECT user_id AS path, k % 4 AS pixel, event_id AS frame_no, k * 2 AS r, k + 50 AS g, 255 - k AS b, CASE WHEN k % 5 = 0 THEN 255 ELSE k * 2 END AS a,
+        CASE WHEN event_type = 'view' THEN 'source' ELSE 'over' END AS op, ['keep', 'keep', 'clear', 'restore'][event_id % 4 + 1] AS dispose,
+        row_number() OVER (PARTITION BY user_id, k % 4 ORDER BY event_id) AS rn FROM ev),
+      w(path, pixel, rn, frame_no, cr, cg, cb, ca, sr, sg, sb, sa) AS (
+        SELECT DISTINCT path, pixel, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM p
+        UNION ALL SELECT path, pixel, rn, frame_no, {', '.join(after(x) for x in 'rgba')}, sr, sg, sb, sa FROM (
+          SELECT p.path, p.pixel, p.rn, p.frame_no, dispose, cr, cg, cb, ca, {', '.join(f'{mix(x)} AS s{x}' for x in 'rgb')}, {alpha} AS sa FROM w JOIN p ON p.path = w.path AND p.pixel = w.pixel AND p.rn = w.rn + 1))
+      SELECT path, pixel, frame_no, sr AS r, sg AS g, sb AS b, sa AS a FROM w WHERE rn > 0"""
+
+
+@query("blend_frames_v10", _blend_sql())
 def _(spark, sf):
     e = events(spark, sf)
     k = F.col("k")
