@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,16 @@ def build_session(app: str = "cinelake", cores: int | str = "*", shuffle_partiti
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only in local runs that set none."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only in local runs that set none.
+
+    A cluster without the setting is an error: executors would write parts to their own disks, where others can't read them.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     if "folder" not in _LOCAL:
         _LOCAL["folder"] = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     return _LOCAL["folder"]
