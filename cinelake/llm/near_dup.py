@@ -6,11 +6,14 @@ are linked if 100 * |intersection| >= 75 * |union|; a document's component is th
 1. Signatures. sigma spreads each shingle over DIM places; pi is one permutation of the places, and coordinate i of the signature is the least value of pi at
    sigma(x) + i over the set (circularly): two permutations give all coordinates. The coordinates of a shingle are neighbours in pi, so that one slice is read for each.
 2. Equal sets. Documents with equal sets (128-bit digests of all shingles) are one class, represented by its smallest id; copies go no further.
-3. Bands. Each band of ROWS coordinates is a bucket. The members of a bucket are verified against its smallest member only, never all with all.
-4. The rest, exactly. Buckets whose members are not all in one component yet can hide links between members that the smallest one doesn't have. Their documents emit the prefix of their
+3. Bands. Each band of ROWS coordinates is a bucket. The members of a bucket are verified against one of them only, the one that meets most others in all its
+   buckets, never all with all.
+4. The rest, exactly. Buckets whose members are not all in one component yet can hide links between members that the verified one doesn't have. Their documents emit the prefix of their
    set, rarest shingles first: two sets over the threshold share a shingle of both prefixes, whatever the order is, and rare ones first leave passages that many
-   documents share out of the prefixes. For each shared shingle the members outside the largest component meet the members of other components. The order comes
-   from a table of SLOTS counts of hashed shingles, whose size is fixed.
+   documents share out of the prefixes. The order comes from a table of SLOTS counts of hashed shingles, whose size is fixed. For each shared shingle the members outside the largest
+   component meet the members of other components. Documents that were verified against the same one, their centre, also emit all shingles that the centre lacks. If two of them share none of these, their
+   intersection is at most the smaller of their overlaps with the centre; so a shared shingle of the centre makes a pair only if these overlaps allow the threshold. That keeps the many
+   edited copies of one text, each too far from the rest, from being compared with each other.
 5. Components of all verified links.
 
 A pair at the very threshold shares a bucket with probability 1 - (1 - 0.75 ** ROWS) ** BANDS, 0.999995.
@@ -90,19 +93,22 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of the intersection."""
 
-    def verify(batches):
+    def measure(batches):
         for batch in text_slices(batches, "text_a"):
             left, right = shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b"))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
-            any_ = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64) - both
-            yield batch.select(["a", "b"]).filter(pa.array((100 * both >= 75 * any_) & (any_ > 0)))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+            sizes = [pa.array([len(s) for s in x], pa.int64()) for x in (left, right)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, pa.array(both, pa.int64())], names=["a", "b", "n_a", "n_b", "both"])
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(measure, "a long, b long, n_a long, n_b long, both long")
+
+
+_LINKED = "100 * both >= 75 * (n_a + n_b - both) AND both > 0"
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
@@ -127,23 +133,28 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, id, n): the shingles of each set that any set over the threshold must share one of."""
+    """(key, id, n, centre, overlap, inside): the shingles of each set that any set over the threshold must share one of, and those that its centre lacks; inside: the centre has it."""
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefix(batches):
         for batch in text_slices(batches):
-            ids, keys, sizes = [], [], []
-            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))):
+            out = []
+            centres = shingle_sets(batch.column("text_c"))
+            for doc, centre, s, c in zip(batch.column("doc_id").to_pylist(), batch.column("centre").to_pylist(), shingle_sets(batch.column("text")), centres):
                 n = len(s)
                 take = n - (75 * n + 99) // 100 + 1 if n else 0
                 first = s[np.lexsort((s, sent.value[_slots(s)]))[:take]]
-                keys.append(first)
-                ids.append(np.full(len(first), doc, np.int64))
-                sizes.append(np.full(len(first), n, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["key", "id", "n"])
+                inside = np.isin(s, c, assume_unique=True) if centre is not None else np.ones(n, bool)
+                keys = np.union1d(first, s[~inside])
+                out.append((doc, n, centre, int(inside.sum()), keys, np.isin(keys, s[inside], assume_unique=True)))
+            sizes = [len(r[4]) for r in out]
+            if out:
+                spread = [pa.array(np.repeat([r[i] for r in out], sizes), pa.int64()) for i in (0, 1, 3)]
+                centre = pa.array([r[2] for r in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), sizes)))
+                keys, inside = pa.array(np.concatenate([r[4] for r in out]).view(np.int64)), pa.array(np.concatenate([r[5] for r in out]))
+                yield pa.RecordBatch.from_arrays([keys, *spread[:2], centre, spread[2], inside], names=["key", "id", "n", "centre", "overlap", "inside"])
 
-    return texts.select("doc_id", "text").mapInArrow(prefix, "key long, id long, n long")
+    return texts.select("doc_id", "text", "centre", "text_c").mapInArrow(prefix, "key long, id long, n long, centre long, overlap long, inside boolean")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -166,10 +177,23 @@ def _main(rows: DataFrame) -> DataFrame:
 def _cross_pairs(rows: DataFrame, main: DataFrame) -> DataFrame:
     """Pairs of ids of different components that share a key, and whose sizes allow the threshold: members outside the key's main component meet the others."""
     marked = rows.join(main, "key")
-    x = marked.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = marked.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = (100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")) & (F.col("c_a") != F.col("c_b"))
-    return x.join(y, "key").where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "centre", "overlap")]
+    a = marked.where("component <> main").select("key", "inside", *side("a"))
+    b = marked.select("key", *side("b"))
+    both = F.least("overlap_a", "overlap_b")
+    fits = (100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")) & (F.col("component_a") != F.col("component_b"))
+    bound = ~F.coalesce((F.col("centre_a") == F.col("centre_b")) & F.col("inside"), F.lit(False)) | (100 * both >= 75 * (F.col("n_a") + F.col("n_b") - both))
+    return a.join(b, "key").where(fits & bound).select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+
+def _leads(members: DataFrame, space: Workspace) -> DataFrame:
+    """(key, lead) of each bucket with several members: the member that meets most others in all its buckets."""
+    sizes = space.write(members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "m"), "sizes")
+    shared = space.write(members.join(sizes, "key"), "shared")
+    weights = space.write(shared.groupBy("id").agg(F.sum("m").alias("weight")), "weights")
+    leads = shared.join(weights, "id").groupBy("key").agg(F.max("weight").alias("weight"))
+    leads = space.write(leads, "heaviest")
+    return shared.join(weights, "id").join(leads, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("lead"))
 
 
 def find_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -179,18 +203,27 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "digest").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
     classes = space.write(classes.select("digest", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")), "classes")
     members = classes.select("id", F.explode("bands").alias("key"))
-    leads = space.write(members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("other")).where("lead <> other").select("key", "lead"), "leads")
+    leads = space.write(_leads(members, space), "leads")
     members = space.write(members.join(leads, "key"), "members")  # of buckets with two ids or more
+    space.drop("sizes", "shared", "weights", "heaviest", "leads")
     pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    texts = space.write(docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id"), "texts")
-    links = space.write(_verified(pairs, texts), "links")
-    found = components(links, space, "first")
+    texts = docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h")  # of repeated rows, one
+    texts = space.write(texts, "texts")
+    tested = space.write(_overlaps(pairs, texts), "tested")
+    found = components(tested.where(_LINKED).select("a", "b"), space, "first")
     unsettled = space.write(_labelled(members.select("key", "id"), found), "unsettled")
-    open_ids = space.write(unsettled.join(space.write(_mixed(unsettled), "mixed"), "key", "left_semi").select("id").distinct(), "open")
-    open_texts = space.write(texts.join(open_ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "open-texts")
-    prefixes = space.write(_labelled(_prefixes(open_texts, _slot_counts(open_texts)), found), "prefixes")
-    more = space.write(_verified(_cross_pairs(prefixes, space.write(_main(prefixes), "main")), open_texts), "more-links")
-    space.drop("main", "prefixes", "mixed", "unsettled", "open", "open-texts", "texts", "members", "leads")
+    open_ids = unsettled.join(space.write(_mixed(unsettled), "mixed"), "key", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    # a document's centre: of the documents it was verified against, the one that is most alike, if half of both is shared; a centre of others is its own
+    lead_ids = tested.select(F.col("b").alias("doc_id"), F.col("b").alias("centre"), F.lit(1.0).alias("alike")).distinct()
+    alike = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("alike")).where("alike >= 0.5")
+    centres = space.write(alike.union(lead_ids).groupBy("doc_id").agg(F.max_by("centre", F.struct("alike", "centre")).alias("centre")), "centres")
+    open_texts = space.write(texts.join(open_ids, "doc_id", "left_semi").join(centres, "doc_id", "left"), "open-texts")
+    centre_texts = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_c"))
+    prefixes = _prefixes(open_texts.join(centre_texts, "centre", "left"), _slot_counts(open_texts))
+    prefixes = space.write(_labelled(prefixes, found), "prefixes")
+    more = space.write(_overlaps(_cross_pairs(prefixes, space.write(_main(prefixes), "main")), open_texts).where(_LINKED).select("a", "b"), "more-links")
+    space.drop("main", "prefixes", "mixed", "unsettled", "open-texts", "texts", "members", "centres", "tested")
     final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), space, "last")
     labelled = _labelled(classes.select("id", "n", "digest"), final).select(F.col("n").alias("n_shingles"), "digest", "component")
     out = rows.select("doc_id", "n_shingles", "digest").join(labelled, ["n_shingles", "digest"], "left")
