@@ -11,9 +11,9 @@ are linked if 100 * |intersection| >= 75 * |union|; a document's component is th
 4. The rest, exactly. Buckets whose members are not all in one component yet can hide links between members that the verified one doesn't have. Their documents emit the prefix of their
    set, rarest shingles first: two sets over the threshold share a shingle of both prefixes, whatever the order is, and rare ones first leave passages that many
    documents share out of the prefixes. The order comes from a table of SLOTS counts of hashed shingles, whose size is fixed. For each shared shingle the members outside the largest
-   component meet the members of other components. Documents that were verified against the same one, their centre, also emit all shingles that the centre lacks. If two of them share none of these, their
-   intersection is at most the smaller of their overlaps with the centre; so a shared shingle of the centre makes a pair only if these overlaps allow the threshold. That keeps the many
-   edited copies of one text, each too far from the rest, from being compared with each other.
+   component meet the members of other components. Documents that were verified against the same one, their centre, also emit all shingles that it lacks, to meet only each other there. The intersection of two of
+   them is at most the smaller of their overlaps with the centre and the shingles of this kind that they share, which keeps the many edited copies of one text from being compared with
+   each other when they are too far apart.
 5. Components of all verified links.
 
 A pair at the very threshold shares a bucket with probability 1 - (1 - 0.75 ** ROWS) ** BANDS, 0.999995.
@@ -39,7 +39,7 @@ from cinelake.llm.words import SPACED, Words, gram_hashes, mix, stream, text_sli
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 DIM = 1 << 20
-SLOTS = 1 << 18
+SLOTS = 1 << 21
 _BLOCK = 4096
 
 
@@ -133,7 +133,8 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, id, n, centre, overlap, inside): the shingles of each set that any set over the threshold must share one of, and those that its centre lacks; inside: the centre has it."""
+    """(key, id, n, centre, overlap, kind): the shingles of each set that any set over the threshold must share one of (kind 1 if the centre has it, else 0), and all that its centre
+    lacks, as keys of this centre (kind 2); overlap: how many it has."""
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefix(batches):
@@ -145,16 +146,17 @@ def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
                 take = n - (75 * n + 99) // 100 + 1 if n else 0
                 first = s[np.lexsort((s, sent.value[_slots(s)]))[:take]]
                 inside = np.isin(s, c, assume_unique=True) if centre is not None else np.ones(n, bool)
-                keys = np.union1d(first, s[~inside])
-                out.append((doc, n, centre, int(inside.sum()), keys, np.isin(keys, s[inside], assume_unique=True)))
+                own = mix(s[~inside] ^ np.uint64(centre & (1 << 64) - 1)) if centre is not None else s[:0]  # these keys are the centre's
+                inside_first = np.isin(first, s[inside], assume_unique=True)
+                out.append((doc, n, centre, int(inside.sum()), np.concatenate([first, own]), np.concatenate([inside_first.astype(np.int32), np.full(len(own), 2, np.int32)])))
             sizes = [len(r[4]) for r in out]
             if out:
                 spread = [pa.array(np.repeat([r[i] for r in out], sizes), pa.int64()) for i in (0, 1, 3)]
                 centre = pa.array([r[2] for r in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), sizes)))
-                keys, inside = pa.array(np.concatenate([r[4] for r in out]).view(np.int64)), pa.array(np.concatenate([r[5] for r in out]))
-                yield pa.RecordBatch.from_arrays([keys, *spread[:2], centre, spread[2], inside], names=["key", "id", "n", "centre", "overlap", "inside"])
+                keys, kinds = pa.array(np.concatenate([r[4] for r in out]).view(np.int64)), pa.array(np.concatenate([r[5] for r in out]))
+                yield pa.RecordBatch.from_arrays([keys, *spread[:2], centre, spread[2], kinds], names=["key", "id", "n", "centre", "overlap", "kind"])
 
-    return texts.select("doc_id", "text", "centre", "text_c").mapInArrow(prefix, "key long, id long, n long, centre long, overlap long, inside boolean")
+    return texts.select("doc_id", "text", "centre", "text_c").mapInArrow(prefix, "key long, id long, n long, centre long, overlap long, kind int")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -178,22 +180,38 @@ def _cross_pairs(rows: DataFrame, main: DataFrame) -> DataFrame:
     """Pairs of ids of different components that share a key, and whose sizes allow the threshold: members outside the key's main component meet the others."""
     marked = rows.join(main, "key")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "centre", "overlap")]
-    a = marked.where("component <> main").select("key", "inside", *side("a"))
-    b = marked.select("key", *side("b"))
+    a = marked.where("component <> main").select("key", "kind", *side("a"))
+    b = marked.select("key", (F.col("component") == F.col("main")).alias("is_main"), *side("b"))
+    either = (100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("is_main") | (F.col("id_a") > F.col("id_b")))
+    same = F.coalesce(F.col("centre_a") == F.col("centre_b"), F.lit(False))
     both = F.least("overlap_a", "overlap_b")
-    fits = (100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")) & (F.col("component_a") != F.col("component_b"))
-    bound = ~F.coalesce((F.col("centre_a") == F.col("centre_b")) & F.col("inside"), F.lit(False)) | (100 * both >= 75 * (F.col("n_a") + F.col("n_b") - both))
-    return a.join(b, "key").where(fits & bound).select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+    reaches = lambda n: 100 * n >= 75 * (F.col("n_a") + F.col("n_b") - n)
+    most = both + F.least(F.col("n_a") - F.col("overlap_a"), F.col("n_b") - F.col("overlap_b"))
+    met = a.join(b, "key").where(either & (~same | ((F.col("kind") == 2) & reaches(most)) | ((F.col("kind") == 1) & reaches(both))))
+    met = met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"), "n_a", "n_b", both.alias("both"), (same & (F.col("kind") == 2)).alias("own"))
+    met = met.groupBy("a", "b").agg(F.count(F.when(F.col("own"), 1)).alias("k"), F.count(F.when(~F.col("own"), 1)).alias("other"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "both")])
+    return met.where((F.col("other") > 0) | reaches(F.col("both") + F.col("k"))).select("a", "b")
 
 
-def _leads(members: DataFrame, space: Workspace) -> DataFrame:
-    """(key, lead) of each bucket with several members: the member that meets most others in all its buckets."""
+def _leads(members: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(key, lead) of each bucket with several members: the member that meets most others in all its buckets; and (id, weight), how many each meets."""
     sizes = space.write(members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "m"), "sizes")
     shared = space.write(members.join(sizes, "key"), "shared")
     weights = space.write(shared.groupBy("id").agg(F.sum("m").alias("weight")), "weights")
     leads = shared.join(weights, "id").groupBy("key").agg(F.max("weight").alias("weight"))
     leads = space.write(leads, "heaviest")
-    return shared.join(weights, "id").join(leads, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("lead"))
+    return shared.join(weights, "id").join(leads, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("lead")), weights
+
+
+def _centres(tested: DataFrame, found: DataFrame, weights: DataFrame) -> DataFrame:
+    """(doc_id, centre): the heaviest member of the component of the heaviest document that doc_id was verified against and shares half of both sets with (or is).
+
+    All that lie around one component have one centre, whichever of its members they met.
+    """
+    alike = tested.where("2 * both >= n_a + n_b - both").select(F.col("a").alias("doc_id"), F.col("b").alias("id"))
+    near = alike.union(tested.select("b", "b").distinct()).join(weights, "id").groupBy("doc_id").agg(F.max_by("id", F.struct("weight", "id")).alias("id"))
+    hubs = found.join(weights, "id").groupBy("component").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
+    return _labelled(near, found).join(hubs, "component", "left").select("doc_id", F.coalesce("hub", "id").alias("centre"))
 
 
 def find_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,9 +221,10 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "digest").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
     classes = space.write(classes.select("digest", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")), "classes")
     members = classes.select("id", F.explode("bands").alias("key"))
-    leads = space.write(_leads(members, space), "leads")
+    leads, weights = _leads(members, space)
+    leads = space.write(leads, "leads")
     members = space.write(members.join(leads, "key"), "members")  # of buckets with two ids or more
-    space.drop("sizes", "shared", "weights", "heaviest", "leads")
+    space.drop("sizes", "shared", "heaviest", "leads")
     pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     texts = docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h")  # of repeated rows, one
@@ -214,16 +233,13 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(tested.where(_LINKED).select("a", "b"), space, "first")
     unsettled = space.write(_labelled(members.select("key", "id"), found), "unsettled")
     open_ids = unsettled.join(space.write(_mixed(unsettled), "mixed"), "key", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-    # a document's centre: of the documents it was verified against, the one that is most alike, if half of both is shared; a centre of others is its own
-    lead_ids = tested.select(F.col("b").alias("doc_id"), F.col("b").alias("centre"), F.lit(1.0).alias("alike")).distinct()
-    alike = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("alike")).where("alike >= 0.5")
-    centres = space.write(alike.union(lead_ids).groupBy("doc_id").agg(F.max_by("centre", F.struct("alike", "centre")).alias("centre")), "centres")
+    centres = space.write(_centres(tested, found, weights), "centres")
     open_texts = space.write(texts.join(open_ids, "doc_id", "left_semi").join(centres, "doc_id", "left"), "open-texts")
     centre_texts = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_c"))
     prefixes = _prefixes(open_texts.join(centre_texts, "centre", "left"), _slot_counts(open_texts))
     prefixes = space.write(_labelled(prefixes, found), "prefixes")
     more = space.write(_overlaps(_cross_pairs(prefixes, space.write(_main(prefixes), "main")), open_texts).where(_LINKED).select("a", "b"), "more-links")
-    space.drop("main", "prefixes", "mixed", "unsettled", "open-texts", "texts", "members", "centres", "tested")
+    space.drop("main", "prefixes", "mixed", "unsettled", "open-texts", "texts", "members", "centres", "tested", "weights")
     final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), space, "last")
     labelled = _labelled(classes.select("id", "n", "digest"), final).select(F.col("n").alias("n_shingles"), "digest", "component")
     out = rows.select("doc_id", "n_shingles", "digest").join(labelled, ["n_shingles", "digest"], "left")
