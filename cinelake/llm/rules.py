@@ -90,9 +90,9 @@ def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
 
 
 def ablations(book: DataFrame, version: int = CURRENT) -> DataFrame:
-    """For each rule of the policy: how many rows it rejects, how many only it rejects, and which rules fail with it in every such row or in any."""
+    """For a stored ledger, and each rule of the policy: how many rows it rejects, how many only it rejects, and which rules fail with it in every such row or in any."""
     active = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[version]))
-    patterns = book.groupBy(active.alias("bits")).agg(F.count("*").alias("n")).where("bits != 0")  # at most 2 ** len(RULES) rows
+    patterns = book.groupBy(active.alias("bits")).agg(F.count("*").alias("n"))  # at most 2 ** len(RULES) rows
     rules = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, r in enumerate(RULES) if POLICIES[version] >> i & 1]))
     return (
         patterns.select("bits", "n", rules.alias("r")).where(F.col("bits").bitwiseAND(F.col("r.bit")) != 0).groupBy(F.col("r.rule").alias("rule"))
