@@ -99,6 +99,10 @@ def test_quality_and_toxicity(spark, odd, docs):
     assert ordinal.select_quality(odd, none).count() == odd.count()
     assert ordinal.grade(odd, model).count() == odd.count()
     toxic = toxicity.train(table, labels)
+    marks = {r["doc_id"]: r["toxic"] for r in rows_of(labels)}
+    held = table.where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2")
+    said = [(marks[r["doc_id"]], r["predicted"]) for r in rows_of(toxicity.score_toxicity(held, toxic)) if r["doc_id"] in marks]
+    assert np.mean([t == p for t, p in said]) > 0.9 and sum(p for t, p in said if t) >= 0.6 * sum(t for t, _ in said)
     scores = rows_of(toxicity.score_toxicity(odd, toxic))
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in scores)
     assert all(r["score"] < 1e-6 for r in rows_of(toxicity.score_toxicity(odd, toxicity.train(table, none))))
