@@ -212,6 +212,37 @@ def test_chain():
     assert substring.chain(parts)[0] == [parts[0], parts[1], parts[3]]
 
 
+def test_chain_past_a_far_heavy_segment():
+    parts = [(0, 0, 1000), (1100, 1100, 12), (1116, 1115, 12)]
+    assert sorted(substring.chain(parts)) == [parts[:1], parts[1:]]
+    rng = np.random.default_rng(7)
+    for _ in range(50):  # the best chain of all, by trying every predecessor
+        parts = sorted({(int(p), int(o), int(n)) for p, o, n in zip(rng.integers(0, 150, 40), rng.integers(0, 150, 40), rng.integers(8, 20, 40))})
+        best = []
+        for p, o, n in parts:
+            near = [best[j] - 0.1 * (p - a - m + o - b - m) for j, (a, b, m) in enumerate(parts[: len(best)]) if 0 <= p - a - m <= 24 and 0 <= o - b - m <= 24]
+            best.append(n + max([0.0, *near]))
+        top = substring.chain(parts)[0]
+        assert abs(sum(n for *_, n in top) - 0.1 * sum(c - a - m + d - b - m for (a, b, m), (c, d, _) in zip(top, top[1:])) - max(best)) < 1e-9
+
+
+def test_edited_passage_after_a_long_one(spark):
+    words = [f"u{i}" for i in range(4000)]
+    edited = [*words[1100:1130], "more", *words[1130:1160]]
+    table = spark.createDataFrame([(1, " ".join(words[:1300])), (2, " ".join([*words[:1000], *words[2000:2100], *edited, *words[2200:2300]]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in rows_of(substring.passage_report(table))}
+    assert got == {1: "", 2: "0-1000,1100-1161"}
+
+
+def test_stretches_of_a_chain():
+    doc = np.arange(200, dtype=np.uint64)
+    other = doc.copy()
+    other[60:84] += np.uint64(1000)
+    other[96:120] += np.uint64(1000)
+    other[132:] += np.uint64(1000)
+    assert substring.verified(doc, other, 0, [(0, 0, 60), (84, 84, 12), (120, 120, 12)])[0][:2] == (0, 60)
+
+
 def test_licenses(odd):
     assert licenses.to_postfix("MIT OR GPL-2.0 WITH x AND ISC") == ["mit", "gpl-2.0", "x", "with", "isc", "and", "or"]
     assert licenses.evaluate("(MIT") is None and licenses.evaluate("OR MIT") is None
