@@ -234,6 +234,21 @@ def test_edited_passage_after_a_long_one(spark):
     assert got == {1: "", 2: "0-1000,1100-1161"}
 
 
+def test_passages_of_one_document_only(spark):
+    words = [f"u{i}" for i in range(6000)]
+    pieces_of = lambda at: [words[at + 100 * i : at + 100 * i + 20] for i in range(4)]
+    data = {i: [*words[5000 + 50 * i : 5040 + 50 * i], *p, *words[4000 + 50 * i : 4040 + 50 * i]] for i, p in enumerate(pieces_of(0))}  # four lines in four documents
+    data[10] = sum(pieces_of(0), [])
+    data[20] = [*words[3000:3040], *sum(pieces_of(0), []), *words[3100:3140]]  # a passage of document 10 whose lines are in earlier ones
+    scattered = pieces_of(1000)
+    data[30] = [*scattered[3], *words[2000:2040], *scattered[1], *words[2040:2080], *scattered[0], *words[2080:2120], *scattered[2]]
+    data[40] = sum(scattered, [])
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in data.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["partners"]) for r in rows_of(substring.passage_report(table))}
+    assert got[10] == got[30] == got[40] == ("", []) and got[20] == ("40-120", [10])
+    assert {r["doc_id"] for r in rows_of(substring.remove_passages(table))} == set(data)
+
+
 def test_stretches_of_a_chain():
     doc = np.arange(200, dtype=np.uint64)
     other = doc.copy()
