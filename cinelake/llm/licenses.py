@@ -53,34 +53,29 @@ def strictness(label: str) -> float:
 
 
 def to_postfix(expression: str) -> list[str] | None:
-    """Operands and operators of a licence expression in postfix order; None if it isn't one."""
+    """Operands and operators of a licence expression in postfix order; None if it isn't one. It ends before the first token that can't continue it, or with a full stop."""
     out, held, operand_next = [], [], True
-    for token in _TOKEN.findall(expression):
-        low = token.lower()
+    for found in _TOKEN.finditer(expression):
+        token = found.group()
+        low = token.lower().rstrip(".:-")
+        if (low in _LEVEL or token == ")") if operand_next else low not in _LEVEL and (token != ")" or "(" not in held):
+            break
         if low in _LEVEL:
-            if operand_next:
-                return None
             while held and held[-1] != "(" and _LEVEL[held[-1]] >= _LEVEL[low]:
                 out.append(held.pop())
             held.append(low)
             operand_next = True
         elif token == "(":
-            if not operand_next:
-                return None
             held.append(token)
         elif token == ")":
-            if operand_next:
-                return None
-            while held and held[-1] != "(":
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                return None
             held.pop()
         else:
-            if not operand_next:
-                return None
             out.append(low)
             operand_next = False
+            if token.endswith("."):
+                break
     if operand_next or "(" in held:
         return None
     return out + held[::-1]

@@ -268,6 +268,14 @@ def test_licenses(odd):
     assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["labels"], got[1]["score"]) == (0, 0, None, "", 0.0)
 
 
+def test_license_line_that_goes_on(spark):
+    assert licenses.evaluate("(MIT OR GPL-2.0-only) This file is") == ({"mit", "gpl-2.0-only"}, 0.2) and licenses.evaluate("MIT) and more") == ({"mit"}, 0.2)
+    assert licenses.evaluate("MIT OR OR ISC") is None and licenses.evaluate("MIT AND (ISC this") is None and licenses.evaluate(") MIT") is None and licenses.evaluate("") is None
+    table = spark.createDataFrame([(1, "SPDX-License-Identifier: MIT This file and all others"), (2, "SPDX-License-Identifier: Apache-2.0 OR MIT. And more")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"], r["n_tags"], r["n_broken_tags"]) for r in rows_of(licenses.scan_licenses(table))}
+    assert got == {1: ("mit", 0.2, 1, 0), 2: ("apache-2.0,mit", 0.2, 1, 0)}
+
+
 def test_rules(odd):
     book = rules.ledger(odd)
     got = {r["doc_id"]: r for r in rows_of(rules.apply_policy(book))}
