@@ -41,7 +41,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{BASE}/{t}.parquet'")
     cur = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
