@@ -10,8 +10,7 @@ MAX_ROWS = 10_000
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
-    """A table of constants, marked for broadcast. Its size is checked here: a table from constants has no statistics, and
-    without the mark a join would shuffle the large side, contents included."""
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many for a table of constants; store it as a dataset instead")
-    return F.broadcast(spark.createDataFrame(list(rows), ddl))
+    """A table of constants, marked for broadcast up to MAX_ROWS rows: a table from constants has no statistics, and
+    without the mark a join would shuffle the large side, contents included. A larger one is left to the optimizer."""
+    table = spark.createDataFrame(list(rows), ddl)
+    return F.broadcast(table) if len(rows) <= MAX_ROWS else table

@@ -39,7 +39,7 @@ def to_s16(raw: Column, fmt: str) -> Column:
         return F.shiftright(raw, 16).cast("int")
     if fmt in ("f32le", "f64le"):
         x = raw.cast("double")
-        return _clip(F.rint(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) * 32768.0))
+        return F.when(F.isnan(x), F.lit(0)).otherwise(_clip(F.rint(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) * 32768.0)))
     raise ValueError(f"unknown sample format {fmt}")
 
 
@@ -53,7 +53,7 @@ def _decode(data: np.ndarray, fmt: str) -> np.ndarray:
     if fmt == "s32le":
         return data.view("<i4") >> 16
     if fmt in ("f32le", "f64le"):
-        x = data.view("<f4" if fmt == "f32le" else "<f8").astype(np.float64)
+        x = np.nan_to_num(data.view("<f4" if fmt == "f32le" else "<f8").astype(np.float64), nan=0.0, posinf=1.0, neginf=-1.0)
         return np.clip(np.rint(np.clip(x, -1.0, 1.0) * 32768.0), S16_MIN, S16_MAX).astype(np.int32)
     return data.view("<i2" if fmt == "s16le" else ">i2").astype(np.int32)
 
@@ -191,16 +191,23 @@ def volume(samples: DataFrame, factor: float) -> DataFrame:
 
 
 def decimal_samples(text: Column, rate: Column) -> Column:
-    """floor(decimal seconds * rate), exact; NULL for anything but a non-negative decimal of up to 27 fraction digits."""
+    """floor(decimal seconds * rate), exact for any number of digits; NULL for anything but a non-negative decimal, or a result of 2^63 and more.
+
+    Rates are below 2^32. Fraction digits are taken in blocks of nine from the last to the first: the carry of the blocks behind is floor(their value * rate), and no block's
+    product can leave 64 bits.
+    """
     t = F.trim(text)
     pattern = r"^(\d*)\.?(\d*)$"
     whole, fraction = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
-    ok = t.rlike(r"^(\d+\.?\d*|\.\d+)$") & (F.length(fraction) <= 27)
-    num = lambda s: F.when(s == "", "0").otherwise(s).try_cast("decimal(27,0)")
-    rate10 = rate.cast("decimal(10,0)")
-    # the fraction is scaled to 27 digits: a product below 10^38 and one exact division
-    part = F.call_function("div", num(F.rpad(fraction, 27, "0")) * rate10, F.lit("1" + "0" * 27).cast("decimal(28,0)"))
-    return F.when(ok, (num(whole) * rate10).try_cast("long") + part)
+    ok = t.rlike(r"^(\d+\.?\d*|\.\d+)$")
+    rate = rate.cast("long")
+    n = F.length(fraction)
+    starts = F.when(n > 0, F.reverse(F.sequence(F.lit(1), n, F.lit(9)))).otherwise(F.array().cast("array<int>"))
+    block = lambda at: F.rpad(F.substring(fraction, at, F.lit(9)), 9, "0").cast("long")
+    carry = F.aggregate(starts, F.lit(0).cast("long"), lambda acc, at: F.call_function("div", block(at) * rate + acc, F.lit(10**9).cast("long")))
+    digits = F.regexp_replace(whole, "^0+(?=.)", "")
+    seconds = F.when(digits == "", "0").otherwise(digits).try_cast("decimal(28,0)")
+    return F.when(ok, (seconds * rate.cast("decimal(10,0)") + carry.cast("decimal(19,0)")).try_cast("long"))
 
 
 def seek(samples: DataFrame, start: Column) -> DataFrame:
@@ -287,17 +294,19 @@ def _coefficients(fraction: np.ndarray, source: int, target: int) -> tuple[np.nd
 def _convolve(values: np.ndarray, first: int, outputs: np.ndarray, length: int, source: int, target: int, cache: dict) -> np.ndarray:
     """Outputs of one block. Summing over the leading tap axis adds the taps in order, so results do not depend on the block size.
 
-    Positions repeat after target/gcd outputs: a short cycle is computed once per task, a long one per block.
+    Positions repeat after target/gcd outputs; each phase that a task meets is computed once and kept in `cache`.
     """
     g = math.gcd(source, target)
-    phase = outputs * source % target // g
-    if target // g <= 4096:
-        if not cache:
-            cache["table"] = _coefficients(np.arange(target // g) * g / target, source, target)
-        (coefs, total), at = cache["table"], phase
-    else:
-        unique, at = np.unique(phase, return_inverse=True)
-        coefs, total = _coefficients(unique * g / target, source, target)
+    phase, at = np.unique(outputs * source % target // g, return_inverse=True)
+    new = phase if not cache else np.setdiff1d(phase, cache["phase"], assume_unique=True)
+    if len(new):
+        coefs, total = _coefficients(new * g / target, source, target)
+        if cache:
+            new, coefs, total = np.concatenate([cache["phase"], new]), np.concatenate([cache["coefs"], coefs], axis=1), np.concatenate([cache["total"], total])
+        order = np.argsort(new)
+        cache.update(phase=new[order], coefs=coefs[:, order], total=total[order])
+    at = np.searchsorted(cache["phase"], phase)[at]
+    coefs, total = cache["coefs"], cache["total"]
     i = (outputs * source // target)[None, :] + (np.arange(len(coefs)) - len(coefs) // 2)[:, None]
     if length <= 1:
         i = np.zeros_like(i)

@@ -36,7 +36,11 @@ AREAS = (
 
 def trim_text(text: Column, limit: int = 500) -> Column:
     """White space collapsed, first characters only."""
-    return F.substring(F.trim(F.regexp_replace(text, r"[\s\p{Z}\x1c-\x1f\x85]+", " ")), 1, limit)
+    return F.substring(F.trim(_collapsed(text)), 1, limit)
+
+
+def _collapsed(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\s\p{Z}\x1c-\x1f\x85]+", " ")
 
 
 def float_text(x: Column) -> Column:
@@ -213,17 +217,29 @@ def plan_surfaces(docs: DataFrame, streams: str = "streams", ext: str = "ext", f
     return docs.select(*[c for c in docs.columns if c != streams], F.posexplode_outer(F.concat(audio(True), visual, audio(False), copy)).alias("ord", "surface")).where("ord is not null")
 
 
+def _joined_prefix(rows: DataFrame, keys: Sequence[str], text: Column, limit: int, fan: int = 1024) -> DataFrame:
+    """(keys, __all): the texts of a key in the order of `ord`, joined with ' | '; white space collapsed, and at least the first `limit` characters that trimming leaves. A cut
+    text is longer than that, so nothing that follows it shows."""
+    top = rows.agg(F.max(F.abs("ord"))).first()[0] or 0
+    part = rows.select(*keys, F.col("ord").cast("long").alias("__at"), text.alias("__all"))
+    while True:
+        top //= fan
+        at = F.floor(F.col("__at") / fan).cast("long") if top else F.when(F.col("__at") < 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        folded = F.expr("listagg(__all, ' | ') WITHIN GROUP (ORDER BY __at)")
+        part = part.groupBy(*keys, at.alias("__to")).agg(F.substring(_collapsed(folded), 1, limit + 2).alias("__all")).withColumnRenamed("__to", "__at")
+        if not top:
+            return part.groupBy(*keys).agg(F.expr("listagg(__all, ' | ') WITHIN GROUP (ORDER BY __at)").alias("__all"))
+
+
 def first_success(attempts: DataFrame, keys: Sequence[str] = ("path",), limit: int = 500) -> DataFrame:
-    """Outcome of ordered attempts(keys, ord, surface, result ok|fail|error, stderr): the first success or error decides, else all
-    failures are joined. The joined text is cut at `limit` characters, and each failure adds at least three, so only
-    the first limit/3 failures of a key can show and no more are gathered."""
+    """Outcome of ordered attempts(keys, ord, surface, result ok|fail|error, stderr): the first success or error decides, else all failures are joined and cut at `limit`
+    characters. Joined texts are folded by ranges of ordinals, level by level: a group joins the texts of at most 1,024 ranges and keeps their first `limit` characters, so that no task
+    gathers the failures of a key."""
     keys = list(keys)
     decided = F.col("result").isin("ok", "error")
     first = attempts.groupBy(*keys).agg(
         F.min_by(F.struct("surface", "result", "stderr"), F.when(decided, F.col("ord"))).alias("hit"), F.max_by("surface", "ord").alias("last"))
-    few = attempts.where("result = 'fail'").withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy("ord"))).where(F.col("__rn") <= limit // 3 + 1)
-    few = few.withColumn("__t", F.concat(F.col("surface"), F.lit(": "), trim_text(F.col("stderr"))))
-    joined = few.groupBy(*keys).agg(F.expr("listagg(__t, ' | ') WITHIN GROUP (ORDER BY ord)").alias("__all"))
+    joined = _joined_prefix(attempts.where("result = 'fail'"), keys, F.concat(F.col("surface"), F.lit(": "), trim_text(F.col("stderr"))), limit)
     j = first.join(joined, keys, "left")
     status = F.when(F.col("hit").isNull(), "failed").when(F.col("hit.result") == "ok", "passed").otherwise("error")
     details = F.when(status == "failed", F.col("__all")).when(status == "passed", "decode command completed").otherwise(F.col("hit.stderr"))
@@ -292,8 +308,18 @@ def protected_paths(changed: DataFrame, patterns: Sequence[str], path: str = "pa
 
 
 def _glob(pattern: str) -> str:
-    special = {"*": ".*", "?": "."}
-    return re.sub(r"(\.\*)+", ".*", "".join(special.get(c) or re.escape(c) for c in pattern))
+    """fnmatch rules: `*`, `?`, `[seq]` and `[!seq]`; a bracket that isn't closed stands for itself."""
+    special, out, at = {"*": ".*", "?": "."}, [], 0
+    while at < len(pattern):
+        close = pattern.find("]", at + 2 + (pattern[at + 1 : at + 2] == "!")) if pattern[at] == "[" else -1
+        if close > 0:
+            inside = re.sub(r"([\\\[\]&^])", r"\\\1", pattern[at + 1 : close].removeprefix("!"))
+            out.append(f"[{'^' if pattern[at + 1] == '!' else ''}{inside}]")
+            at = close
+        else:
+            out.append(special.get(pattern[at]) or re.escape(pattern[at]))
+        at += 1
+    return re.sub(r"(\.\*)+", ".*", "".join(out))
 
 
 def area_rollup(results: DataFrame, areas: Sequence[tuple] = AREAS) -> DataFrame:

@@ -211,9 +211,10 @@ def palette_lookup(pixels: DataFrame, palette: DataFrame, keys: Sequence[str] =
 
 
 def palette_bytes(palette: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """1,024-byte BGRA palette as hex, zero filled (at most 256 entries per image)."""
+    """1,024-byte BGRA palette as hex, zero filled (at most 256 entries per image). Of several entries for one index the largest colour is taken."""
     entry = F.concat(*[B.be_hex(c, 1) for c in ("b", "g", "r", "a")])
-    g = palette.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("index").cast("int").alias("k"), entry.alias("v")))).alias("__m"))
+    one = palette.groupBy(*keys, F.col("index").cast("int").alias("index")).agg(F.max(entry).alias("v"))
+    g = one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("index").alias("k"), "v"))).alias("__m"))
     fill = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit("00000000"))), "")
     return g.select(*keys, fill.alias("palette_hex"))
 
@@ -226,6 +227,15 @@ def unpack_bits(payload: Column, bits: int) -> Column:
     return F.when(B.size_of(payload) > 0, F.flatten(split)).otherwise(F.array().cast("array<bigint>"))
 
 
+def unpack_pieces(objects: DataFrame, payload: str, bits: int, keys: Sequence[str], piece: int = 1 << 12) -> DataFrame:
+    """`unpack_bits` of payloads of any length, as rows (keys, pos, v): a payload is cut into pieces first, so that no array grows with it."""
+    n = B.size_of(payload)
+    starts = F.when(n > 0, F.sequence(_long(0), n - 1, _long(piece)))
+    cut = objects.select(*keys, payload, F.explode_outer(starts).alias("__at")).where("__at is not null").select(*keys, "__at", B.slice_bytes(payload, F.col("__at"), piece).alias("__p"))
+    values = cut.select(*keys, "__at", F.posexplode_outer(unpack_bits(F.col("__p"), bits)).alias("__i", "v")).where("__i is not null")
+    return values.select(*keys, (F.col("__at") * (8 // bits) + F.col("__i")).alias("pos"), "v")
+
+
 def unpack_10bit(word: Column) -> Column:
     """Three 10-bit components of a 32-bit word."""
     return F.struct(B.bits(word, 22, 1023).alias("r"), B.bits(word, 12, 1023).alias("g"), B.bits(word, 2, 1023).alias("b"))

@@ -494,8 +494,14 @@ def apply_overrides(objects: DataFrame, observations: Sequence[tuple] = OBSERVAT
 
 
 def is_denied(content: Column, deny_list: Sequence[tuple] = R.DENY_LIST) -> Column:
-    refused = [_all([B.size_of(content) == n, *[B.bytes_at(content, o, b) for o, b in terms]]) for n, terms in deny_list]
-    return F.coalesce(_any(refused), F.lit(False))
+    """Looked up by length in one literal table, so that a long list costs a row no more than a short one."""
+    table: dict[int, list] = {}
+    for n, terms in deny_list:
+        table.setdefault(n, []).append([{"at": o + 1, "n": len(b), "hex": b.hex().upper()} for o, b in terms])
+    if not table:
+        return F.lit(False)
+    entries = F.try_element_at(B.literal_table(table, "map<string, array<array<struct<at: int, n: int, hex: string>>>>"), B.size_of(content).cast("string"))
+    return F.coalesce(F.exists(entries, lambda terms: F.forall(terms, lambda t: F.hex(F.substring(content, t["at"], t["n"])) == t["hex"])), F.lit(False))
 
 
 def deny(objects: DataFrame, deny_list: Sequence[tuple] = R.DENY_LIST, content: str = "content") -> DataFrame:

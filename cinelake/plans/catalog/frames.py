@@ -120,8 +120,8 @@ def _(spark, sf):
 
 
 _DISPOSE = ["keep", "clear", "restore"]
-COMP = f"""{EV}, f AS (SELECT user_id AS path, event_id AS frame_no, ({sql_list(_DISPOSE)})[event_id % 3 + 1] AS dispose, k FROM ev WHERE event_type IN ('view', 'click')),
-  c AS (SELECT DISTINCT user_id AS path, k // 10 AS pixel FROM ev WHERE k % 3 = 0)"""
+COMP = f"""{EV}, f AS (SELECT user_id AS path, event_id AS frame_no, ({sql_list(_DISPOSE)})[event_id % 3 + 1] AS dispose, k FROM ev),
+  c AS (SELECT DISTINCT user_id AS path, k // 10 AS pixel FROM ev)"""
 
 
 @query("composite_v9", f"""WITH {COMP}, g AS (SELECT f.*, c.pixel, c.pixel BETWEEN k % 10 AND k % 10 + 3 AS inside, CASE WHEN (c.pixel + k) % 4 <> 0 THEN k * 10 + c.pixel END AS dv FROM f JOIN c USING (path)),
@@ -130,9 +130,9 @@ COMP = f"""{EV}, f AS (SELECT user_id AS path, event_id AS frame_no, ({sql_list(
 def _(spark, sf):
     e = events(spark, sf)
     k, px = F.col("k"), F.col("pixel")
-    f = e.where("event_type in ('view', 'click')").select(
+    f = e.select(
         F.col("user_id").alias("path"), F.col("event_id").alias("frame_no"), pick(_DISPOSE, F.col("event_id")).alias("dispose"), F.lit(-1).cast("long").alias("clear_v"), "k")
-    canvas = e.where("k % 3 = 0").select(F.col("user_id").alias("path"), F.call_function("div", k, F.lit(10)).alias("pixel")).distinct()
+    canvas = e.select(F.col("user_id").alias("path"), F.call_function("div", k, F.lit(10)).alias("pixel")).distinct()
     patches = f.select("path", "frame_no", "k", F.explode(F.sequence(k % 10, k % 10 + 3)).alias("pixel")).select(
         "path", "frame_no", "pixel", F.when((px + k) % 4 != 0, k * 10 + px).alias("v"))
     return V.composite(f.drop("k"), patches, canvas)
@@ -208,16 +208,20 @@ def _(spark, sf):
     return V.palette_bytes(pal).select("path", F.md5("palette_hex").alias("hash"))
 
 
-@query("unpack_bits_v14", """WITH t AS (SELECT page_id, hex(encode(url)) AS hx FROM pages), b AS (SELECT page_id, i, ('0x' || substr(hx, i * 2 + 1, 2))::BIGINT AS b FROM t, LATERAL (SELECT unnest(range(length(hx) // 2)) AS i))
-  SELECT page_id, 1::INTEGER AS bits, (i * 8 + j)::INTEGER AS pos, (b >> (7 - j)) & 1 AS v FROM b, (SELECT unnest(range(8)) AS j) UNION ALL SELECT page_id, 4, (i * 2 + j)::INTEGER, (b >> (4 - 4 * j)) & 15 FROM b, (SELECT unnest(range(2)) AS j)
-  UNION ALL SELECT page_id, 8, i::INTEGER, b FROM b""")
+@query("unpack_bits_v14", """WITH t AS (SELECT page_id, hex(encode(html)) AS hx FROM pages), b AS (SELECT page_id, i, ('0x' || substr(hx, i * 2 + 1, 2))::BIGINT AS b FROM t, LATERAL (SELECT unnest(range(length(hx) // 2)) AS i)),
+  v AS (SELECT page_id, 1::INTEGER AS bits, i * 8 + j AS pos, (b >> (7 - j)) & 1 AS v FROM b, (SELECT unnest(range(8)) AS j) UNION ALL SELECT page_id, 4, i * 2 + j, (b >> (4 - 4 * j)) & 15 FROM b, (SELECT unnest(range(2)) AS j)
+    UNION ALL SELECT page_id, 8, i, b FROM b)
+  SELECT page_id, bits, pos // 4096 AS row_no, count(*) AS n, sum(v)::BIGINT AS total, sum(v * (pos % 4096 + 1))::BIGINT AS placed FROM v GROUP BY ALL""")
 def _(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.encode("url", "utf-8").alias("u"))
+    """Whole pages as bit planes: counts, sums and sums by place of each run of 4,096 values."""
+    p = table(spark, sf, "pages").select("page_id", F.encode("html", "utf-8").alias("u"))
     out = None
     for bits in (1, 4, 8):
-        part = p.select("page_id", F.lit(bits).alias("bits"), F.posexplode(V.unpack_bits(F.col("u"), bits)).alias("pos", "v"))
+        part = V.unpack_pieces(p, "u", bits, ["page_id"]).select("page_id", F.lit(bits).alias("bits"), "pos", "v")
         out = part if out is None else out.unionByName(part)
-    return out
+    place = F.col("pos") % 4096 + 1
+    return out.groupBy("page_id", "bits", F.call_function("div", F.col("pos"), F.lit(4096)).alias("row_no")).agg(
+        F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * place).alias("placed"))
 
 
 @query("unpack_10bit_v14", f"WITH t AS (SELECT {LK}, l_partkey * 104729 + l_orderkey * 31 AS w FROM lineitem) SELECT {LK}, (w >> 22) & 1023 AS r, (w >> 12) & 1023 AS g, (w >> 2) & 1023 AS b FROM t")

@@ -55,8 +55,8 @@ def test_volume(spark):
 
 
 def test_decimal_samples(spark):
-    df = spark.createDataFrame([("0.1", 44100), (".25", 48000), ("2.", 8000), ("-1", 8000), (".", 8000), ("", 8000), ("0." + "9" * 28, 8000)], "t string, r long")
-    assert [r[0] for r in df.select(A.decimal_samples(F.col("t"), F.col("r"))).collect()] == [4410, 12000, 16000, None, None, None, None]
+    df = spark.createDataFrame([("0.1", 44100), (".25", 48000), ("2.", 8000), ("-1", 8000), (".", 8000), ("", 8000), ("0." + "9" * 28, 8000), ("1." + "3" * 500, 3), ("0." + "0" * 40 + "1", 8000), ("9" * 17 + ".5", 48000), ("000000000000000000000000000000000001.5", 2)], "t string, r long")
+    assert [r[0] for r in df.select(A.decimal_samples(F.col("t"), F.col("r"))).collect()] == [4410, 12000, 16000, None, None, None, 7999, 3, 0, None, 3]
 
 
 def test_edge_index(spark):
@@ -356,3 +356,29 @@ def test_tones(spark):
             assert rows["stereo_44k_sine", i, ch] == int(math.sin(2 * math.pi * (220 + ch * 220) * i / 44100) * 12000)
     assert rows["short_100ms", 65, 0] == -31 * 128 and rows["odd_chunks", 3, 0] == -443
     assert rows["pcm_u8", 9, 0] == 128 + int(80 * math.sin(2 * math.pi * 220 * 9 / 8000))
+
+
+def test_pcm_nan_is_silence(spark):
+    df = spark.createDataFrame([(float("nan"),), (0.5,), (float("inf"),)], "x double")
+    assert [r[0] for r in df.select(A.to_s16(F.col("x"), "f64le")).collect()] == [0, 16384, 32767]
+    assert A._decode(np.array([np.nan, 0.5, -np.inf], "<f4"), "f32le").tolist() == [0, 16384, -32768]
+
+
+def test_palette_with_a_repeated_index(spark):
+    df = spark.createDataFrame([("a", 0, 1, 2, 3, 255), ("a", 0, 9, 2, 3, 255), ("a", 1, 0, 0, 0, 0)], "path string, index long, r long, g long, b long, a long")
+    assert V.palette_bytes(df).collect()[0].palette_hex.startswith("030209FF00000000")
+
+
+def test_glob_brackets(spark):
+    df = spark.createDataFrame([("src/a.rs",), ("src/b.rs",), ("src/[x].rs",), ("src/c",)], "path string")
+    found = lambda *p: [r.path for r in Q.protected_paths(df, p).orderBy("path").collect()]
+    assert found("src/[ab].rs") == ["src/a.rs", "src/b.rs"] and found("src/[!a].rs") == ["src/b.rs"] and found("*/[[]x].rs") == ["src/[x].rs"] and found("src/[c") == []
+
+
+def test_first_success_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", int(o), "s" if o % 3 else " t  u ", "fail", ["", "e r", "long  " * 7, "\n"][int(rng.integers(4))]) for o in sorted(rng.choice(5_000_000, 3000, replace=False))]
+    rows += [("late", i, "s", "fail", "x") for i in range(400)] + [("late", 900, "z", "ok", "")]
+    got = {r.path: r for r in Q.first_success(spark.createDataFrame(rows, "path string, ord long, surface string, result string, stderr string")).collect()}
+    text = " ".join(" | ".join(f"{s}: {' '.join(e.split())[:500]}" for p, _, s, _, e in rows if p == "hot").split())[:500]
+    assert (got["hot"].status, got["hot"].details) == ("failed", text) and (got["late"].status, got["late"].command_surface) == ("passed", "z")
