@@ -8,12 +8,16 @@ an integer that is unique within the key; pre-aggregate by (key, ordinal) when i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cinelake.functions import grouped
+from cinelake.session import checkpointed
+
 BLOCK = 1 << 16
-_BLK = "__ordered_block"
+BLOCK_COLUMN = _BLK = "__ordered_block"
 
 
 def with_block(df: DataFrame, ordinal: str, block: int = BLOCK) -> DataFrame:
@@ -84,3 +88,29 @@ def previous_value(df: DataFrame, keys: Sequence[str], ordinal: str, value: Colu
 def row_index(df: DataFrame, keys: Sequence[str], ordinal: str, name: str, block: int = BLOCK) -> DataFrame:
     """0-based dense position within the key."""
     return running_sum(df, keys, ordinal, {name: F.lit(1)}, block)
+
+
+def two_pass(rows: DataFrame, keys: Sequence[str], ordinal: str, facts: Callable[[dict], dict], facts_ddl: str, link: Callable[[DataFrame], DataFrame], finish: Callable[[dict, dict], dict | None],
+             out_ddl: str, block: int = BLOCK) -> DataFrame:
+    """A fold along each key in blocks of ordinals, in numpy where rows of several kinds have to be matched in order.
+
+    `facts` sums up a block on its own (one row of `facts_ddl`); `link` turns these few rows into what each block enters with, with windows over a key's blocks; `finish` gets a block's rows
+    with its entry, and gives the result. The input is evaluated once and written; a block, at most `block` ordinals of a key, is what a task holds. Blocks for which `link` has no row are left out.
+    """
+    keys = list(keys)
+    held = checkpointed(rows.withColumn(_BLK, F.floor(F.col(ordinal) / F.lit(block)).cast("long")))
+    entries = link(checkpointed(grouped.map_groups(held, [*keys, _BLK], ordinal, facts, facts_ddl)))
+    names = [c for c in entries.columns if c not in (*keys, _BLK)]
+    typed = {f.name: f.dataType for f in held.schema}
+    lead = entries.select(*keys, _BLK, *names, F.lit(True).alias("__entry"), *[F.lit(None).cast(t).alias(c) for c, t in typed.items() if c not in (*keys, _BLK, ordinal)], (F.col(_BLK) * block - 1).cast(typed[ordinal]).alias(ordinal))
+    body = held.select("*", F.lit(False).alias("__entry"), *[F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in names])
+
+    def run(g: dict) -> dict | None:
+        at = np.flatnonzero(g["__entry"].astype(bool))
+        if not len(at):
+            return None
+        entry = {c: None if g[c][at[0]] is None or g[c][at[0]] != g[c][at[0]] else int(g[c][at[0]]) for c in names}
+        rest = {c: np.delete(v, at) for c, v in g.items() if c not in names and c != "__entry"}
+        return finish(rest, entry) if len(rest[ordinal]) else None
+
+    return grouped.map_groups(body.unionByName(lead), [*keys, _BLK], ordinal, run, out_ddl, keep=keys)

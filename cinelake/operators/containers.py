@@ -10,10 +10,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cinelake import rules as R
 from cinelake.functions import binary as B, generate, grouped, ordered, rational
+from cinelake.operators import boxes
 from cinelake.session import checkpointed
 
 
@@ -34,80 +35,32 @@ def split_records(objects: DataFrame, size: int, content: str = "content") -> Da
     return out.withColumn("record_no", F.col("record_no").cast("long"))
 
 
-_ISO_TABLES = frozenset({b"stsz", b"stco", b"co64", b"stsc", b"stts"})
-_ISO_NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"moof", b"traf", b"edts", b"dinf", b"mvex"}
-
-
-def _walk_riff(data, start, end, parent, emit, nested=True):
-    pos = start
-    while pos + 8 <= end:
-        ident = bytes(data[pos : pos + 4])
-        size = int.from_bytes(data[pos + 4 : pos + 8], "little")
-        node = emit(parent, ident, pos + 8, size, pos + 8 + size > end)
-        if nested and ident in (b"RIFF", b"LIST") and size >= 4:
-            _walk_riff(data, pos + 12, min(pos + 8 + size, end), node, emit)
-        pos += 8 + size + (size & 1)
-
-
-def _walk_iso(data, start, end, parent, emit):
-    pos = start
-    while pos + 8 <= end:
-        size, head = int.from_bytes(data[pos : pos + 4], "big"), 8
-        ident = bytes(data[pos + 4 : pos + 8])
-        if size == 1 and pos + 16 <= end:
-            size, head = int.from_bytes(data[pos + 8 : pos + 16], "big"), 16
-        elif size == 0:
-            size = end - pos
-        if size < head:
-            return
-        node = emit(parent, ident, pos + head, size - head, pos + size > end)
-        if ident in _ISO_NESTED:
-            _walk_iso(data, pos + head, min(pos + size, end), node, emit)
-        pos += size
-
-
-def _walk_ogg(data, start, end, parent, emit):
-    pos = start
-    while pos + 27 <= end and bytes(data[pos : pos + 4]) == b"OggS":
-        table = pos + 27 + data[pos + 26]
-        size = sum(data[pos + 27 : table])
-        emit(parent, b"OggS", table, size, table + size > end, bytes(data[pos : min(table, end)]))
-        pos = table + size
-
-
-def _walk_gif(data, start, end, parent, emit):
-    """Extension ("X" + label in hex) and image ("IMG ") blocks after the screen descriptor; data sub-blocks are skipped."""
-    def table(flags):
-        return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-
-    def skip(pos):
-        while pos < end and data[pos]:
-            pos += 1 + data[pos]
-        return pos + 1
-
-    pos = 13 + table(data[10]) if end >= 13 else end
-    while pos < end and data[pos] in (0x21, 0x2C):
-        extension = data[pos] == 0x21
-        body = pos + 2 if extension else pos + 1
-        if not extension and pos + 10 > end or extension and body >= end:
-            emit(parent, b"CUT ", body, 0, True)
-            return
-        nxt = skip(body) if extension else skip(pos + 11 + table(data[pos + 9]))
-        emit(parent, b"X%02X " % data[pos + 1] if extension else b"IMG ", body, nxt - body, nxt > end)
-        pos = nxt
-
-
-_WALKERS = {"riff": _walk_riff, "iso": _walk_iso, "ogg": _walk_ogg, "gif": _walk_gif}
+#: Boxes whose bytes are media or filling; all other ISO boxes come whole.
+_ISO_BULK = frozenset({"mdat", "free", "skip", "wide", "idat"}) | {i.decode() for i in boxes.ISO_LISTS}
+#: RIFF chunks that come whole: formats, headers and indexes.
+_RIFF_WHOLE = frozenset({"fmt ", "strf", "strh", "avih", "fact", "bext", "idx1"})
+
+
+def _walked(family: str, data: memoryview, **state) -> list[tuple]:
+    """Nodes of one object that is in memory."""
+    walk = boxes.Walk(family, len(data), state)
+    walk.more(data, 0)
+    return walk.nodes
+
+
+def _whole(family: str, ident: str) -> bool:
+    return ident not in _ISO_BULK if family == "iso" else ident in _RIFF_WHOLE
 
 
 def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str = "content", head_bytes: int = 40, batch_rows: int = 1 << 15) -> DataFrame:
     """Nodes of size-prefixed containers, in file order: `riff` (padded, little endian), `iso` (32/64-bit, 0 = to the end), `ogg` pages, `gif` blocks.
 
     The walk inside one object is sequential, so each row is walked where it lies; nodes leave in bounded batches. `head`
-    holds the first bytes of each node (the whole of sample tables, the header of Ogg pages), so contents need not be joined again.
+    holds the bytes of a node: all of an ISO box without media, of RIFF formats, headers and indexes, and the header of an Ogg page; of others the first `head_bytes`. Objects
+    that are no one value, and nodes whose whole bytes are wanted, go through `boxes`.
     """
-    walk = _WALKERS[family]
-    whole = _ISO_TABLES if family == "iso" else frozenset()
+    if family not in boxes.FAMILIES:
+        raise ValueError(f"unknown family {family}")
     key_type = objects.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +75,10 @@ def chunk_index(objects: DataFrame, family: str, key: str = "path", content: str
                 if not blob.is_valid:
                     continue
                 data = memoryview(blob.as_buffer()).cast("B")
-                count = 0
-
-                def emit(parent, ident, off, size, truncated, head=None):
-                    nonlocal count
+                for seq, parent, ident, off, size, truncated, head in _walked(family, data):
                     if head is None:
-                        head = bytes(data[off : off + (size if ident in whole else min(size, head_bytes))])
-                    rows.append((name, count, parent, ident.decode("latin-1"), off, size, truncated, head))
-                    count += 1
-                    return count - 1
-
-                walk(data, 0, len(data), None, emit)
+                        head = bytes(data[off : off + (size if _whole(family, ident) else min(size, head_bytes))])
+                    rows.append((name, seq, parent, ident, off, size, truncated, head))
                 while len(rows) >= batch_rows:
                     head, rows[:] = rows[:batch_rows], rows[batch_rows:]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*head), schema)], schema=schema)
@@ -159,16 +105,10 @@ def chunk_list(content: Column, family: Column, head_bytes: int = 40) -> Column:
                 out.append(None)
                 continue
             data = memoryview(blob.as_buffer()).cast("B")
-            rows: list[dict] = []
-
-            def emit(parent, ident, off, size, truncated):
-                rows.append({"seq": len(rows), "id": ident.decode("latin-1"), "data_off": off, "data_len": size, "truncated": truncated, "head": bytes(data[off : off + min(size, head_bytes)])})
-                return None
-
-            if name == "gif":
-                _walk_gif(data, 0, len(data), None, emit)
-            else:
-                _walk_riff(data, 12, len(data), None, emit, False)
+            rows = []
+            found = _walked("gif", data) if name == "gif" else _walked("riff", data, pos=12, lists=False)
+            for seq, (_, _, ident, off, size, truncated, _) in enumerate(found):
+                rows.append({"seq": seq, "id": ident, "data_off": off, "data_len": size, "truncated": truncated, "head": bytes(data[off : off + min(size, head_bytes)])})
             out.append(rows)
         item = pa.struct([("seq", pa.int64()), ("id", pa.string()), ("data_off", pa.int64()), ("data_len", pa.int64()), ("truncated", pa.bool_()), ("head", pa.binary())])
         return pa.array(out, pa.list_(item))
@@ -363,28 +303,44 @@ def first_last_span(packets: DataFrame, keys: Sequence[str] = ("path", "pid"), p
 # ---- tables from chunks -------------------------------------------------------------------------------------------
 
 def iso_sample_tables(chunks: DataFrame) -> dict[str, DataFrame]:
-    """stsc, stco, stsz and stts of `chunk_index(..., "iso")` as tables keyed by (path, track); tracks are numbered by their box.
+    """stsc, stco, stsz and stts of `chunk_index(..., "iso")` as tables keyed by (path, track); tracks are numbered by their box. A table that declares more entries than
+    its box holds is no table, but a row of `rejects`. Sizes are runs (sample_no, count, size): samples that all have one size are one row.
 
     Boxes come in depth-first order, so a table belongs to the last track box before it.
     """
     track = F.when(F.col("id") == "trak", F.col("seq"))
-    boxes = ordered.previous_value(chunks, ["path"], "seq", track, "track", skip_nulls=True).where(F.col("track").isNotNull())
+    named = checkpointed(chunks.where(F.col("id").isin("trak", "stsc", "stco", "co64", "stsz", "stts")).select("path", "seq", "id", "head"))  # the objects are walked once, here
+    boxes = ordered.previous_value(named, ["path"], "seq", track, "track", skip_nulls=True).where(F.col("track").isNotNull())
     h = F.col("head")
     u = lambda o, n=4: B.uint(h, o, n)
     keys = ["path", "track"]
-
-    def entries(ids: Sequence[str], count: Column, entry) -> DataFrame:
-        b = boxes.where(F.col("id").isin(*ids)).select(*keys, "id", "head", count.alias("__n"))
-        rows = F.when(F.col("__n") > 0, F.transform(F.sequence(_zero(), F.col("__n") - 1), lambda i: F.struct(i.alias("i"), *entry(i))))
+    tables = boxes.where("id <> 'trak'").select(*keys, "id", "head", u(4).alias("__a"), u(8).alias("__b"))
+    whole = (F.col("id") == "stsz") & (F.col("__a") != 0)
+    count = F.when(F.col("id") == "stsz", F.col("__b")).otherwise(F.col("__a"))
+    width = F.when(F.col("id") == "stsc", 12).when(F.col("id").isin("stts", "co64"), 8).otherwise(4)
+    first = F.when(F.col("id") == "stsz", 12).otherwise(8)
+    fits = count.isNotNull() & (whole | (first + count * width <= B.size_of(h)))
+    tables = tables.select("*", count.alias("__n"), width.alias("__w"), first.alias("__f"), F.coalesce(fits, F.lit(False)).alias("__ok"), F.coalesce(whole, F.lit(False)).alias("__whole"))
+
+    def entries(ids: Sequence[str], entry) -> DataFrame:
+        """Entries of tables whose box holds them all, in blocks, so that no array is as long as a table."""
+        per = 1 << 14
+        b = tables.where(F.col("id").isin(*ids) & F.col("__ok") & ~F.col("__whole") & (F.col("__n") > 0))
+        starts = F.explode(F.sequence(_zero(), F.col("__n") - 1, F.lit(per).cast("long")))
+        b = b.select(*keys, "id", "head", "__n", "__w", "__f", starts.alias("__at"))
+        b = b.select(*keys, "id", "__at", F.least(F.lit(per), F.col("__n") - F.col("__at")).alias("__n"), "__w", B.slice_bytes("head", F.col("__f") + F.col("__at") * F.col("__w"), F.col("__w") * per).alias("__t"))
+        rows = F.transform(F.sequence(_zero(), F.col("__n") - 1), lambda i: F.struct((F.col("__at") + i).alias("i"), *entry(lambda o, n=4: B.uint("__t", i * F.col("__w") + o, n))))
         return b.select(*keys, F.explode_outer(rows).alias("e")).where("e is not null").select(*keys, "e.*")
 
-    offset = lambda i: F.when(F.col("id") == "co64", u(i * 8 + 8, 8)).otherwise(u(i * 4 + 8))
-    size = lambda i: F.when(u(4) == 0, u(i * 4 + 12)).otherwise(u(4))
+    offset = lambda at: F.when(F.col("id") == "co64", at(0, 8)).otherwise(at(0))
+    own = entries(["stsz"], lambda at: [at(0).alias("size")]).select(*keys, F.col("i").alias("sample_no"), F.lit(1).cast("long").alias("count"), "size")
+    same = tables.where("__whole and __n > 0").select(*keys, _zero().alias("sample_no"), F.col("__n").alias("count"), F.col("__a").alias("size"))
     return {
-        "stsc": entries(["stsc"], u(4), lambda i: [u(i * 12 + 8).alias("first_chunk"), u(i * 12 + 12).alias("samples_per_chunk")]).drop("i"),
-        "stco": entries(["stco", "co64"], u(4), lambda i: [offset(i).alias("offset")]).withColumn("chunk_no", F.col("i") + 1).drop("i"),
-        "stsz": entries(["stsz"], u(8), lambda i: [size(i).alias("size")]).withColumnRenamed("i", "sample_no"),
-        "stts": entries(["stts"], u(4), lambda i: [u(i * 8 + 8).alias("count"), u(i * 8 + 12).alias("delta")]).withColumnRenamed("i", "run_no"),
+        "stsc": entries(["stsc"], lambda at: [at(0).alias("first_chunk"), at(4).alias("samples_per_chunk")]).drop("i"),
+        "stco": entries(["stco", "co64"], lambda at: [offset(at).alias("offset")]).withColumn("chunk_no", F.col("i") + 1).drop("i"),
+        "stsz": own.unionByName(same),
+        "stts": entries(["stts"], lambda at: [at(0).alias("count"), at(4).alias("delta")]).withColumnRenamed("i", "run_no"),
+        "rejects": tables.where(~F.col("__ok")).select(*keys, "id", F.lit("short table").alias("error"), F.col("__n").alias("declared")),
     }
 
 
@@ -405,44 +361,110 @@ def ogg_segments(pages: DataFrame) -> DataFrame:
 
 # ---- sample tables ----------------------------------------------------------------------------------------------
 
-def resolve_samples(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Sequence[str] = ("path", "track")) -> DataFrame:
-    """Byte offset of every sample; tracks whose chunks do not cover all samples are left out (see `unmapped_tracks`).
+def resolve_samples(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Sequence[str] = ("path", "track"), wanted: DataFrame | None = None) -> DataFrame:
+    """(keys, chunk_no, sample_no, size, sample_offset) of every sample, or of those of wanted(keys, sample_no); tracks whose chunks do not cover all samples are left out (see `unmapped_tracks`).
 
-    The run of a chunk is an as-of match: chunks and run starts are merged by chunk number and the last run is carried
-    forward block by block, so the cost is linear and no key is gathered in one task.
+    stsz(keys, sample_no, size) has a row for each sample, or with `count` for each run of samples of one size. A rank directory answers where a sample lies: for each block of
+    sample numbers, the bytes of all samples before it and the chunk that goes on into it. Offset = the chunk's offset + running size at the sample - running size at the chunk's first sample,
+    so samples are neither expanded from chunks nor matched with them, and runs only where their samples are asked for.
     """
     keys = list(keys)
-    # the placed chunks feed both the expansion and the coverage test; a checkpoint keeps them from being derived twice
-    placed = checkpointed(chunk_samples(stsc, stco, keys))
-    covered = _coverage(placed, stsz, keys).where("__room >= __need").select(*keys)
-    slots = generate.expand(placed.join(covered, keys, "left_semi"), F.col("samples_per_chunk"), "__i", [*keys, "chunk_no"]).select(
-        *keys, "chunk_no", "offset", (F.col("first_sample") + F.col("__i")).alias("sample_no")
-    )
-    sized = slots.join(stsz, [*keys, "sample_no"])
-    out = ordered.running_sum(sized, [*keys, "chunk_no"], "sample_no", {"__before": "size"})
-    return out.withColumn("sample_offset", F.col("offset") + F.col("__before")).drop("__before", "offset")
+    chunks = checkpointed(chunk_samples(stsc, stco, keys))
+    covered = _coverage(chunks, stsz, keys).where("__room >= __need").select(*keys)
+    count = F.col("count") if "count" in stsz.columns else F.lit(1)
+    runs = stsz.select(*keys, F.col("sample_no").cast("long").alias("at"), count.cast("long").alias("n"), F.col("size").cast("long").alias("size")).where("n > 0")
+    if "count" in stsz.columns:  # runs end with their block
+        edges = F.explode(F.sequence(rational.int_div(F.col("at"), F.lit(ordered.BLOCK)), rational.int_div(F.col("at") + F.col("n") - 1, F.lit(ordered.BLOCK))))
+        runs = runs.select("*", edges.alias("__e"))
+        low, high = F.greatest("at", F.col("__e") * ordered.BLOCK), F.least(F.col("at") + F.col("n"), (F.col("__e") + 1) * ordered.BLOCK)
+        runs = runs.select(*keys, low.alias("at"), (high - low).alias("n"), "size")
+    none, listed = F.lit(None).cast("long"), wanted is not None
+    rows = runs.select(*keys, "at", F.lit(0).alias("kind"), F.col("n").alias("v1"), F.col("size").alias("v2"))
+    rows = rows.unionByName(chunks.where("samples_per_chunk > 0").select(*keys, F.col("first_sample").alias("at"), F.lit(1).alias("kind"), F.col("offset").alias("v1"), F.col("chunk_no").alias("v2")))
+    if listed:
+        rows = rows.unionByName(wanted.select(*keys, F.col("sample_no").cast("long").alias("at"), F.lit(2).alias("kind"), none.alias("v1"), none.alias("v2")))
+    rows = rows.join(covered, keys, "left_semi")
+
+    def parts(g: dict) -> tuple:
+        order = np.lexsort((g["kind"], g["at"]))
+        at, kind, v1, v2 = (g[c][order] for c in ("at", "kind", "v1", "v2"))
+        run, chunk = kind == 0, kind == 1
+        first, n, size = at[run], v1[run].astype(np.int64), v2[run].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(n * size)])
+
+        def before(x: np.ndarray) -> np.ndarray:
+            i = np.searchsorted(first, x, side="right") - 1
+            i, has = np.maximum(i, 0), i >= 0
+            return np.where(has, total[i] + np.minimum(x - first[i], n[i]) * size[i], 0) if len(first) else np.zeros(len(x), np.int64)
+
+        starts, offsets, numbers = at[chunk], v1[chunk].astype(np.int64), v2[chunk].astype(np.int64)
+        return at, kind, first, n, size, total, before, starts, offsets, numbers
+
+    def facts(g: dict) -> dict:
+        *_, total, before, starts, offsets, numbers = parts(g)
+        last = slice(-1, None) if len(starts) else slice(0, 0)
+        pad = lambda x: x.astype(object) if len(x) else np.array([None], object)
+        return {"total": total[-1:], "base": pad(offsets[last] - before(starts[last])), "number": pad(numbers[last])}
+
+    def link(blocks: DataFrame) -> DataFrame:
+        earlier = W.partitionBy(*keys).orderBy(ordered.BLOCK_COLUMN).rowsBetween(W.unboundedPreceding, -1)
+        blocks = blocks.withColumn("size_in", F.coalesce(F.sum("total").over(earlier), _zero()))
+        carried = F.last(F.when(F.col("number").isNotNull(), F.struct((F.col("base") - F.col("size_in")).alias("base"), "number")), ignorenulls=True).over(earlier)
+        return blocks.withColumn("chunk_in", carried).select(*keys, ordered.BLOCK_COLUMN, "size_in", F.col("chunk_in.base").alias("base_in"), F.col("chunk_in.number").alias("number_in"))
+
+    def finish(g: dict, entry: dict) -> dict | None:
+        at, kind, first, n, size, total, before, starts, offsets, numbers = parts(g)
+        ask = at[kind == 2] if listed else np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        own = np.searchsorted(first, ask, side="right") - 1
+        there = (own >= 0) & (ask < first[np.maximum(own, 0)] + n[np.maximum(own, 0)]) if len(first) else np.zeros(len(ask), bool)
+        ask, own = ask[there], own[there]
+        if not len(ask):
+            return None
+        bases = np.concatenate([[entry["base_in"] or 0], offsets - before(starts) - entry["size_in"]])
+        which = np.searchsorted(starts, ask, side="right")
+        return {"chunk_no": np.concatenate([[entry["number_in"] or 0], numbers])[which], "sample_no": ask, "size": size[own], "sample_offset": bases[which] + entry["size_in"] + before(ask)}
+
+    return ordered.two_pass(rows, keys, "at", facts, "total bigint, base bigint, number bigint", link, finish, "chunk_no bigint, sample_no bigint, size bigint, sample_offset bigint")
 
 
 def _coverage(placed: DataFrame, stsz: DataFrame, keys: list[str]) -> DataFrame:
     room = placed.groupBy(*keys).agg(F.sum("samples_per_chunk").alias("__room"))
-    need = stsz.groupBy(*keys).agg(F.count("*").alias("__need"))
+    need = stsz.groupBy(*keys).agg((F.sum("count") if "count" in stsz.columns else F.count("*")).alias("__need"))
     return need.join(room, keys, "left").withColumn("__room", F.coalesce("__room", _zero()))
 
 
 def chunk_samples(stsc: DataFrame, stco: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Chunks with their samples per chunk and the number (0-based) of their first sample."""
+    """Chunks (keys, chunk_no, offset) with their samples_per_chunk, of the last run that begins at or before them (of the first run if none does), and first_sample, the 0-based number
+    of their first sample. Objects without runs have no chunks here."""
     keys = list(keys)
-    merged = (
-        stco.select(*keys, "chunk_no", "offset", F.lit(None).cast("long").alias("spc"))
-        .unionByName(stsc.select(*keys, F.col("first_chunk").alias("chunk_no"), F.lit(None).cast("long").alias("offset"), F.col("samples_per_chunk").cast("long").alias("spc")))
-        .groupBy(*keys, "chunk_no")
-        .agg(F.max("offset").alias("offset"), F.max("spc").alias("spc"))
-    )
-    filled = ordered.previous_value(merged, keys, "chunk_no", F.col("spc"), "carried", skip_nulls=True)
-    lead = stsc.groupBy(*keys).agg(F.min_by(F.col("samples_per_chunk").cast("long"), "first_chunk").alias("lead"))
-    filled = filled.where(F.col("offset").isNotNull()).join(lead, keys)
-    chunks = filled.select(*keys, "chunk_no", "offset", F.coalesce("spc", "carried", "lead").alias("samples_per_chunk"))
-    return ordered.running_sum(checkpointed(chunks), keys, "chunk_no", {"first_sample": "samples_per_chunk"})
+    rows = stco.select(*keys, F.col("chunk_no").alias("at"), F.lit(1).alias("kind"), F.col("offset").cast("long").alias("v"))
+    rows = rows.unionByName(stsc.select(*keys, F.col("first_chunk").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("samples_per_chunk").cast("long").alias("v")))
+
+    def parts(g: dict) -> tuple:
+        order = np.lexsort((g["kind"], g["at"]))
+        at, run, v = g["at"][order], g["kind"][order] == 0, g["v"][order].astype(np.int64)
+        return at[~run], v[~run], v[run], np.searchsorted(at[run], at[~run], side="right")
+
+    def facts(g: dict) -> dict:
+        _, _, counts, which = parts(g)
+        ends = [counts[0], counts[-1]] if len(counts) else [None, None]
+        return {"lead": np.array([(which == 0).sum()]), "rest": np.array([counts[which[which > 0] - 1].sum()]), "first_run": np.array(ends[:1], object), "last_run": np.array(ends[1:], object)}
+
+    def link(blocks: DataFrame) -> DataFrame:
+        over = W.partitionBy(*keys).orderBy(ordered.BLOCK_COLUMN)
+        earlier = over.rowsBetween(W.unboundedPreceding, -1)
+        lead = F.first("first_run", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        blocks = blocks.withColumn("run_in", F.coalesce(F.last("last_run", ignorenulls=True).over(earlier), lead)).where("run_in is not null")
+        return blocks.select(*keys, ordered.BLOCK_COLUMN, "run_in", F.coalesce(F.sum(F.col("lead") * F.col("run_in") + F.col("rest")).over(earlier), _zero()).alias("first_in"))
+
+    def finish(g: dict, entry: dict) -> dict | None:
+        at, offsets, counts, which = parts(g)
+        if not len(at):
+            return None
+        per = np.concatenate([[entry["run_in"]], counts])[which].astype(np.int64)
+        return {"chunk_no": at, "offset": offsets, "samples_per_chunk": per, "first_sample": entry["first_in"] + np.cumsum(per) - per}
+
+    return ordered.two_pass(rows, keys, "at", facts, "lead bigint, rest bigint, first_run bigint, last_run bigint", link, finish, "chunk_no bigint, offset bigint, samples_per_chunk bigint, first_sample bigint")
 
 
 def unmapped_tracks(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Sequence[str] = ("path", "track")) -> DataFrame:
@@ -464,8 +486,8 @@ def cap_chunks(chunks: DataFrame, keys: Sequence[str] = ("path",), n: str = "n",
     An object whose very first chunk is past the end keeps nothing (it belongs to the rejects).
     """
     keys = list(keys)
-    taken = ordered.running_sum(chunks, keys, "chunk_no", {"pts": n})
-    taken = taken.withColumn("take", F.greatest(_zero(), F.least(F.col(n), F.col(budget) - F.col("pts")))).where("take > 0")
+    taken = ordered.running_sum(checkpointed(chunks), keys, "chunk_no", {"pts": n})
+    taken = checkpointed(taken.withColumn("take", F.greatest(_zero(), F.least(F.col(n), F.col(budget) - F.col("pts")))).where("take > 0"))
     past = F.col("offset") + F.col("take") * F.col(align) > F.col(length)
     stops = taken.where(past).groupBy(*keys).agg(F.min("chunk_no").alias("__stop"))
     return taken.join(stops, keys, "left").where(F.col("__stop").isNull() | (F.col("chunk_no") < F.col("__stop"))).drop("__stop")
@@ -595,52 +617,87 @@ def accept_empty(objects: DataFrame, tracks: DataFrame, ignored: Sequence[str] =
 
 # ---- frame chains -----------------------------------------------------------------------------------------------
 
-def frame_chain(candidates: DataFrame, keys: Sequence[str] = ("path",), resync: bool = True, block: int = 1 << 20, reach: int = 1 << 13) -> DataFrame:
+def _frames(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, targets and marks (candidates without a length) of a block."""
+    length = g["frame_len"].astype(float)
+    marks = np.isnan(length)
+    return g["off"], g["off"] + np.where(marks, 0, length).astype(np.int64), marks
+
+
+def _local_chain(offs: np.ndarray, targets: np.ndarray, marks: np.ndarray, resync: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each candidate of a block: frames up to the last that is reached inside it, which that is, and whether the chain ends there for good (pointer doubling)."""
+    nxt = np.searchsorted(offs, targets)
+    at = np.minimum(nxt, len(offs) - 1)
+    found = (nxt < len(offs)) & (resync | (offs[at] == targets)) & ~marks
+    over = marks | (found & marks[at]) | (~found & (nxt < len(offs)))
+    at = np.where(found & ~marks[at], at, np.arange(len(offs)))
+    steps = (at != np.arange(len(offs))).astype(np.int64)
+    while True:
+        further = at[at]
+        if np.array_equal(further, at):
+            return steps + 1, at, over[at]
+        steps, at = steps + steps[at], further
+
+
+def frame_chain(candidates: DataFrame, keys: Sequence[str] = ("path",), resync: bool = True, block: int = 1 << 20) -> DataFrame:
     """Frames met when following off -> off + frame_len from the first candidate header of each object: count, first and last offset.
 
-    With `resync` the next candidate at or after the target is taken, without it the chain stops at a missing header. Each
-    block of offsets is walked on its own for every node that can be entered from outside (frames are shorter than
-    `reach`, so entries lie near its start), and one short pass per object hops from block to block.
+    With `resync` the next candidate at or after the target is taken, without it the chain stops at a missing header. A NULL frame_len is a mark that ends the chain
+    without being a frame; a frame_len below 1 is no candidate.
+
+    Offsets are cut into blocks. A pass over the blocks finds the targets that leave one; each is sent to the block where it lands, and a second pass answers what follows from there
+    inside that block: frames, last offset, next target. These links between blocks are then ranked by pointer jumping: each round is a join of the written links with themselves that
+    doubles their reach, so a chain over n blocks takes log2(n) rounds. Frames may have any length, and no task sees more than a block of an object.
     """
     keys = list(keys)
-
-    def chain(nxt: np.ndarray, counts: np.ndarray, terminal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per node: frames up to the end of its path and the node where it ends (pointer doubling over one bounded group)."""
-        at = np.where(terminal, np.arange(len(nxt)), nxt)
-        steps = np.where(terminal, 0, counts)
-        while True:
-            further = at[at]
-            if np.array_equal(further, at):
-                return steps + counts[at], at
-            steps, at = steps + steps[at], further
-
-    def inside(g: dict) -> dict:
-        offs, targets = g["off"], g["off"] + g["frame_len"]
-        if g["frame_len"].max() > reach or g["frame_len"].min() < 1:
-            raise ValueError(f"frame lengths must lie between 1 and the reach of {reach}")
-        end = int(offs[0]) // block * block + block
-        nxt = np.searchsorted(offs, targets)
-        found = nxt < len(offs)
-        hit = found if resync else found & (offs[np.minimum(nxt, len(offs) - 1)] == targets)
-        terminal = ~hit | (targets >= end)
-        n, last = chain(np.minimum(nxt, len(offs) - 1), np.ones(len(offs), np.int64), terminal)
-        entry = offs < end - block + reach
-        entry[0] = True
-        stops = np.zeros(len(offs), bool) if resync else targets < end
-        return {"off": offs[entry], "leave": targets[last][entry], "n": n[entry], "last": offs[last][entry], "stops": stops[last][entry]}
-
-    def across(g: dict) -> dict:
-        offs = g["off"]
-        nxt = np.searchsorted(offs, g["leave"])
-        found = nxt < len(offs)
-        hit = found if resync else found & (offs[np.minimum(nxt, len(offs) - 1)] == g["leave"])
-        terminal = ~hit | g["stops"]
-        n, last = chain(np.minimum(nxt, len(offs) - 1), g["n"], terminal)
-        return {"n_frames": n[:1], "first_off": offs[:1], "last_off": g["last"][last][:1]}
-
-    rows = candidates.select(*keys, F.col("off").cast("long").alias("off"), F.col("frame_len").cast("long").alias("frame_len"), F.floor(F.col("off") / block).cast("long").alias("__b"))
-    entries = grouped.map_groups(rows, [*keys, "__b"], "off", inside, "off bigint, leave bigint, n bigint, last bigint, stops boolean", keep=keys)
-    return grouped.map_groups(entries, keys, "off", across, "n_frames bigint, first_off bigint, last_off bigint")
+    rows = candidates.where("frame_len is null or frame_len > 0").select(
+        *keys, F.col("off").cast("long").alias("off"), F.col("frame_len").cast("long").alias("frame_len"), F.floor(F.col("off") / block).cast("long").alias("__b"))
+    rows = checkpointed(rows)
+
+    def leaving(g: dict) -> dict:
+        offs, targets, marks = _frames(g)
+        return {"target": np.unique(targets[~marks & (np.searchsorted(offs, targets) >= len(offs))])}
+
+    leave = grouped.map_groups(rows, [*keys, "__b"], "off", leaving, "target bigint", keep=keys).distinct()
+    spans = checkpointed(rows.groupBy(*keys, "__b").agg(F.min("off").alias("first_off"), F.max("off").alias("end_off")))
+    starts = spans.groupBy(*keys).agg(F.min("first_off").alias("target"))
+    asked = checkpointed(leave.unionByName(starts).distinct())
+    # a target lands in its own block, or at the first candidate of the next block that has any
+    both = spans.select(*keys, "__b", "first_off", "end_off", F.lit(None).cast("long").alias("target")).unionByName(
+        asked.select(*keys, F.floor(F.col("target") / block).cast("long").alias("__b"), F.lit(None).cast("long").alias("first_off"), F.lit(None).cast("long").alias("end_off"), "target"))
+    by_block = both.groupBy(*keys, "__b").agg(F.min("first_off").alias("first_off"), F.max("end_off").alias("end_off"))
+    ahead = W.partitionBy(*keys).orderBy("__b").rowsBetween(1, W.unboundedFollowing)
+    by_block = by_block.withColumn("next_off", F.first("first_off", ignorenulls=True).over(ahead))
+    routed = asked.withColumn("__b", F.floor(F.col("target") / block).cast("long")).join(by_block, [*keys, "__b"])
+    lands = F.when(F.col("end_off") >= F.col("target"), F.col("target")).otherwise(F.col("next_off"))
+    routed = routed.select(*keys, "target", lands.alias("off")).where(F.col("off").isNotNull() if resync else F.col("off") == F.col("target"))
+    together = rows.select(*keys, "__b", "off", "frame_len", F.lit(None).cast("long").alias("target")).unionByName(
+        routed.select(*keys, F.floor(F.col("off") / block).cast("long").alias("__b"), "off", F.lit(None).cast("long").alias("frame_len"), "target"))
+
+    def landing(g: dict) -> dict | None:
+        ask = ~np.isnan(g["target"].astype(float))
+        if not ask.any() or ask.all():
+            return None
+        offs, targets, marks = _frames({c: g[c][~ask] for c in ("off", "frame_len")})
+        n, last, over = _local_chain(offs, targets, marks, resync)
+        at = np.searchsorted(offs, g["off"][ask])
+        found = at < len(offs)
+        if not resync:
+            found &= offs[np.minimum(at, len(offs) - 1)] == g["off"][ask]
+        at = at[found]
+        following = targets[last[at]].astype(object)
+        following[over[at]] = None
+        return {"target": g["target"][ask][found].astype(np.int64), "first_off": offs[at], "n": np.where(marks[at], 0, n[at]), "last_off": offs[last[at]], "next": following}
+
+    links = checkpointed(grouped.map_groups(together, [*keys, "__b"], "off", landing, "target bigint, first_off bigint, n bigint, last_off bigint, next bigint", keep=keys))
+    while links.where("next is not null").limit(1).count():
+        ahead = links.select(*keys, F.col("target").alias("next"), F.col("n").alias("__n"), F.col("last_off").alias("__last"), F.col("next").alias("__next"))
+        more = links.where("next is not null").join(ahead, [*keys, "next"], "left")
+        goes = F.coalesce(F.col("__n") > 0, F.lit(False))
+        stepped = more.select(*keys, "target", "first_off", F.when(goes, F.col("n") + F.col("__n")).otherwise(F.col("n")).alias("n"),
+                              F.when(goes, F.col("__last")).otherwise(F.col("last_off")).alias("last_off"), F.col("__next").alias("next"))
+        links = checkpointed(links.where("next is null").unionByName(stepped))
+    return links.join(starts, [*keys, "target"], "left_semi").where("n > 0").select(*keys, F.col("n").alias("n_frames"), "first_off", "last_off")
 
 
 def inject_params(units: DataFrame, params: DataFrame, keys: Sequence[str] = ("path", "packet_no")) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions import binary as B, generate, ordered, rational
+from cinelake.session import checkpointed
 
 _div = rational.int_div
 
@@ -299,7 +300,7 @@ def run_rejects(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("path"
 def expand_runs(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("path",), ordinal: str = "run_no") -> DataFrame:
     """Positions of run-length data: starts come from a blocked running sum, positions inside a run are arithmetic."""
     keys = list(keys)
-    good = runs.join(run_rejects(runs, sizes, keys), keys, "left_anti").join(sizes.select(*keys), keys, "left_semi")
+    good = checkpointed(runs.join(run_rejects(runs, sizes, keys), keys, "left_anti").join(sizes.select(*keys), keys, "left_semi"))
     based = ordered.running_sum(good, keys, ordinal, {"__at": "count"})
     return generate.expand(based, F.col("count"), "__i", [*keys, ordinal]).select(*keys, (F.col("__at") + F.col("__i")).alias("pos"), "value")
 

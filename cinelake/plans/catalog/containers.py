@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from cinelake import rules as R
 from cinelake.functions import binary as B, ordered
-from cinelake.operators import containers as C
+from cinelake.functions import digests
+from cinelake.operators import boxes, containers as C, mpeg_audio
 from cinelake.plans.catalog.common import documents, pick, sql_list
 from cinelake.plans.registry import query, table
 from cinelake.session import checkpointed
+from cinelake.sources.pieces import cut
 
 EV = "ev AS (SELECT event_id, user_id, event_type, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k, (epoch_us(ts) * 9) // 100 AS pts, props FROM events)"
 
@@ -46,6 +48,71 @@ def _(spark, sf):
     return C.chunk_index(riff_objects(spark, sf), "riff", key="doc_id").drop("head")
 
 
+_SLICE = 200
+
+
+def _slices(text: str = "b"):
+    """Offsets of the slices of a binary column."""
+    n = F.octet_length(text)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(_SLICE))).otherwise(F.array().cast("array<int>"))
+
+
+def family_objects(spark, sf, family):
+    """Each document as a container: its text in nodes of at most 200 bytes. ISO: boxes inside moov/trak; Ogg: a page each; GIF: a comment block each; the last node of every seventh is cut short."""
+    d = documents(spark, sf).select("doc_id", F.encode("text", "utf-8").alias("b"))
+    part = lambda at: F.substring("b", at + 1, F.least(F.lit(_SLICE), F.octet_length("b") - at))
+    if family == "iso":
+        box = lambda at: F.concat(B.be_hex(F.octet_length(part(at)) + 8, 4), F.hex(F.lit("sdat")), F.hex(part(at)))
+        body = F.array_join(F.transform(_slices(), box), "")
+        size = F.call_function("div", F.length(body).cast("long"), F.lit(2))
+        hexed = F.concat(B.be_hex(size + 16, 4), F.hex(F.lit("moov")), B.be_hex(size + 8, 4), F.hex(F.lit("trak")), body)
+    elif family == "ogg":
+        page = lambda at: F.concat(F.hex(F.lit("OggS")), F.lit("00" * 22 + "01"), B.be_hex(F.octet_length(part(at)), 1), F.hex(part(at)))
+        hexed = F.array_join(F.transform(_slices(), page), "")
+    else:
+        block = lambda at: F.concat(F.lit("21FE"), B.be_hex(F.octet_length(part(at)), 1), F.hex(part(at)), F.lit("00"))
+        hexed = F.concat(F.hex(F.lit("GIF89a")), F.lit("0" * 14), F.array_join(F.transform(_slices(), block), ""), F.lit("3B"))
+    cut_off = F.when(F.col("doc_id") % 7 == 0, 2 if family == "gif" else 1).otherwise(0)
+    whole = F.unhex(hexed)
+    return d.select("doc_id", F.substring(whole, F.lit(1), F.octet_length(whole) - cut_off).alias("content"))
+
+
+_NODES = """f AS (SELECT doc_id, strlen(text) AS len, doc_id % 7 = 0 AS cut FROM documents WHERE strlen(text) > 0),
+  s AS (SELECT doc_id, len, cut, i, least(200, len - i * 200) AS n, i = (len - 1) // 200 AS last FROM f, LATERAL (SELECT unnest(range((len + 199) // 200)) AS i))"""
+
+
+@query("walk_boxes_c2", f"""WITH {_NODES}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+  o AS (SELECT doc_id, i, strlen(line) AS n, coalesce(sum(8 + strlen(line) + strlen(line) % 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+  SELECT 'riff' AS family, doc_id, (i + 1)::BIGINT AS seq, 0::BIGINT AS parent, lpad((i % 1000)::VARCHAR, 4, 'l') AS id, (before + 20)::BIGINT AS data_off, n::BIGINT AS data_len, false AS truncated FROM o
+  UNION ALL SELECT 'riff', doc_id, 0, NULL, 'RIFF', 8, (4 + sum(8 + n + n % 2))::BIGINT, false FROM o GROUP BY doc_id
+  UNION ALL SELECT 'iso', doc_id, 0, NULL, 'moov', 8, len + (len + 199) // 200 * 8 + 8, cut FROM f UNION ALL SELECT 'iso', doc_id, 1, 0, 'trak', 16, len + (len + 199) // 200 * 8, cut FROM f
+  UNION ALL SELECT 'iso', doc_id, i + 2, 1, 'sdat', i * 208 + 24, n, cut AND last FROM s
+  UNION ALL SELECT 'ogg', doc_id, i, NULL, 'OggS', i * 228 + 28, n, cut AND last FROM s
+  UNION ALL SELECT 'gif', doc_id, i, NULL, 'XFE ', i * 204 + 15, n + 2, cut AND last FROM s""")
+def _(spark, sf):
+    """All four families, walked over pieces of 512 bytes, so that nodes lie over borders and walks take several rounds."""
+    out = None
+    for family in boxes.FAMILIES:
+        objects = (riff_objects(spark, sf) if family == "riff" else family_objects(spark, sf, family)).where("octet_length(content) > 14")
+        nodes, _ = boxes.walk_boxes(checkpointed(cut(objects, 512, key="doc_id")), family, key="doc_id", piece=512)
+        part = nodes.select(F.lit(family).alias("family"), "doc_id", "seq", "parent", "id", "data_off", "data_len", "truncated")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("box_rejects_c2", """WITH f AS (SELECT doc_id FROM documents WHERE strlen(text) > 0 AND doc_id % 7 = 0), k AS (SELECT unnest(['iso', 'ogg', 'gif']) AS family)
+  SELECT family, doc_id, 'truncated node' AS error FROM f CROSS JOIN k""")
+def _(spark, sf):
+    """Containers whose last node is cut short."""
+    out = None
+    for family in ("iso", "ogg", "gif"):
+        objects = family_objects(spark, sf, family).where("octet_length(content) > 14")
+        _, rejects = boxes.walk_boxes(checkpointed(cut(objects, 4096, key="doc_id")), family, key="doc_id", piece=4096)
+        part = rejects.select(F.lit(family).alias("family"), "doc_id", "error")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _tail_chunks(spark, sf):
     return events(spark, sf).select(
         F.col("user_id").alias("path"), F.col("event_id").alias("seq"), (F.col("event_id") * 10).alias("data_off"), F.col("k").alias("data_len"),
@@ -276,6 +343,52 @@ def _(spark, sf):
     return C.packet_sizes(C.packets_from_segments(_segments(spark, sf)))
 
 
+_PAGES = (510, 510, 300)
+
+
+def ogg_packet_objects(spark, sf):
+    """Each document as an Ogg object: pages of 510, 510 and 300 bytes in turn, so that a packet goes over three pages; a last page that fills its last segment leaves its packet open."""
+    d = documents(spark, sf).select("doc_id", F.encode("text", "utf-8").alias("b"))
+    n = F.octet_length("b")
+    whole = F.sequence(F.lit(0), F.call_function("div", n - 1, F.lit(sum(_PAGES))).cast("int"))
+    spans = F.flatten(F.transform(whole, lambda k: F.array(*[F.struct((k * sum(_PAGES) + sum(_PAGES[:i])).alias("at"), F.lit(size).alias("size")) for i, size in enumerate(_PAGES)])))
+
+    def page(x):
+        size = F.least(x["size"], n - x["at"])
+        full, rest = F.call_function("div", size, F.lit(255)).cast("int"), size % 255
+        lacing = F.concat(F.repeat(F.lit("FF"), full), F.when(rest > 0, B.be_hex(rest, 1)).otherwise(""))
+        return F.concat(F.hex(F.lit("OggS")), F.lit("00" * 22), B.be_hex(full + F.when(rest > 0, 1).otherwise(0), 1), lacing, F.hex(F.substring("b", x["at"] + 1, size)))
+
+    pages = F.transform(F.filter(spans, lambda x: x["at"] < n), page)
+    return d.where(n > 0).select("doc_id", F.unhex(F.array_join(pages, "")).alias("content"))
+
+
+def _ogg_packets(spark, sf, piece=1000):
+    pieces = checkpointed(cut(ogg_packet_objects(spark, sf).withColumnRenamed("doc_id", "path"), piece))
+    nodes, _ = boxes.walk_boxes(pieces, "ogg", piece=piece)
+    pages = checkpointed(C.ogg_pages(nodes))
+    return pieces, pages, C.ogg_segments(pages)
+
+
+_OPEN = "CASE WHEN len % 1320 = 0 THEN 300 WHEN len % 1320 <= 510 THEN len % 1320 WHEN len % 1320 <= 1020 THEN len % 1320 - 510 ELSE len % 1320 - 1020 END % 255 = 0"
+
+
+@query("packet_payload_c17", f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS hx, strlen(text) AS len FROM documents WHERE strlen(text) > 0)
+  SELECT doc_id AS path, i AS packet_no, least(1320, len - i * 1320) AS size, md5(unhex(substr(hx, (i * 2640 + 1)::BIGINT, 2640))) AS hash FROM d, LATERAL (SELECT unnest(range((len + 1319) // 1320)) AS i) WHERE NOT ({_OPEN})""")
+def _(spark, sf):
+    """Packets of Ogg objects: pages walked over pieces, segments numbered, bytes fetched from the pieces they lie in, and digested part by part."""
+    pieces, pages, segments = _ogg_packets(spark, sf)
+    ranges = boxes.packet_ranges(pages, C.packets_from_segments(segments, keys=("path", "serial")))
+    parts = boxes.range_bytes(ranges, pieces, ["path", "packet_no", "page_no"], piece=1000)
+    return digests.fold_md5(parts, ["path", "packet_no"], ["page_no", "part_no"]).select("path", "packet_no", "size", "hash")
+
+
+@query("open_packets_c17", f"SELECT doc_id AS path FROM (SELECT doc_id, strlen(text) AS len FROM documents WHERE strlen(text) > 0) WHERE {_OPEN}")
+def _(spark, sf):
+    _, _, segments = _ogg_packets(spark, sf)
+    return C.open_packets(segments, ["path", "serial"], "seg_no", "len").select("path")
+
+
 @query("granule_frames_c18", f"""WITH {EV}, g AS (SELECT event_id, event_id * 977 + k AS g, k % 12 AS s FROM ev)
   SELECT event_id, CASE WHEN s = 0 THEN g ELSE (g >> s) + (g & ((1::BIGINT << s) - 1)) END AS frames, (g * 4294967296 // 4294967296) AS high FROM g""")
 def _(spark, sf):
@@ -329,7 +442,7 @@ CHAIN_SQL = f"""WITH RECURSIVE {EV}, c AS (SELECT user_id AS path, event_id AS o
 @query("frame_chain_c21", CHAIN_SQL)
 def _(spark, sf):
     c = events(spark, sf).select(F.col("user_id").alias("path"), F.col("event_id").alias("off"), (F.col("k") * 20 + 1).alias("frame_len"))
-    return C.frame_chain(c, block=4096, reach=2048)
+    return C.frame_chain(c, block=4096)
 
 
 @query("frame_chain_strict_c21", """WITH RECURSIVE c AS (SELECT event_type AS path, event_id AS off, event_id + regexp_extract(props, '([0-9]+)', 1)::BIGINT % 3 + 1 AS target FROM events),
@@ -337,7 +450,22 @@ def _(spark, sf):
   SELECT path, count(*) AS n_frames, min(off) AS first_off, max(off) AS last_off FROM w GROUP BY path""")
 def _(spark, sf):
     c = events(spark, sf).select(F.col("event_type").alias("path"), F.col("event_id").alias("off"), (F.col("k") % 3 + 1).alias("frame_len"))
-    return C.frame_chain(c, resync=False, block=256, reach=16)
+    return C.frame_chain(c, resync=False, block=256)
+
+
+@query("mpeg_streams_c21", """WITH d AS (SELECT doc_id, strlen(text) // 413 AS n FROM documents) SELECT doc_id, 'mp3' AS codec_name, 44100::BIGINT AS sample_rate, 2::BIGINT AS channels, n AS n_frames,
+  CASE WHEN doc_id % 3 = 0 THEN 110 ELSE 0 END::BIGINT AS first_off, round(n * 1152 / 44100.0::DOUBLE, 6) AS duration_seconds FROM d WHERE n > 0""")
+def _(spark, sf):
+    """Each document as an MPEG audio object: its text as frames of 417 bytes, stray bytes between some of them, a leading tag on every third, and a trailing one with a frame behind it on every fifth."""
+    d = documents(spark, sf).select("doc_id", F.encode("text", "utf-8").alias("b"))
+    n = F.call_function("div", F.octet_length("b"), F.lit(413)).cast("int")
+    frame = lambda i: F.concat(F.lit("FFFB9000"), F.hex(F.substring("b", i * 413 + 1, F.lit(413))), F.when(i % 4 == 3, F.lit("00FF00")).otherwise(""))
+    lead = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("49443303000000000064"), F.repeat(F.lit("FF"), 100))).otherwise("")
+    trail = F.when(F.col("doc_id") % 5 == 0, F.concat(F.hex(F.lit("TAG")), F.lit("FFFB9000"), F.repeat(F.lit("00"), 413))).otherwise("")
+    body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), frame), "")
+    objects = d.where(n > 0).select(F.col("doc_id"), F.unhex(F.concat(lead, body, trail)).alias("content"))
+    found = mpeg_audio.streams(checkpointed(cut(objects, 1000, halo=mpeg_audio.HALO, key="doc_id")), 1000, key="doc_id")
+    return found.drop("last_off").withColumn("duration_seconds", F.round("duration_seconds", 6))
 
 
 @query("inject_params_c22", """WITH u AS (SELECT conv_id % 7 AS path, conv_id AS packet_no, turn AS unit_no, CASE length(text) % 4 WHEN 0 THEN 'E' WHEN 1 THEN 'G' WHEN 2 THEN 'H' ELSE 'a' END || text AS unit FROM conversations),

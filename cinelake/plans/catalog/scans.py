@@ -7,7 +7,8 @@ from cinelake.plans.catalog.audio import S16HEX, STREAMS, streams
 from cinelake.plans.catalog.common import documents, pick, sql_list
 from cinelake.plans.catalog.containers import EV, events
 from cinelake.plans.registry import query, table
-from cinelake.sources import corpus, framehash, probe_json, reports, synth, wav
+from cinelake.session import fresh_folder
+from cinelake.sources import corpus, framehash, pieces, probe_json, reports, synth, wav
 
 
 @query("scan_corpus_s1")
@@ -16,6 +17,20 @@ def _(spark, sf):
     return corpus.scan_corpus(spark, sf, content=False)
 
 
+@query("scan_pieces_s1", """WITH d AS (SELECT source || '/' || lang || '_' || doc_id || '.TXT' AS path, hex(encode(text)) AS hx, strlen(text) AS length FROM documents)
+  SELECT path, 'txt' AS ext, length, i AS piece_no, i * 1000 AS "offset", least(1000, length - i * 1000) AS size, md5(unhex(substr(hx, (i * 2000 + 1)::BIGINT, 2000))) AS hash
+  FROM d, LATERAL (SELECT unnest(range(greatest(1, (length + 999) // 1000))) AS i)""")
+def _(spark, sf):
+    """Each document written as an object of two parts, and read back in pieces of 1,000 bytes."""
+    d = documents(spark, sf).select(F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("path"), F.encode("text", "utf-8").alias("b"))
+    half = F.call_function("div", F.octet_length("b"), F.lit(2)).cast("int")
+    parts = d.select("path", F.posexplode(F.array(F.substring("b", F.lit(1), half), F.substring("b", half + 1, F.octet_length("b")))).alias("part_no", "bytes"))
+    folder = fresh_folder(spark, "objects")
+    pieces.write_objects(parts, folder)
+    p = pieces.scan_pieces(spark, folder, piece=1000)
+    return p.select(F.url_decode("path").alias("path"), "ext", "length", "piece_no", "offset", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("hash"))
+
+
 _ROWS = ["0, {e}, {e}, 1, {k}, ab{k}", "# comment {k}", "  ", "0,{e},{e},2,{k},cd{k}", "0,{e},x,2,{k},cd{k}", "0,{e},{e},2,{k}", " 1 , -{e}, {e} ,3, {k} , ef{k} "]
 _LINES = [r.replace("{e}", "%1$d").replace("{k}", "%2$d") for r in _ROWS]
 _SQL_LINE = "CASE event_id % 7 " + " ".join(

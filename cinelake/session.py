@@ -44,6 +44,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return _LOCAL["folder"]
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the checkpoint folder, made by Spark's file system."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jpath)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows as a table written once to the checkpoint folder: computed a single time, readable after an executor is lost."""
     spark = df.sparkSession

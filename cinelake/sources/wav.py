@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake.functions import binary as B
+from cinelake.sources.pieces import write_objects
 
 # Fixed value: writer name stored in the INFO list (even length, so no pad byte).
 ENCODER = b"Lavf62.3.100\0"
@@ -37,21 +38,6 @@ def remux_wav(samples: DataFrame, header: DataFrame, keys: Sequence[str] = ("pat
     return head.unionByName(body)
 
 
-def write_wav_parts(parts: DataFrame, folder: str, key: str = "path") -> None:
-    """Write parts as `folder/<key>/<part_no>`, each by the task that holds it, for a multi-part upload or a concatenation by name.
-
-    A part is written under a temporary name and renamed, so a repeated task leaves no half-written part.
-    """
-    def write(rows):
-        import os
-        import uuid
-
-        for r in rows:
-            target = os.path.join(folder, str(r[0]).replace("/", "_"))
-            os.makedirs(target, exist_ok=True)
-            scratch = os.path.join(target, f".{uuid.uuid4().hex}")
-            with open(scratch, "wb") as f:
-                f.write(r[2])
-            os.replace(scratch, os.path.join(target, f"{r[1]:012d}"))
-
-    parts.select(key, "part_no", "bytes").foreachPartition(write)
+def write_wav(parts: DataFrame, folder: str, key: str = "path") -> None:
+    """One object for each key in `folder`, under a name that can be turned back into the key (`pieces.object_path`); nothing appears before the whole job has succeeded."""
+    write_objects(parts, folder, key)

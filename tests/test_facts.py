@@ -329,7 +329,7 @@ def test_frame_chain_blocks(spark):
             nxt = [x for x in offs if x >= target] if resync else [x for x in offs if x == target]
             o = nxt[0] if nxt else None
         for block in (64, 1 << 20):
-            r = C.frame_chain(df, resync=resync, block=block, reach=64).collect()[0]
+            r = C.frame_chain(df, resync=resync, block=block).collect()[0]
             assert (r.n_frames, r.first_off, r.last_off) == (n, offs[0], last)
 
 
