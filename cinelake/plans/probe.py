@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cinelake import rules as R
 from cinelake.functions import binary as B, rational
-from cinelake.operators import containers as C, identify as I
+from cinelake.operators import containers as C, identify as I, mpeg_audio
+from cinelake.plans import media
 from cinelake.session import checkpointed
+from cinelake.sources.pieces import cut
 
 
 @dataclass(frozen=True)
@@ -109,14 +111,27 @@ def probe_table(objects: DataFrame) -> DataFrame:
     o = o.select(
         "path", F.when(F.col("ext").isin(*R.PREFERRED_EXTENSIONS), F.col("override_doc")).alias("preferred"),
         F.when(F.col("streams").isNotNull() & ~F.col("refused"), F.struct(content_name.alias("format"), F.col("streams").alias("streams"))).alias("by_content"),
-        F.coalesce(F.when(F.col("ext").isin(*R.FALLBACK_EXTENSIONS), F.col("override_doc")), I.extension_streams(F.col("ext"), length), by_header).alias("by_extension"), content_error.alias("content_error"))
-    return I.resolve_probe(o, "preferred", "by_content", "by_extension", "content_error").select("path", "stage", "doc", "error")
+        F.coalesce(F.when(F.col("ext").isin(*R.FALLBACK_EXTENSIONS), F.col("override_doc")), I.extension_streams(F.col("ext"), length), by_header).alias("by_extension"), content_error.alias("content_error"),
+        F.when(~F.col("refused"), f).alias("format"))
+    return I.resolve_probe(o, "preferred", "by_content", "by_extension", "content_error").select("path", "stage", "doc", "error", "format")
 
 
-def probe_corpus(objects: DataFrame) -> Probed:
+def probe_corpus(objects: DataFrame, piece: int = 1 << 20) -> Probed:
     """Documents, streams and rejects. The result of the one pass over the contents is written to the checkpoint folder, so the
-    three tables do not read the corpus again."""
+    three tables do not read the corpus again.
+
+    Objects whose answer lies in their structure (AVI, Ogg, MPEG audio) and that no observation has decided are then walked in pieces, and only these are read once more; what they
+    give counts as content, before the extension.
+    """
     t = checkpointed(probe_table(objects))
+    late = t.where(F.col("format").isin(*media.FORMATS) & (F.coalesce("stage", F.lit("")) != "preferred")).select("path", "format")
+    if late.limit(1).count():
+        pieces = cut(objects.join(late, "path", "left_semi"), piece, halo=mpeg_audio.HALO)
+        found = checkpointed(media.media_documents(pieces, late, piece))
+        found = found.select("path", F.col("doc").cast(t.schema["doc"].dataType).alias("walked"))
+        t = t.join(found, "path", "left").select(
+            "path", F.when(F.col("walked").isNotNull(), "content").otherwise(F.col("stage")).alias("stage"), F.coalesce("walked", "doc").alias("doc"),
+            F.when(F.col("walked").isNull(), F.when(F.col("format").isin(*media.FORMATS) & F.col("doc").isNull(), "invalid_data: no supported streams").otherwise(F.col("error"))).alias("error"))
     docs = t.where("doc is not null").select("path", "doc.format", "doc.streams")
     rejects = t.where("doc is null").select("path", F.substring_index("error", ":", 1).alias("error_kind"), F.col("error").alias("message"))
     return Probed(docs, I.explode_streams(docs), rejects)
