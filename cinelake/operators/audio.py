@@ -6,6 +6,7 @@ keys, so a long file never becomes one group.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -123,17 +124,29 @@ def frame_len(rate: Column) -> Column:
     return F.when(target > 0, F.when(half == 0, F.lit(1).cast("long")).otherwise(power))
 
 
+FRAMES_A_BLOCK = 64
+
+
 def frame_hashes(samples: DataFrame, header: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """Fixed-size frames with the MD5 of their s16le bytes. header(keys, sample_rate, channels)."""
+    """Fixed-size frames with the MD5 of their s16le bytes. header(keys, sample_rate, channels). Samples travel as numbers; a task holds FRAMES_A_BLOCK frames at a time."""
     keys = list(keys)
     s = samples.join(header.select(*keys, "channels", frame_len(F.col("sample_rate")).alias("__len")), keys).where("__len is not null")
     s = s.select(
-        *keys, "__len", "channels", rational.int_div(F.col("n"), F.col("__len")).alias("frame_no"),
-        interleave(F.col("n"), F.col("channels"), F.col("ch")).alias("__i"), B.le_hex("v", 2).alias("__h"))
-    g = s.groupBy(*keys, "frame_no").agg(
-        F.max("__len").alias("__len"), F.max("channels").alias("channels"), F.count("*").alias("__n"),
-        F.expr("md5(unhex(listagg(__h, '') WITHIN GROUP (ORDER BY __i)))").alias("hash"),
-    )
+        *keys, F.col("__len").cast("long").alias("len"), F.col("channels").cast("long").alias("channels"),
+        rational.int_div(F.col("n"), F.col("__len") * FRAMES_A_BLOCK).alias("__b"), interleave(F.col("n"), F.col("channels"), F.col("ch")).cast("long").alias("__i"), F.col("v").cast("int").alias("v"))
+
+    def digest(g: dict) -> dict:
+        """MD5 of each frame of a block; samples are in order."""
+        frame = g["__i"] // (g["len"][0] * g["channels"][0])
+        cuts = [*np.flatnonzero(np.diff(frame, prepend=frame[0] - 1)).tolist(), len(frame)]
+        data = g["v"].astype("<i2").tobytes()
+        first = cuts[:-1]
+        return {
+            "frame_no": frame[first], "__len": g["len"][first], "channels": g["channels"][first], "__n": np.diff(cuts),
+            "hash": np.array([hashlib.md5(data[2 * lo : 2 * hi], usedforsecurity=False).hexdigest() for lo, hi in zip(cuts, cuts[1:])], object),
+        }
+
+    g = grouped.map_groups(s, [*keys, "__b"], "__i", digest, "frame_no bigint, `__len` bigint, channels bigint, `__n` bigint, hash string", keep=keys)
     start = F.col("frame_no") * F.col("__len")
     return g.select(
         *keys, F.lit(0).alias("stream_index"), "frame_no", start.alias("dts"), start.alias("pts"),

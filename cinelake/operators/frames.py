@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cinelake.functions import binary as B, generate, ordered, rational
+from cinelake.functions import binary as B, digests, generate, grouped, ordered, rational
 from cinelake.session import checkpointed
 
 _div = rational.int_div
@@ -365,11 +366,16 @@ def split_images(images: DataFrame, keys: Sequence[str] = ("path",), ordinal: st
 def image_manifest(packed: DataFrame, keys: Sequence[str] = ("path", "frame_no"), pos: str = "pos", value: str = "v", width: int = 1, segment: int = 1 << 16) -> DataFrame:
     """One row per image: pts is the frame number, duration 1, MD5 of the bytes in position order.
 
-    Bytes are joined in segments of bounded length first; only the segments of one image meet, as the image itself must to be hashed.
+    Values are packed in segments of bounded length, and an image's segments are folded into its digest one after the other, so no image is one value.
     """
     keys = list(keys)
-    p = packed.select(*keys, _div(F.col(pos), F.lit(segment)).alias("__s"), F.col(pos).alias("__p"), B.le_hex(value, width).alias("__h"))
-    parts = p.groupBy(*keys, "__s").agg(F.expr("listagg(__h, '') WITHIN GROUP (ORDER BY __p)").alias("__h"))
-    img = parts.groupBy(*keys).agg(F.expr("unhex(listagg(__h, '') WITHIN GROUP (ORDER BY __s))").alias("__b"))
+    p = packed.select(*keys, _div(F.col(pos), F.lit(segment)).alias("__s"), F.col(pos).cast("long").alias("__p"), F.col(value).cast("long").alias("__v"))
+
+    def pack(g: dict) -> dict:
+        data = np.ascontiguousarray(g["__v"].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        return {"bytes": np.array([data], object)}
+
+    parts = grouped.map_groups(p, [*keys, "__s"], "__p", pack, "bytes binary")
+    img = digests.fold_md5(parts, keys, ["__s"])
     n = F.col("frame_no").cast("long")
-    return img.select(*keys, F.lit(0).alias("stream_index"), n.alias("dts"), n.alias("pts"), _long(1).alias("duration"), B.size_of("__b").alias("size"), F.md5("__b").alias("hash"))
+    return img.select(*keys, F.lit(0).alias("stream_index"), n.alias("dts"), n.alias("pts"), _long(1).alias("duration"), "size", "hash")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cinelake.functions import binary as B
+from cinelake.functions import binary as B, grouped
 from cinelake.sources.pieces import write_objects
 
 # Fixed value: writer name stored in the INFO list (even length, so no pad byte).
@@ -33,9 +34,12 @@ def remux_wav(samples: DataFrame, header: DataFrame, keys: Sequence[str] = ("pat
     keys = list(keys)
     head = header.select(*keys, F.lit(0).cast("long").alias("part_no"), wav_header(F.col("sample_rate"), F.col("channels")).alias("bytes"))
     s = samples.join(header.select(*keys, "channels"), keys)
-    s = s.select(*keys, (F.floor(F.col("n") / part_frames) + 1).cast("long").alias("part_no"), (F.col("n") * F.col("channels") + F.col("ch")).alias("__i"), B.le_hex("v", 2).alias("__h"))
-    body = s.groupBy(*keys, "part_no").agg(F.expr("unhex(listagg(__h, '') WITHIN GROUP (ORDER BY __i))").alias("bytes"))
-    return head.unionByName(body)
+    s = s.select(*keys, (F.floor(F.col("n") / part_frames) + 1).cast("long").alias("part_no"), (F.col("n") * F.col("channels") + F.col("ch")).alias("__i"), F.col("v").cast("int").alias("v"))
+
+    def pack(g: dict) -> dict:
+        return {"bytes": np.array([g["v"].astype("<i2").tobytes()], object)}
+
+    return head.unionByName(grouped.map_groups(s, [*keys, "part_no"], "__i", pack, "bytes binary"))
 
 
 def write_wav(parts: DataFrame, folder: str, key: str = "path") -> None:
