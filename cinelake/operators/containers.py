@@ -26,13 +26,17 @@ def _zero() -> Column:
 # ---- records and chunks -----------------------------------------------------------------------------------------
 
 def split_records(objects: DataFrame, size: int, content: str = "content") -> DataFrame:
-    """Whole fixed-size records. The slices are cut before the explode, so the content itself is not repeated per row."""
+    """Whole fixed-size records. An object is cut into blocks of records first, so that no array grows with it; blocks are cut before the explode, so the content itself is not repeated per row."""
     keep = [c for c in objects.columns if c != content]
+    per = max(1, (1 << 18) // size)
     n = rational.int_div(B.size_of(content), F.lit(size))
-    slices = F.when(n > 0, F.transform(F.sequence(_zero(), n - 1), lambda i: B.slice_bytes(content, i * size, size)))
-    # the outer form keeps the optimizer from testing (and so computing) the slices a second time in a filter
-    out = objects.select(*keep, F.posexplode_outer(slices).alias("record_no", "payload")).where("record_no is not null")
-    return out.withColumn("record_no", F.col("record_no").cast("long"))
+    starts = F.when(n > 0, F.sequence(_zero(), n - 1, F.lit(per).cast("long")))
+    block = lambda at: F.struct(at.alias("at"), F.least(F.lit(per), n - at).alias("n"), B.slice_bytes(content, at * size, F.least(F.lit(per), n - at) * size).alias("b"))
+    # the outer forms keep the optimizer from testing (and so computing) the slices a second time in a filter
+    blocks = objects.select(*keep, F.explode_outer(F.transform(starts, block)).alias("__x")).where("__x is not null")
+    slices = F.transform(F.sequence(_zero(), F.col("__x.n") - 1), lambda i: B.slice_bytes(F.col("__x.b"), i * size, size))
+    out = blocks.select(*keep, F.col("__x.at").alias("__at"), F.posexplode_outer(slices).alias("__i", "payload")).where("__i is not null")
+    return out.select(*keep, (F.col("__at") + F.col("__i")).alias("record_no"), "payload")
 
 
 #: Boxes whose bytes are media or filling; all other ISO boxes come whole.
@@ -185,7 +189,7 @@ def _section_end(section: Column) -> Column:
 
 def pat_entries(packets: DataFrame) -> DataFrame:
     """pat(path, packet_no, program, pmt_pid) of `transport_packets` rows keyed by (path, packet_no)."""
-    s = packets.where("pid = 0 and unit_start and data is not null").select("path", "packet_no", _section(F.col("data")).alias("s"))
+    s = packets.where("synced and pid = 0 and unit_start and data is not null").select("path", "packet_no", _section(F.col("data")).alias("s"))
     s = s.where((B.size_of("s") >= 12) & (B.uint("s", 0, 1) == 0)).withColumn("n", rational.int_div(_section_end(F.col("s")) - 8, F.lit(4)))
     entry = lambda i: F.struct(B.uint("s", i * 4 + 8, 2).alias("program"), B.uint("s", i * 4 + 10, 2).bitwiseAND(F.lit(0x1FFF)).alias("pmt_pid"))
     rows = F.when(F.col("n") > 0, F.transform(F.sequence(_zero(), F.col("n") - 1), entry))
@@ -213,7 +217,7 @@ def _walk_lengths(start: Column, end: Column, limit: int, head: int, length, ite
 def pmt_entries(packets: DataFrame) -> DataFrame:
     """pmt(path, packet_no, pid, entry_no, es_pid, stream_type, registration, descriptors) of `transport_packets` rows. A section lies in one packet,
     so it holds at most 36 entries and an entry at most 91 descriptors."""
-    s = packets.where("pid <> 0 and unit_start and data is not null").select("path", "packet_no", "pid", _section(F.col("data")).alias("s"))
+    s = packets.where("synced and pid <> 0 and unit_start and data is not null").select("path", "packet_no", "pid", _section(F.col("data")).alias("s"))
     s = s.where((B.size_of("s") >= 16) & (B.uint("s", 0, 1) == 2)).withColumn("end", _section_end(F.col("s")))
     u12 = lambda o: B.uint("s", o, 2).bitwiseAND(F.lit(0xFFF))
     entry = lambda pos, stop: F.struct(
@@ -228,18 +232,30 @@ def pmt_entries(packets: DataFrame) -> DataFrame:
                     F.transform("__d", lambda x: x["tag"]).alias("descriptors"))
 
 
-def program_streams(pat: DataFrame, pmt: DataFrame) -> DataFrame:
+def sync_errors(packets: DataFrame) -> DataFrame:
+    """(path, packet_no): the first packet of each object that does not start with the sync byte."""
+    return packets.where(~F.col("synced")).groupBy("path").agg(F.min("packet_no").alias("packet_no"))
+
+
+def program_streams(pat: DataFrame, pmt: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Elementary streams of the first program map that has any.
 
     pat(path, packet_no, program, pmt_pid); pmt(path, packet_no, pid, entry_no, es_pid, codec): only maps on a pid announced in
-    an earlier packet count. Repeated pids are merged: AC-3 wins, else the first known codec.
+    an earlier packet count, and with `errors` (see `sync_errors`) only those before an object's first packet out of sync. Repeated pids are merged: AC-3 wins, else the first known codec.
     """
     known = pat.where("program <> 0").groupBy("path", F.col("pmt_pid").alias("pid")).agg(F.min("packet_no").alias("__from"))
     live = pmt.join(known, ["path", "pid"]).where(F.col("packet_no") > F.col("__from")).drop("__from")
+    if errors is not None:
+        live = live.join(errors.select("path", F.col("packet_no").alias("__bad")), "path", "left").where(F.col("__bad").isNull() | (F.col("packet_no") < F.col("__bad"))).drop("__bad")
     first = live.groupBy("path").agg(F.min("packet_no").alias("packet_no"))
     return merge_codecs(live.join(first, ["path", "packet_no"], "left_semi"))
 
 
+def sync_rejects(errors: DataFrame, streams: DataFrame) -> DataFrame:
+    """Objects that lost sync before a program map with streams: (path, packet_no, error_kind)."""
+    return errors.join(streams.select("path").distinct(), "path", "left_anti").select("path", "packet_no", F.lit("invalid_data").alias("error_kind"))
+
+
 def merge_codecs(entries: DataFrame) -> DataFrame:
     codec = F.coalesce(
         F.max(F.when(F.col("codec") == "ac3", "ac3")),

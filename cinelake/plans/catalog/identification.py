@@ -270,6 +270,24 @@ def _(spark, sf):
     return I.map_codec(p, I.tag_dimension(spark, R.MP4_CODECS, R.CODEC_BITS))
 
 
+_FAMILY_CODECS = {"mp4": R.MP4_CODECS, "avi": R.AVI_CODECS, "matroska": R.MATROSKA_CODECS}
+_FAMILY_TAGS = sorted({t for codecs in _FAMILY_CODECS.values() for t in codecs}) + ["zzzz"]
+
+
+@query("map_codec_families_p9", f"""WITH dim(family, tag, codec) AS (VALUES {','.join(f"('{f}','{k}','{v}')" for f, codecs in _FAMILY_CODECS.items() for k, v in codecs.items())}),
+  l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ['mp4', 'avi', 'matroska'][l_linenumber % 3 + 1] AS family, ({sql_list(_FAMILY_TAGS)})[(l_partkey + l_suppkey) % {len(_FAMILY_TAGS)} + 1] AS tag FROM lineitem)
+  SELECT l.l_orderkey, l_linenumber, l_partkey, l_suppkey, l.family, l.tag, coalesce(codec, 'unknown') AS codec_name FROM l LEFT JOIN dim ON dim.family = l.family AND dim.tag = l.tag""")
+def _(spark, sf):
+    """Tags of three container families, each with its own table of codecs."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", pick(list(_FAMILY_CODECS), F.col("l_linenumber")).alias("family"), pick(_FAMILY_TAGS, F.col("l_partkey") + F.col("l_suppkey")).alias("tag"))
+    out = None
+    for family, codecs in _FAMILY_CODECS.items():
+        part = I.map_codec(lines.where(F.col("family") == family), I.tag_dimension(spark, codecs, R.CODEC_BITS)).drop("codec_bits")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _KINDS = ["samples", "bits", "bytes", "frames", "centiseconds", "zero", "still"]
 
 

@@ -24,41 +24,6 @@ PROBE_DOC = T.StructType(
     ]
 )
 
-OBJECTS = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("ext", T.StringType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("content", T.BinaryType()),
-    ]
-)
-
-FRAME_HASHES = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("stream_index", T.IntegerType()),
-        T.StructField("frame_no", T.LongType()),
-        T.StructField("dts", T.LongType()),
-        T.StructField("pts", T.LongType()),
-        T.StructField("duration", T.LongType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("hash", T.StringType()),
-    ]
-)
-
-RESULTS = T.StructType(
-    [
-        T.StructField("ord", T.LongType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("command_surface", T.StringType()),
-        T.StructField("oracle_returncode", T.IntegerType()),
-        T.StructField("our_returncode", T.IntegerType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("details", T.StringType()),
-    ]
-)
-
 BENCH_DOC = T.StructType(
     [
         T.StructField(
@@ -74,14 +39,3 @@ BENCH_DOC = T.StructType(
         )
     ]
 )
-
-CHUNK = T.StructType(
-    [
-        T.StructField("seq", T.LongType()),
-        T.StructField("parent", T.LongType()),
-        T.StructField("id", T.StringType()),
-        T.StructField("data_off", T.LongType()),
-        T.StructField("data_len", T.LongType()),
-        T.StructField("truncated", T.BooleanType()),
-    ]
-)

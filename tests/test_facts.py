@@ -285,6 +285,20 @@ def test_program_tables(spark):
     assert rows[4, 1] == (6, 0x102, "Opus", [10, 5]) and rows[4, 3] == (0x99, 0x104, None, []) and (3, 0) not in rows and len(rows) == 11
     streams = {r.es_pid: r.codec for r in C.program_streams(C.pat_entries(packets), C.ts_codec(entries)).collect()}
     assert streams == {0x101: "h264", 0x102: "opus", 0x103: "ac3", 0x104: None}
+    # a packet out of sync: objects with a map before it keep their streams, the others are rejects
+    lost = lambda n: bytearray(blob[: n * 188]) + bytearray(b"\0") + bytearray(blob[n * 188 + 1 :])
+    records = C.split_records(spark.createDataFrame([("before", lost(3)), ("after", bytearray(blob) + bytearray(188)), ("pat", lost(1))], "path string, content binary"), 188)
+    packets = C.transport_packets(records).withColumnRenamed("record_no", "packet_no")
+    errors = C.sync_errors(packets)
+    found = C.program_streams(C.pat_entries(packets), C.ts_codec(C.pmt_entries(packets)), errors)
+    assert {r.path for r in found.collect()} == {"after"}
+    assert {(r.path, r.packet_no, r.error_kind) for r in C.sync_rejects(errors, found).collect()} == {("before", 3, "invalid_data"), ("pat", 1, "invalid_data")}
+
+
+def test_records_over_blocks(spark):
+    blob = bytes(i % 251 for i in range(1000)) * 700
+    rows = C.split_records(spark.createDataFrame([("t", bytearray(blob)), ("short", bytearray(5)), ("none", None)], "path string, content binary"), 188).orderBy("record_no").collect()
+    assert [(r.path, r.record_no) for r in rows] == [("t", i) for i in range(len(blob) // 188)] and all(bytes(r.payload) == blob[r.record_no * 188 :][:188] for r in rows)
 
 
 def test_blend_fold(spark):
