@@ -133,8 +133,9 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, id, n, centre, overlap, kind): the shingles of each set that any set over the threshold must share one of (kind 1 if the centre has it, else 0), and all that its centre
-    lacks, as keys of this centre (kind 2); overlap: how many it has."""
+    """(key, id, n, centre, overlap, kind, rest): the shingles of each set that any set over the threshold must share one of (kind 1 if the centre has it, else 0), and all that its centre
+    lacks, as keys of this centre (kind 2); overlap: how many it has. rest: how many of the set's
+    shingles, or of those that the centre lacks (kind 2), don't come before this one in the order."""
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefix(batches):
@@ -146,17 +147,21 @@ def _prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
                 take = n - (75 * n + 99) // 100 + 1 if n else 0
                 first = s[np.lexsort((s, sent.value[_slots(s)]))[:take]]
                 inside = np.isin(s, c, assume_unique=True) if centre is not None else np.ones(n, bool)
-                own = mix(s[~inside] ^ np.uint64(centre & (1 << 64) - 1)) if centre is not None else s[:0]  # these keys are the centre's
+                lacks = s[~inside]
+                lacks = lacks[np.lexsort((lacks, sent.value[_slots(lacks)]))]
+                own = mix(lacks ^ np.uint64(centre & (1 << 64) - 1)) if centre is not None else s[:0]  # these keys are the centre's
                 inside_first = np.isin(first, s[inside], assume_unique=True)
-                out.append((doc, n, centre, int(inside.sum()), np.concatenate([first, own]), np.concatenate([inside_first.astype(np.int32), np.full(len(own), 2, np.int32)])))
+                rest = np.concatenate([n - np.arange(len(first)), len(own) - np.arange(len(own))])
+                out.append((doc, n, centre, int(inside.sum()), np.concatenate([first, own]), np.concatenate([inside_first.astype(np.int32), np.full(len(own), 2, np.int32)]), rest))
             sizes = [len(r[4]) for r in out]
             if out:
                 spread = [pa.array(np.repeat([r[i] for r in out], sizes), pa.int64()) for i in (0, 1, 3)]
                 centre = pa.array([r[2] for r in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), sizes)))
                 keys, kinds = pa.array(np.concatenate([r[4] for r in out]).view(np.int64)), pa.array(np.concatenate([r[5] for r in out]))
-                yield pa.RecordBatch.from_arrays([keys, *spread[:2], centre, spread[2], kinds], names=["key", "id", "n", "centre", "overlap", "kind"])
+                rests = pa.array(np.concatenate([r[6] for r in out]), pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, *spread[:2], centre, spread[2], kinds, rests], names=["key", "id", "n", "centre", "overlap", "kind", "rest"])
 
-    return texts.select("doc_id", "text", "centre", "text_c").mapInArrow(prefix, "key long, id long, n long, centre long, overlap long, kind int")
+    return texts.select("doc_id", "text", "centre", "text_c").mapInArrow(prefix, "key long, id long, n long, centre long, overlap long, kind int, rest long")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -176,21 +181,29 @@ def _main(rows: DataFrame) -> DataFrame:
     return main.where("parts > 1").select("key", "main")
 
 
-def _cross_pairs(rows: DataFrame, main: DataFrame) -> DataFrame:
-    """Pairs of ids of different components that share a key, and whose sizes allow the threshold: members outside the key's main component meet the others."""
+def _cross_pairs(rows: DataFrame, main: DataFrame, space: Workspace) -> DataFrame:
+    """Pairs of ids of different components that share a key, and whose sizes allow the threshold: members outside the key's main component meet the others.
+
+    Of the shingles that two sets share, the first in the order leaves no more than the smaller rest of both to share; a pair over the threshold passes this bound there, so a meeting that doesn't is left
+    out. The same holds for the shingles that a common centre lacks. Pairs that met by these only are bounded once more, by how many of them both have.
+    """
     marked = rows.join(main, "key")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "centre", "overlap")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "centre", "overlap", "rest")]
     a = marked.where("component <> main").select("key", "kind", *side("a"))
     b = marked.select("key", (F.col("component") == F.col("main")).alias("is_main"), *side("b"))
     either = (100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("is_main") | (F.col("id_a") > F.col("id_b")))
     same = F.coalesce(F.col("centre_a") == F.col("centre_b"), F.lit(False))
-    both = F.least("overlap_a", "overlap_b")
+    both, rest = F.least("overlap_a", "overlap_b"), F.least("rest_a", "rest_b")
     reaches = lambda n: 100 * n >= 75 * (F.col("n_a") + F.col("n_b") - n)
-    most = both + F.least(F.col("n_a") - F.col("overlap_a"), F.col("n_b") - F.col("overlap_b"))
-    met = a.join(b, "key").where(either & (~same | ((F.col("kind") == 2) & reaches(most)) | ((F.col("kind") == 1) & reaches(both))))
-    met = met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"), "n_a", "n_b", both.alias("both"), (same & (F.col("kind") == 2)).alias("own"))
-    met = met.groupBy("a", "b").agg(F.count(F.when(F.col("own"), 1)).alias("k"), F.count(F.when(~F.col("own"), 1)).alias("other"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "both")])
-    return met.where((F.col("other") > 0) | reaches(F.col("both") + F.col("k"))).select("a", "b")
+    by_own = same & (F.col("kind") == 2) & reaches(both + rest)
+    by_prefix = (F.col("kind") < 2) & reaches(rest) & (~same | ((F.col("kind") == 1) & reaches(both)))
+    met = a.join(b, "key").where(either & (by_own | by_prefix))
+    met = met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"), "n_a", "n_b", both.alias("both"), (F.col("kind") == 2).alias("own"))
+    met = space.write(met.groupBy("a", "b").agg(F.bool_and("own").alias("own"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "both")]), "met")
+    lacks = lambda x: rows.where("kind = 2").groupBy(F.col("id").alias(x)).agg(F.collect_list("key").alias(f"keys_{x}"))  # noqa: E731  of one document, at most its set
+    bounded = met.where("own").join(lacks("a"), "a").join(lacks("b"), "b")
+    bounded = bounded.where(reaches(F.col("both") + F.size(F.array_intersect("keys_a", "keys_b")))).select("a", "b")
+    return met.where("not own").select("a", "b").union(bounded)
 
 
 def _leads(members: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -238,8 +251,8 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     centre_texts = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_c"))
     prefixes = _prefixes(open_texts.join(centre_texts, "centre", "left"), _slot_counts(open_texts))
     prefixes = space.write(_labelled(prefixes, found), "prefixes")
-    more = space.write(_overlaps(_cross_pairs(prefixes, space.write(_main(prefixes), "main")), open_texts).where(_LINKED).select("a", "b"), "more-links")
-    space.drop("main", "prefixes", "mixed", "unsettled", "open-texts", "texts", "members", "centres", "tested", "weights")
+    more = space.write(_overlaps(_cross_pairs(prefixes, space.write(_main(prefixes), "main"), space), open_texts).where(_LINKED).select("a", "b"), "more-links")
+    space.drop("main", "met", "prefixes", "mixed", "unsettled", "open-texts", "texts", "members", "centres", "tested", "weights")
     final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), space, "last")
     labelled = _labelled(classes.select("id", "n", "digest"), final).select(F.col("n").alias("n_shingles"), "digest", "component")
     out = rows.select("doc_id", "n_shingles", "digest").join(labelled, ["n_shingles", "digest"], "left")
