@@ -4,8 +4,8 @@ P(grade <= k | text) = sigmoid(threshold[k] - weights . x). The weights are shar
 steps. x has hashed 3-byte windows of the text as it is (square roots of their shares, so |x| <= 1) and two hashed word events: a word that equals the one
 before it, and any other word. A document gets its expected grade and the tail probability P(grade >= the grade asked for); selection is by the tail.
 
-The fit reads a bounded sample, at most `per_grade` labelled documents of each grade (a documented parameter), whose features are at most per_grade * grades * DIM *
-4 bytes on the driver. Scoring is one pass over all whole texts without a shuffle.
+The fit reads a bounded sample, at most `per_grade` labelled documents of each grade (a documented parameter), and of each such id one text. Features travel as their nonzero places; on the driver they
+are at most per_grade * grades * DIM * 4 bytes, filled once and read in blocks of rows. Scoring is one pass over all whole texts without a shuffle.
 
 Defined cases: a NULL or empty text has x = 0 and gets the prior; without labels, or with one grade only, nothing can be told apart, the tail is 1 and all is kept;
 repeated rows each get their own score; labels of ids without a document are ignored.
@@ -28,6 +28,7 @@ PER_GRADE = 2500
 MAX_GRADES = 10
 KEEP = 0.5
 RATE, STEPS, RIDGE = 0.05, 400, 1e-4
+_ROWS = 512
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -83,7 +84,7 @@ def fit(x: np.ndarray, y: np.ndarray, grades: list[int], prior: np.ndarray) -> M
         w, steps = at[:DIM], np.exp(at[DIM + 1 :])
         thresholds = at[DIM] + np.concatenate([[0.0], np.cumsum(steps)])
         padded = np.concatenate([[-np.inf], thresholds, [np.inf]])
-        s = x @ w
+        s = np.concatenate([x[i : i + _ROWS].astype(float) @ w for i in range(0, len(x), _ROWS)])
         upper, lower = _sigmoid(padded[y + 1] - s), _sigmoid(padded[y] - s)
         upper[y == k - 1], lower[y == 0] = 1.0, 0.0
         p = np.maximum(upper - lower, 1e-9)
@@ -92,7 +93,9 @@ def fit(x: np.ndarray, y: np.ndarray, grades: list[int], prior: np.ndarray) -> M
         np.subtract.at(grad_edge, np.minimum(y, k - 2), np.where(y < k - 1, d_up, 0))
         np.add.at(grad_edge, np.maximum(y - 1, 0), np.where(y > 0, d_low, 0))
         after = np.cumsum(grad_edge[::-1])[::-1]
-        grad = np.concatenate([x.T @ (d_up - d_low) + RIDGE * w, after[:1], after[1:] * steps])
+        slope = d_up - d_low
+        pull = sum(slope[i : i + _ROWS] @ x[i : i + _ROWS].astype(float) for i in range(0, len(x), _ROWS))
+        grad = np.concatenate([pull + RIDGE * w, after[:1], after[1:] * steps])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         rate = RATE * 4 * (1 if t < STEPS * 0.7 else 0.25)
         at = at - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -113,16 +116,22 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", per_grade
     def extract(batches):
         for batch in text_slices(batches):
             x = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array([r.tobytes() for r in x], pa.binary())], names=["value", "x"])
+            packed = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].tobytes() for r in x]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("value"), pa.array(packed, pa.binary())], names=["doc_id", "value", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "value").mapInArrow(extract, "value int, x binary").limit(2 * per_grade * len(grades)).toArrow()
+    # one text of each sampled id, so per_grade * grades rows at most, in the same order in every run
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, value int, x binary")
+    rows = found.groupBy("doc_id", "value").agg(F.min("x").alias("x")).select("value", "x").toArrow().sort_by([("value", "ascending"), ("x", "ascending")])
     if not rows.num_rows:
         return fit(np.zeros((0, DIM)), np.zeros(0, int), grades[:1], np.zeros(0))
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in rows["x"]])
+    x = np.zeros((rows.num_rows, DIM), np.float32)
+    for row, value in zip(x, rows["x"]):
+        data = value.as_buffer()
+        if n := len(data) // 6:
+            row[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float32, n, 2 * n)
     y = np.array([grades.index(v) for v in rows["value"].to_pylist()])
-    order = np.lexsort((*x.T[:4], x.sum(axis=1), y))  # the same sums in every run
     prior = np.array([counts[g] for g in grades], float)
-    return fit(x[order], y[order], grades, prior / prior.sum())
+    return fit(x, y, grades, prior / prior.sum())
 
 
 def grade(docs: DataFrame, model: Model, tail: int | None = None, keep: float = KEEP, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

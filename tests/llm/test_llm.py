@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cinelake.llm import decontaminate, katz, licenses, near_dup, ordinal, pieces, rules, sharding, substring, toxicity
 from cinelake.llm.queries import ORACLE_SQL, QUERIES, vocabulary
@@ -95,6 +96,13 @@ def test_quality_and_toxicity(spark, odd, docs):
     quality = {r["doc_id"]: r["quality"] for r in rows_of(labels)}
     got = [(quality[r["doc_id"]], r["kept"]) for r in rows_of(ordinal.grade(table, model)) if r["doc_id"] in quality]
     assert np.mean([q == k for q, k in got]) > 0.97
+    fold = "crc32(cast(cast(doc_id AS string) AS binary)) % 4"
+    blind = ordinal.train(table, labels.where(f"{fold} <> 2"))  # not fitted on the rows it is measured on
+    got = [(quality[r["doc_id"]], r["kept"]) for r in rows_of(ordinal.grade(table.where(f"{fold} = 2"), blind)) if r["doc_id"] in quality]
+    assert len(got) > 50 and np.mean([q == k for q, k in got]) > 0.95
+    twice = table.unionByName(table.withColumn("text", F.concat(F.lit("other "), "text")))  # one text of each id is fitted, the same in every run
+    a, b = (ordinal.train(twice.repartition(n), labels) for n in (3, 7))
+    assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
     none = labels.limit(0)
     assert ordinal.select_quality(odd, none).count() == odd.count()
     assert ordinal.grade(odd, model).count() == odd.count()
