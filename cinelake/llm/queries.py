@@ -23,45 +23,55 @@ def vocabulary(path: str = VOCABULARY) -> tuple:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words inside benchmark windows, the items they come from, and whether there are any."""
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base and Katz log10 probabilities of the whole text; seven folds, one held out."""
     return katz.score_corpus(_table(spark, sf_dir, "documents"))
 
 
 def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: expected grade, tail probability and whether the classifier keeps it."""
     docs = _table(spark, sf_dir, "documents")
     return ordinal.grade(docs, ordinal.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: score and prediction from class-conditional Kneser-Ney models; four folds, one held out."""
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: pieces of its text and whether they decode to it exactly."""
     return pieces.encoding_report(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: size of its shingle set, its component, and whether it is the one kept."""
     return near_dup.find_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its shard and slot under the law of equal bytes."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: passages of 50 words and more that one earlier document has."""
     return substring.passage_report(_table(spark, sf_dir, "documents"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: licence phrases and identifier expressions, with labels and a score."""
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: measurements, failed rules as bits, and the verdict of the current policy."""
     return rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits", "policy"
     )
