@@ -212,3 +212,23 @@ def test_mixture_query(spark):
         own = [r for r in rows if r["source"] == s]
         f = target / own[0]["source_size"] % 1
         assert abs(sum(r["taken"] for r in own) - target) <= 4.5 * (f * (1 - f) * sum(r["size"] ** 2 for r in own)) ** 0.5 + 1e-6
+
+
+# pipeline
+
+
+def test_stages_on_odd_and_empty_tables(spark, plain_odd):
+    import corpus_pipeline
+
+    base = "/root/testdata/sf0.001"
+    for table in (plain_odd, plain_odd.limit(0)):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            before = {r["doc_id"] for r in rows_of(docs.select("doc_id"))}
+            out = stage(spark, docs, base)
+            assert {r["doc_id"] for r in rows_of(out.select("doc_id"))} <= before, name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == table.columns, name
+                docs = out
+    kept = rows_of(out)
+    assert kept == []
