@@ -63,4 +63,6 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: str, fn: Callable[[dic
             if out is not None:
                 yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, ddl)
+    # a fixed number: numpy work is heavy for its bytes, and adaptive execution would put small inputs into one task
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, order).mapInPandas(run, ddl)

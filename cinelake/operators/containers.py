@@ -480,7 +480,7 @@ def chunk_samples(stsc: DataFrame, stco: DataFrame, keys: Sequence[str]) -> Data
         per = np.concatenate([[entry["run_in"]], counts])[which].astype(np.int64)
         return {"chunk_no": at, "offset": offsets, "samples_per_chunk": per, "first_sample": entry["first_in"] + np.cumsum(per) - per}
 
-    return ordered.two_pass(rows, keys, "at", facts, "lead bigint, rest bigint, first_run bigint, last_run bigint", link, finish, "chunk_no bigint, offset bigint, samples_per_chunk bigint, first_sample bigint")
+    return ordered.two_pass(rows, keys, "at", facts, "lead bigint, rest bigint, first_run bigint, last_run bigint", link, finish, "chunk_no bigint, offset bigint, samples_per_chunk bigint, first_sample bigint", block=1 << 20)  # chunk numbers can be sparse
 
 
 def unmapped_tracks(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Sequence[str] = ("path", "track")) -> DataFrame:
