@@ -50,6 +50,11 @@ def uint(content: Column | str, offset, width: int, endian: str = "be") -> Colum
     return F.when(size_of(content) >= lit(offset) + width, v)
 
 
+def uint_upto(content: Column | str, offset, width: int) -> Column:
+    """Big-endian unsigned integer of the at most `width` (7 or fewer) bytes that are there; NULL when none is."""
+    return F.conv(F.hex(slice_bytes(content, offset, width)), 16, 10).cast("long")
+
+
 def uint_var(content: Column, offset: Column, width: Column, little: Column) -> Column:
     """`uint` with the layout taken from columns (one expression for a whole rule table)."""
     h = F.hex(F.substring(content, (offset + 1).cast("int"), width.cast("int")))
