@@ -35,9 +35,10 @@ def riff_objects(spark, sf):
         n = F.octet_length(line)
         return F.concat(F.hex(F.lpad((i % 1000).cast("string"), 4, "l")), B.le_hex(n, 4), F.hex(line), F.when(n % 2 == 1, "00").otherwise(""))
 
+    size = lambda body: B.le_hex(F.call_function("div", F.length(body).cast("long"), F.lit(2)), 4)
+    whole = lambda body: F.unhex(F.concat(F.hex(F.lit("RIFF")), size(body), body))
     body = F.concat(F.hex(F.lit("WAVE")), F.array_join(F.transform(F.split("text", "\n"), chunk), ""))
-    return documents(spark, sf).select(
-        "doc_id", F.unhex(F.concat(F.hex(F.lit("RIFF")), B.le_hex(F.call_function("div", F.length(body).cast("long"), F.lit(2)), 4), body)).alias("content"))
+    return documents(spark, sf).where("text is not null").select("doc_id", B.let(body, whole).alias("content"))
 
 
 @query("chunk_index_c2", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
@@ -51,30 +52,31 @@ def _(spark, sf):
 _SLICE = 200
 
 
-def _slices(text: str = "b"):
-    """Offsets of the slices of a binary column."""
-    n = F.octet_length(text)
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(_SLICE))).otherwise(F.array().cast("array<int>"))
-
-
 def family_objects(spark, sf, family):
-    """Each document as a container: its text in nodes of at most 200 bytes. ISO: boxes inside moov/trak; Ogg: a page each; GIF: a comment block each; the last node of every seventh is cut short."""
-    d = documents(spark, sf).select("doc_id", F.encode("text", "utf-8").alias("b"))
-    part = lambda at: F.substring("b", at + 1, F.least(F.lit(_SLICE), F.octet_length("b") - at))
-    if family == "iso":
-        box = lambda at: F.concat(B.be_hex(F.octet_length(part(at)) + 8, 4), F.hex(F.lit("sdat")), F.hex(part(at)))
-        body = F.array_join(F.transform(_slices(), box), "")
-        size = F.call_function("div", F.length(body).cast("long"), F.lit(2))
-        hexed = F.concat(B.be_hex(size + 16, 4), F.hex(F.lit("moov")), B.be_hex(size + 8, 4), F.hex(F.lit("trak")), body)
-    elif family == "ogg":
-        page = lambda at: F.concat(F.hex(F.lit("OggS")), F.lit("00" * 22 + "01"), B.be_hex(F.octet_length(part(at)), 1), F.hex(part(at)))
-        hexed = F.array_join(F.transform(_slices(), page), "")
-    else:
-        block = lambda at: F.concat(F.lit("21FE"), B.be_hex(F.octet_length(part(at)), 1), F.hex(part(at)), F.lit("00"))
-        hexed = F.concat(F.hex(F.lit("GIF89a")), F.lit("0" * 14), F.array_join(F.transform(_slices(), block), ""), F.lit("3B"))
+    """Each document with a text as a container: its text in nodes of at most 200 bytes. ISO: boxes inside moov/trak; Ogg: a page each; GIF: a comment block each; the last node of every seventh is cut short.
+
+    A long text has thousands of slices: its bytes, each slice and the object are bound once (`let`), and the rows are chosen by the text, because a filter would build the objects again.
+    """
+    def node(part):
+        size = lambda more, width: B.be_hex(F.octet_length(part) + more, width)
+        if family == "iso":
+            return F.concat(size(8, 4), F.hex(F.lit("sdat")), F.hex(part))
+        if family == "ogg":
+            return F.concat(F.hex(F.lit("OggS")), F.lit("00" * 22 + "01"), size(0, 1), F.hex(part))
+        return F.concat(F.lit("21FE"), size(0, 1), F.hex(part), F.lit("00"))
+
+    def whole(body):
+        if family == "iso":
+            size = F.call_function("div", F.length(body).cast("long"), F.lit(2))
+            return F.concat(B.be_hex(size + 16, 4), F.hex(F.lit("moov")), B.be_hex(size + 8, 4), F.hex(F.lit("trak")), body)
+        return body if family == "ogg" else F.concat(F.hex(F.lit("GIF89a")), F.lit("0" * 14), body, F.lit("3B"))
+
+    starts = lambda b: F.sequence(F.lit(0), F.octet_length(b) - 1, F.lit(_SLICE))
+    parts = lambda b: F.transform(starts(b), lambda at: F.substring(b, at + 1, F.lit(_SLICE)))
+    body = B.let(F.encode("text", "utf-8"), lambda b: F.array_join(F.transform(parts(b), node), ""))
     cut_off = F.when(F.col("doc_id") % 7 == 0, 2 if family == "gif" else 1).otherwise(0)
-    whole = F.unhex(hexed)
-    return d.select("doc_id", F.substring(whole, F.lit(1), F.octet_length(whole) - cut_off).alias("content"))
+    short = lambda x: F.substring(x, F.lit(1), F.octet_length(x) - cut_off)
+    return documents(spark, sf).where("octet_length(text) > 0").select("doc_id", B.let(F.unhex(B.let(body, whole)), short).alias("content"))
 
 
 _NODES = """f AS (SELECT doc_id, strlen(text) AS len, doc_id % 7 = 0 AS cut FROM documents WHERE strlen(text) > 0),
@@ -93,7 +95,7 @@ def _(spark, sf):
     """All four families, walked over pieces of 512 bytes, so that nodes lie over borders and walks take several rounds."""
     out = None
     for family in boxes.FAMILIES:
-        objects = (riff_objects(spark, sf) if family == "riff" else family_objects(spark, sf, family)).where("octet_length(content) > 14")
+        objects = riff_objects(spark, sf) if family == "riff" else family_objects(spark, sf, family)
         nodes, _ = boxes.walk_boxes(checkpointed(cut(objects, 512, key="doc_id")), family, key="doc_id", piece=512)
         part = nodes.select(F.lit(family).alias("family"), "doc_id", "seq", "parent", "id", "data_off", "data_len", "truncated")
         out = part if out is None else out.unionByName(part)
@@ -106,7 +108,7 @@ def _(spark, sf):
     """Containers whose last node is cut short."""
     out = None
     for family in ("iso", "ogg", "gif"):
-        objects = family_objects(spark, sf, family).where("octet_length(content) > 14")
+        objects = family_objects(spark, sf, family)
         _, rejects = boxes.walk_boxes(checkpointed(cut(objects, 4096, key="doc_id")), family, key="doc_id", piece=4096)
         part = rejects.select(F.lit(family).alias("family"), "doc_id", "error")
         out = part if out is None else out.unionByName(part)
