@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cinelake import rules as R
 from cinelake.operators import identify
 from cinelake.operators.containers import frame_chain
+from cinelake.session import checkpointed
 
 #: Bytes behind a piece that a header at its last byte needs.
 HALO = 3
@@ -49,17 +51,27 @@ def candidates(pieces: DataFrame, piece: int, key: str = "path") -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (who, length, offset) in enumerate(zip(*[batch.column(c).to_pylist() for c in (key, "length", "offset")])):
-                value = batch.column("content")[i]
-                data = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid and len(value.as_buffer()) else np.zeros(0, np.uint8)
-                h = headers(data)
-                off = offset + h["place"]
-                keep = (h["place"] < piece) & (off + h["frame_len"] <= length)
-                marks = np.flatnonzero((data[:-2] == 0x54) & (data[1:-1] == 0x41) & (data[2:] == 0x47)) if len(data) > 2 else np.zeros(0, np.int64)
-                marks = offset + marks[marks < piece]
-                columns = [off[keep], *(h[c][keep] for c in names[1:])]
-                rows = [pa.concat_arrays([pa.array(c.astype(np.int64)), pa.array(marks) if n == "off" else pa.nulls(len(marks), pa.int64())]) for n, c in zip(names, columns)]
-                yield pa.RecordBatch.from_arrays([pa.array([who] * len(rows[0]), batch.schema.field(key).type), *rows], names=[key, *names])
+            content = batch.column("content")
+            size = pc.fill_null(pc.binary_length(content), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(size)])  # the pieces of a batch are searched as one run of bytes
+            data = np.frombuffer(b"".join(v.as_buffer() for v in content if v.is_valid), np.uint8)
+            length, offset = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "offset"))
+            h = headers(data)
+
+            def placed(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Row and place in its piece of a find, and whether its bytes lie in one piece and it begins there before the halo."""
+                of = np.searchsorted(first, at, side="right") - 1
+                place = at - first[of]
+                return of, place, (place < piece) & (place + width <= size[of])
+
+            of, place, inside = placed(h["place"], 4)
+            keep = inside & (offset[of] + place + h["frame_len"] <= length[of])
+            marks = np.flatnonzero((data[:-2] == 0x54) & (data[1:-1] == 0x41) & (data[2:] == 0x47)) if len(data) > 2 else np.zeros(0, np.int64)
+            of_mark, mark, there = placed(marks, 3)
+            columns = [(offset[of] + place)[keep], *(h[c][keep] for c in names[1:])]
+            rows = [pa.concat_arrays([pa.array(c.astype(np.int64)), pa.array((offset[of_mark] + mark)[there]) if n == "off" else pa.nulls(int(there.sum()), pa.int64())]) for n, c in zip(names, columns)]
+            who = batch.column(key).take(pa.array(np.concatenate([of[keep], of_mark[there]])))
+            yield pa.RecordBatch.from_arrays([who, *rows], names=[key, *names])
 
     return pieces.select(key, "length", "offset", "content").mapInArrow(find, f"`{key}` {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
@@ -68,7 +80,7 @@ def streams(pieces: DataFrame, piece: int, key: str = "path") -> DataFrame:
     """(key, codec_name, sample_rate, channels, n_frames, first_off, last_off, duration_seconds) of objects with frames: from the first header behind a leading tag on, over
     gaps, up to a `TAG`. An object with a leading tag that is not valid has no stream."""
     body = pieces.where("piece_no = 0").select(key, identify.payload_start(F.col("content")).alias("body"))
-    found = candidates(pieces, piece, key).join(body, key).where("off >= body").drop("body")
+    found = checkpointed(candidates(pieces, piece, key).join(body, key).where("off >= body").drop("body"))  # searched once for the chain and for its first frame
     chain = frame_chain(found.select(key, "off", "frame_len"), keys=(key,))
     first = found.where("frame_len is not null").select(key, F.col("off").alias("first_off"), "layer", "sample_rate", "channels", "samples")
     out = chain.join(first, [key, "first_off"])
