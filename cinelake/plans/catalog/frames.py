@@ -215,13 +215,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Whole pages as bit planes: counts, sums and sums by place of each run of 4,096 values."""
     p = table(spark, sf, "pages").select("page_id", F.encode("html", "utf-8").alias("u"))
-    out = None
-    for bits in (1, 4, 8):
-        part = V.unpack_pieces(p, "u", bits, ["page_id"]).select("page_id", F.lit(bits).alias("bits"), "pos", "v")
-        out = part if out is None else out.unionByName(part)
-    place = F.col("pos") % 4096 + 1
-    return out.groupBy("page_id", "bits", F.call_function("div", F.col("pos"), F.lit(4096)).alias("row_no")).agg(
-        F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * place).alias("placed"))
+    runs = V.plane_runs(p, "u", (1, 4, 8), ["page_id"], run=4096)
+    return runs.groupBy("page_id", "bits", "row_no").agg(*[F.sum(c).alias(c) for c in ("n", "total", "placed")])
 
 
 @query("unpack_10bit_v14", f"WITH t AS (SELECT {LK}, l_partkey * 104729 + l_orderkey * 31 AS w FROM lineitem) SELECT {LK}, (w >> 22) & 1023 AS r, (w >> 12) & 1023 AS g, (w >> 2) & 1023 AS b FROM t")
