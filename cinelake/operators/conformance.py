@@ -48,8 +48,10 @@ def float_text(x: Column) -> Column:
     micro = F.round(F.abs(x) * 1000000).cast("long")
     small = F.when(micro < 10, F.format_string("%de-06", micro)).when(
         micro % 10 == 0, F.format_string("%de-05", (micro / 10).cast("long"))).otherwise(F.format_string("%.1fe-05", micro / 10.0))
-    plain = F.regexp_replace(x.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
-    return F.when((micro > 0) & (micro < 100), F.concat(F.when(x < 0, "-").otherwise(""), small)).otherwise(plain)
+    short = F.rtrim(x.cast("decimal(38,6)").cast("string"), F.lit("0"))
+    plain = F.concat(short, F.when(F.endswith(short, F.lit(".")), "0").otherwise(""))
+    # the first comparison spares most numbers the rounding
+    return F.when((F.abs(x) < 0.001) & (micro > 0) & (micro < 100), F.concat(F.when(x < 0, "-").otherwise(""), small)).otherwise(plain)
 
 
 # ---- documents --------------------------------------------------------------------------------------------------
@@ -96,6 +98,14 @@ def normalise_oracle(docs: DataFrame, doc: str = "doc", out: str = "expected") -
     return docs.withColumn(out, F.struct(canonical_format(d["format_name"]).alias("format"), F.coalesce(streams, F.array()).alias("streams")))
 
 
+def oracle_streams(docs: DataFrame, keys: Sequence[str], doc: str = "doc") -> DataFrame:
+    """The streams of `normalise_oracle` as rows (keys, pos, fields of a stream). Streams are taken apart first and normalised as columns, in generated code and once each."""
+    placed = F.transform(F.col(doc)["streams"], lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    kept = F.filter(placed, lambda p: p["s"]["codec_type"].isin("audio", "video"))
+    rows = docs.select(*keys, F.posexplode_outer(kept).alias("pos", "__p")).where("pos is not null")
+    return rows.select(*keys, "pos", _normal_stream(F.col("__p.s"), F.col("__p.i"), True).alias("__s")).select(*keys, "pos", "__s.*")
+
+
 def normalise_actual(docs: DataFrame, doc: str = "doc", out: str = "actual") -> DataFrame:
     """Our documents: streams numbered by position, missing values get defaults."""
     d = F.col(doc)
