@@ -661,7 +661,7 @@ def frame_chain(candidates: DataFrame, keys: Sequence[str] = ("path",), resync:
     With `resync` the next candidate at or after the target is taken, without it the chain stops at a missing header. A NULL frame_len is a mark that ends the chain
     without being a frame; a frame_len below 1 is no candidate.
 
-    Offsets are cut into blocks. A pass over the blocks finds the targets that leave one; each is sent to the block where it lands, and a second pass answers what follows from there
+    Offsets are cut into blocks. A join with the last offsets of the blocks finds the targets that leave one; each is sent to the block where it lands, and a second pass answers what follows from there
     inside that block: frames, last offset, next target. These links between blocks are then ranked by pointer jumping: each round is a join of the written links with themselves that
     doubles their reach, so a chain over n blocks takes log2(n) rounds. Frames may have any length, and no task sees more than a block of an object.
     """
@@ -670,12 +670,9 @@ def frame_chain(candidates: DataFrame, keys: Sequence[str] = ("path",), resync:
         *keys, F.col("off").cast("long").alias("off"), F.col("frame_len").cast("long").alias("frame_len"), F.floor(F.col("off") / block).cast("long").alias("__b"))
     rows = checkpointed(rows)
 
-    def leaving(g: dict) -> dict:
-        offs, targets, marks = _frames(g)
-        return {"target": np.unique(targets[~marks & (np.searchsorted(offs, targets) >= len(offs))])}
-
-    leave = grouped.map_groups(rows, [*keys, "__b"], "off", leaving, "target bigint", keep=keys).distinct()
     spans = checkpointed(rows.groupBy(*keys, "__b").agg(F.min("off").alias("first_off"), F.max("off").alias("end_off")))
+    ahead = F.col("off") + F.col("frame_len")
+    leave = rows.where("frame_len is not null").join(spans, [*keys, "__b"]).where(ahead > F.col("end_off")).select(*keys, ahead.alias("target")).distinct()
     starts = spans.groupBy(*keys).agg(F.min("first_off").alias("target"))
     asked = checkpointed(leave.unionByName(starts).distinct())
     # a target lands in its own block, or at the first candidate of the next block that has any
