@@ -257,6 +257,37 @@ def test_passages_of_one_document_only(spark):
     assert {r["doc_id"] for r in rows_of(substring.remove_passages(table))} == set(data)
 
 
+def test_passage_whose_seeds_are_in_shorter_pieces(spark):
+    words = [f"u{i}" for i in range(4000)]
+    data = {d: [*words[1000 + 100 * d : 1040 + 100 * d], *words[at : at + 30], *words[2000 + 100 * d : 2040 + 100 * d]] for d, at in ((1, 0), (2, 15), (3, 30))}
+    data[10] = [*words[3000:3040], *words[:60]]
+    data[20] = [*words[3100:3130], *words[:60], *words[3200:3220]]
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in data.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["partners"]) for r in rows_of(substring.passage_report(table))}
+    assert got == {1: ("", []), 2: ("", []), 3: ("", []), 10: ("", []), 20: ("30-90", [10])}
+
+
+@pytest.mark.parametrize("least", [20, 50])
+def test_equal_runs_are_passages(spark, least):
+    rng = np.random.default_rng(least)
+    stock = [f"s{i}" for i in range(300)]
+    cuts = [(int(a), int(a) + int(n)) for a, n in zip(rng.integers(0, 240, 400), rng.integers(4, 2 * least, 400))]
+    data = {d: sum((stock[slice(*cuts[i])] + ([f"own{d}x{i}"] if i % 3 else []) for i in rng.integers(0, 400, 4)), []) for d in range(60)}
+    data[60] = data[7] + data[8]
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in data.items()] + [(7, " ".join(data[9]))], "doc_id long, text string")  # one doc_id twice
+    seen: set = set()
+    want = {}
+    for d, w in data.items():
+        grams = [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+        want[d] = {i + j for i, g in enumerate(grams) if g in seen for j in range(least)}
+        seen |= set(grams) | ({tuple(data[9][i : i + least]) for i in range(len(data[9]) - least + 1)} if d == 7 else set())
+    assert sum(map(len, want.values())) > 500
+    for r in rows_of(substring.passage_report(table, least)):
+        if r["doc_id"] != 7:
+            said = {i for s in r["spans"].split(",") if s for i in range(*map(int, s.split("-")))}
+            assert want[r["doc_id"]] <= said, r["doc_id"]
+
+
 def test_stretches_of_a_chain():
     doc = np.arange(200, dtype=np.uint64)
     other = doc.copy()
