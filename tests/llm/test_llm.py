@@ -1,6 +1,7 @@
 """The training-data operators against plain forms of them, and their defined cases."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import duckdb
@@ -75,6 +76,19 @@ def test_katz(request, which):
         assert abs(sum(p(w, v) for w in words) + p("\0", v) - 1) < 1e-9
 
 
+def test_katz_slice_memory():
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(f"Word{i}" for i in rng.integers(0, 10**6, 1000)) for _ in range(300)] + [None, "", "a"])
+    words = katz.Words(texts, katz.SPACED)
+    katz._tokens(texts[:1])  # tables that stay
+    tracemalloc.start()
+    token, before, doc = katz._tokens(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(token[token != katz.END], words.hashes()) and np.array_equal(np.bincount(doc), words.counts + 1) and (before == katz.START).sum() == len(texts)
+    assert peak < 10 * len(words.raw)
+
+
 def test_katz_empty(spark):
     assert katz.score_corpus(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
