@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cinelake.llm import decontaminate, katz, licenses, near_dup, ordinal, pieces, rules, sharding, substring, toxicity
 from cinelake.llm.queries import ORACLE_SQL, QUERIES, vocabulary
+from cinelake.llm.store import Workspace
 
 from . import brute
 
@@ -89,6 +90,13 @@ def test_katz_slice_memory():
     assert peak < 10 * len(words.raw)
 
 
+def test_katz_answers_are_one_row_a_text(spark, docs):
+    rows = docs.select("text", F.xxhash64("text").alias("rid")).where("text IS NOT NULL").distinct().coalesce(1)
+    model = katz.train(rows, Workspace(spark, "test"), 8)
+    answered = katz._answered(katz._asked(rows, 1, 8), model.unigrams, 1, 0.0, model.tokens, model.kinds)
+    assert answered.count() <= rows.count()
+
+
 def test_katz_empty(spark):
     assert katz.score_corpus(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
