@@ -289,6 +289,25 @@ def test_passage_whose_seeds_are_in_shorter_pieces(spark):
     assert got == {1: ("", []), 2: ("", []), 3: ("", []), 10: ("", []), 20: ("30-90", [10])}
 
 
+def test_window_matches_are_ends_of_runs(spark):
+    words = [f"u{i}" for i in range(4000)]
+    again = ["again"] * 200 + ["and"] + ["again"] * 200
+    data = {d: " ".join(words[at : at + 30] + words[3000 + 40 * d : 3040 + 40 * d]) for d, at in ((1, 0), (2, 22), (3, 44), (4, 66), (5, 88))}
+    data |= {d: " ".join([f"own{d}", *words[:118], f"end{d}", *again]) for d in range(10, 30)}
+    table = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    ids = table.select(F.col("doc_id").alias("doc"), "text", F.array(F.lit(0).cast("long")).alias("los"), F.array(F.lit(2**31).cast("long")).alias("his"))
+    kinds = "seed long, doc long, pos int, before long, after long, places array<int>"
+    windows = ids.mapInArrow(lambda batches: substring._windows(batches, 50), kinds)
+    ends = rows_of(substring._run_ends(Workspace(spark, "test"), windows))
+    places = sum(len(r["places"]) for r in rows_of(windows) if r["doc"] > 10)
+    assert places > 19 * 400 and len(ends) < 19 * 20 and {r["other"] for r in ends} == {10}
+    rows = np.array([(r["doc"], r["other"], p, r["place"], r["ends"]) for r in ends for p in r["places"]]).T
+    got = {(d, p - o): 0 for d, o, p in zip(*substring.run_matches(rows, 50)[[0, 3, 2]].tolist())}
+    assert {(d, 0) for d in range(11, 30)} <= set(got)
+    spans = {r["doc_id"]: r["spans"] for r in rows_of(substring.passage_report(table))}
+    assert all(spans[d] == "1-521" for d in range(11, 30)) and spans[10] == ""  # one changed word between
+
+
 @pytest.mark.parametrize("least", [20, 50])
 def test_equal_runs_are_passages(spark, least):
     rng = np.random.default_rng(least)
