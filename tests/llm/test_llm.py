@@ -308,6 +308,20 @@ def test_window_matches_are_ends_of_runs(spark):
     assert all(spans[d] == "1-521" for d in range(11, 30)) and spans[10] == ""  # one changed word between
 
 
+def test_chains_extended_together():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 3, 6000).astype(np.uint64)
+    b = np.where(rng.random(6000) < 0.85, a, 9).astype(np.uint64)
+    b[2000:2010] = 8
+    at, n = rng.integers(300, 5000, 500), rng.integers(0, 300, 500)
+    for step in (1, -1):
+        got, done = substring._extend_all(a, at, b, at, n, step)
+        want = [substring._extend(a[i : i + m] if step > 0 else a[i - m + 1 : i + 1][::-1], b[i : i + m] if step > 0 else b[i - m + 1 : i + 1][::-1]) for i, m in zip(at, n)]
+        assert [w for w, d in zip(want, done) if d] == got[done].tolist() and done[n <= 256].all() and (n > 256).any()
+    said = substring._agreement(a, at, b, at, n)
+    assert said.tolist() == [int((a[i : i + m] == b[i : i + m]).sum()) for i, m in zip(at, n)]
+
+
 @pytest.mark.parametrize("least", [20, 50])
 def test_equal_runs_are_passages(spark, least):
     rng = np.random.default_rng(least)
