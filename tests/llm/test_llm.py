@@ -97,6 +97,15 @@ def test_katz_answers_are_one_row_a_text(spark, docs):
     assert answered.count() <= rows.count()
 
 
+def test_katz_bigrams_of_a_frequent_context(spark):
+    rows = spark.createDataFrame([(i, " ".join(f"the w{i}x{j}" for j in range(200))) for i in range(50)], "rid long, text string").coalesce(1)
+    asked = {r["bucket"]: len(r["keys"]) for r in rows_of(katz._asked(rows, 2, 32))}
+    assert max(asked.values()) < 0.3 * sum(asked.values())  # half of all bigrams follow one word
+    counted = {r["part"]: len(r["n"]) for r in rows_of(katz._counted(rows, 32)) if r["kind"] == 2}
+    assert max(counted.values()) < 0.3 * sum(counted.values())
+    assert {p % 32 for p in counted} == set(asked)
+
+
 def test_katz_empty(spark):
     assert katz.score_corpus(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
