@@ -106,6 +106,17 @@ def test_katz_bigrams_of_a_frequent_context(spark):
     assert {p % 32 for p in counted} == set(asked)
 
 
+def test_katz_rows_of_texts_go_once(spark, docs):
+    rows = docs.select("text", F.xxhash64("text").alias("rid")).where("text IS NOT NULL").distinct().coalesce(1)
+    model = katz.train(rows, Workspace(spark, "test"), 8)
+    for kind, table in ((1, model.unigrams), (2, model.bigrams)):
+        asked = katz._asked(rows, kind, 8)
+        sent = [x for r in rows_of(asked) for x in r["rids"]]
+        assert len(sent) == len(set(sent)) == rows.count()  # and not once for each bucket
+        got = katz._answered(asked, table, kind, 0.0, model.tokens, model.kinds)
+        assert {r["rid"] for r in rows_of(got)} <= set(sent)
+
+
 def test_katz_empty(spark):
     assert katz.score_corpus(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
