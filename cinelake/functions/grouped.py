@@ -9,12 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+GROUP = "__group"
+
+
 def map_groups(df: DataFrame, keys: Sequence[str], order: str, fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None], outputs: str,
-               keep: Sequence[str] | None = None) -> DataFrame:
+               keep: Sequence[str] | None = None, together: bool = False) -> DataFrame:
     """Apply `fn` to the columns of each group of `keys`, ordered by `order`; its result columns get the `keep` keys (all by default) in front.
 
     Rows are shuffled by key and sorted inside the partition, so groups lie next to each other: batches are cut at group
     edges and only one unfinished group is carried over. Groups must be bounded by the caller's keys.
+
+    With `together`, `fn` gets the rows of all groups of a batch at once, with GROUP, the number of each row's group (ascending from 0), and gives GROUP back for each row of its result: many small groups
+    cost no call each.
     """
     keys = list(keys)
     keep = keys if keep is None else list(keep)
@@ -32,6 +38,12 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: str, fn: Callable[[dic
 
     def apply(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame | None:
         columns = {c: pdf[c].to_numpy() for c in pdf.columns if c not in keys or c == order}
+        if together:
+            out = fn(columns | {GROUP: np.repeat(np.arange(len(edges)), np.diff([*edges, len(pdf)]))})
+            if out is None or not len(out[GROUP]):
+                return None
+            at = np.asarray(edges)[out[GROUP]]
+            return pd.DataFrame({k: pdf[k].to_numpy()[at] for k in keep} | {n: out[n] for n in names})
         results, rows = [], []
         for s, e in zip(edges, [*edges[1:], len(pdf)]):
             out = fn({c: v[s:e] for c, v in columns.items()})

@@ -94,23 +94,31 @@ def two_pass(rows: DataFrame, keys: Sequence[str], ordinal: str, facts: Callable
              out_ddl: str, block: int = BLOCK) -> DataFrame:
     """A fold along each key in blocks of ordinals, in numpy where rows of several kinds have to be matched in order.
 
-    `facts` sums up a block on its own (one row of `facts_ddl`); `link` turns these few rows into what each block enters with, with windows over a key's blocks; `finish` gets a block's rows
-    with its entry, and gives the result. The input is evaluated once and written; a block, at most `block` ordinals of a key, is what a task holds. Blocks for which `link` has no row are left out.
+    `facts` sums up each block on its own (one row of `facts_ddl` for each, in their order); `link` turns these few rows into what each block enters with, with windows over a key's blocks; `finish` gets
+    the blocks' rows with their entries (arrays over blocks, NaN for NULL where a column has any), and gives the result. Both get the rows of many blocks at once, with the number of the block in grouped.GROUP, as keys can be
+    many and small; blocks are numbered from 0, and results name theirs. The input is evaluated once and written; a block, at most `block` ordinals of a key, is what a task holds. Blocks for which `link` has no row are left out.
     """
     keys = list(keys)
+
+    def summed(g: dict) -> dict:
+        return facts(g) | {grouped.GROUP: np.arange(g[grouped.GROUP][-1] + 1)}
+
     held = checkpointed(rows.withColumn(_BLK, F.floor(F.col(ordinal) / F.lit(block)).cast("long")))
-    entries = link(checkpointed(grouped.map_groups(held, [*keys, _BLK], ordinal, facts, facts_ddl)))
+    entries = link(checkpointed(grouped.map_groups(held, [*keys, _BLK], ordinal, summed, facts_ddl, together=True)))
     names = [c for c in entries.columns if c not in (*keys, _BLK)]
     typed = {f.name: f.dataType for f in held.schema}
     lead = entries.select(*keys, _BLK, *names, F.lit(True).alias("__entry"), *[F.lit(None).cast(t).alias(c) for c, t in typed.items() if c not in (*keys, _BLK, ordinal)], (F.col(_BLK) * block - 1).cast(typed[ordinal]).alias(ordinal))
     body = held.select("*", F.lit(False).alias("__entry"), *[F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in names])
 
     def run(g: dict) -> dict | None:
-        at = np.flatnonzero(g["__entry"].astype(bool))
-        if not len(at):
+        lead, group = g["__entry"].astype(bool), g[grouped.GROUP]
+        if not lead.any():
             return None
-        entry = {c: None if g[c][at[0]] is None or g[c][at[0]] != g[c][at[0]] else int(g[c][at[0]]) for c in names}
-        rest = {c: np.delete(v, at) for c, v in g.items() if c not in names and c != "__entry"}
-        return finish(rest, entry) if len(rest[ordinal]) else None
-
-    return grouped.map_groups(body.unionByName(lead), [*keys, _BLK], ordinal, run, out_ddl, keep=keys)
+        known = group[lead]  # blocks with an entry; one each
+        entry = {c: g[c][lead] for c in names}
+        mine = ~lead & np.isin(group, known)
+        rest = {c: v[mine] for c, v in g.items() if c not in names and c not in ("__entry", grouped.GROUP)}
+        out = finish(rest | {grouped.GROUP: np.searchsorted(known, group[mine])}, entry) if mine.any() else None
+        return None if out is None else out | {grouped.GROUP: known[out[grouped.GROUP]]}
+
+    return grouped.map_groups(body.unionByName(lead), [*keys, _BLK], ordinal, run, out_ddl, keep=keys, together=True)

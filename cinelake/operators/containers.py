@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cinelake import rules as R
 from cinelake.functions import binary as B, generate, grouped, ordered, rational
+from cinelake.functions.grouped import GROUP
 from cinelake.operators import boxes
 from cinelake.session import checkpointed
 
@@ -384,15 +385,15 @@ def resolve_samples(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Seq
     sample numbers, the bytes of all samples before it and the chunk that goes on into it. Offset = the chunk's offset + running size at the sample - running size at the chunk's first sample,
     so samples are neither expanded from chunks nor matched with them, and runs only where their samples are asked for.
     """
-    keys = list(keys)
+    keys, block = list(keys), ordered.BLOCK
     chunks = checkpointed(chunk_samples(stsc, stco, keys))
     covered = _coverage(chunks, stsz, keys).where("__room >= __need").select(*keys)
     count = F.col("count") if "count" in stsz.columns else F.lit(1)
     runs = stsz.select(*keys, F.col("sample_no").cast("long").alias("at"), count.cast("long").alias("n"), F.col("size").cast("long").alias("size")).where("n > 0")
     if "count" in stsz.columns:  # runs end with their block
-        edges = F.explode(F.sequence(rational.int_div(F.col("at"), F.lit(ordered.BLOCK)), rational.int_div(F.col("at") + F.col("n") - 1, F.lit(ordered.BLOCK))))
+        edges = F.explode(F.sequence(rational.int_div(F.col("at"), F.lit(block)), rational.int_div(F.col("at") + F.col("n") - 1, F.lit(block))))
         runs = runs.select("*", edges.alias("__e"))
-        low, high = F.greatest("at", F.col("__e") * ordered.BLOCK), F.least(F.col("at") + F.col("n"), (F.col("__e") + 1) * ordered.BLOCK)
+        low, high = F.greatest("at", F.col("__e") * block), F.least(F.col("at") + F.col("n"), (F.col("__e") + 1) * block)
         runs = runs.select(*keys, low.alias("at"), (high - low).alias("n"), "size")
     none, listed = F.lit(None).cast("long"), wanted is not None
     rows = runs.select(*keys, "at", F.lit(0).alias("kind"), F.col("n").alias("v1"), F.col("size").alias("v2"))
@@ -402,25 +403,30 @@ def resolve_samples(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Seq
     rows = rows.join(covered, keys, "left_semi")
 
     def parts(g: dict) -> tuple:
-        order = np.lexsort((g["kind"], g["at"]))
-        at, kind, v1, v2 = (g[c][order] for c in ("at", "kind", "v1", "v2"))
-        run, chunk = kind == 0, kind == 1
+        """Runs and chunks of many blocks: places are numbers that ascend over all blocks, so that one search answers all."""
+        order = np.lexsort((g["kind"], g["at"], g[GROUP]))
+        at, kind, v1, v2, group = (g[c][order] for c in ("at", "kind", "v1", "v2", GROUP))
+        run, chunk, blocks = kind == 0, kind == 1, int(group[-1]) + 1
         first, n, size = at[run], v1[run].astype(np.int64), v2[run].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(n * size)])
+        place = lambda x, of: of * block + x % block
+        places, lows = place(first, group[run]), np.searchsorted(group[run], np.arange(blocks + 1))
 
-        def before(x: np.ndarray) -> np.ndarray:
-            i = np.searchsorted(first, x, side="right") - 1
-            i, has = np.maximum(i, 0), i >= 0
-            return np.where(has, total[i] + np.minimum(x - first[i], n[i]) * size[i], 0) if len(first) else np.zeros(len(x), np.int64)
+        def before(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+            i = np.searchsorted(places, place(x, of), side="right") - 1
+            has, i = i >= lows[of], np.maximum(i, 0)
+            return np.where(has, total[i] - total[lows[of]] + np.minimum(x - first[i], n[i]) * size[i], 0) if len(first) else np.zeros(len(x), np.int64)
 
         starts, offsets, numbers = at[chunk], v1[chunk].astype(np.int64), v2[chunk].astype(np.int64)
-        return at, kind, first, n, size, total, before, starts, offsets, numbers
+        return at, kind, group, first, n, size, total, lows, place, before, starts, offsets - before(starts, group[chunk]), numbers
 
     def facts(g: dict) -> dict:
-        *_, total, before, starts, offsets, numbers = parts(g)
-        last = slice(-1, None) if len(starts) else slice(0, 0)
-        pad = lambda x: x.astype(object) if len(x) else np.array([None], object)
-        return {"total": total[-1:], "base": pad(offsets[last] - before(starts[last])), "number": pad(numbers[last])}
+        _, kind, group, *_, total, lows, _, _, _, bases, numbers = parts(g)
+        ends = np.searchsorted(group[kind == 1], np.arange(len(lows)))
+        some, last = np.diff(ends) > 0, ends[1:] - 1
+        base, number = np.full(len(some), None, object), np.full(len(some), None, object)
+        base[some], number[some] = bases[last[some]], numbers[last[some]]
+        return {"total": total[lows[1:]] - total[lows[:-1]], "base": base, "number": number}
 
     def link(blocks: DataFrame) -> DataFrame:
         earlier = W.partitionBy(*keys).orderBy(ordered.BLOCK_COLUMN).rowsBetween(W.unboundedPreceding, -1)
@@ -429,18 +435,26 @@ def resolve_samples(stsc: DataFrame, stco: DataFrame, stsz: DataFrame, keys: Seq
         return blocks.withColumn("chunk_in", carried).select(*keys, ordered.BLOCK_COLUMN, "size_in", F.col("chunk_in.base").alias("base_in"), F.col("chunk_in.number").alias("number_in"))
 
     def finish(g: dict, entry: dict) -> dict | None:
-        at, kind, first, n, size, total, before, starts, offsets, numbers = parts(g)
-        ask = at[kind == 2] if listed else np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        own = np.searchsorted(first, ask, side="right") - 1
-        there = (own >= 0) & (ask < first[np.maximum(own, 0)] + n[np.maximum(own, 0)]) if len(first) else np.zeros(len(ask), bool)
-        ask, own = ask[there], own[there]
+        at, kind, group, first, n, size, total, lows, place, before, starts, bases, numbers = parts(g)
+        run, chunk = group[kind == 0], group[kind == 1]
+        if listed:
+            ask, of = at[kind == 2], group[kind == 2]
+            own = np.searchsorted(place(first, run), place(ask, of), side="right") - 1
+            there = (own >= lows[of]) & (ask < (first + n)[np.maximum(own, 0)]) if len(first) else np.zeros(len(ask), bool)
+            ask, of, own = ask[there], of[there], own[there]
+        else:
+            own = np.repeat(np.arange(len(first)), n)
+            ask, of = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n), run[own]
         if not len(ask):
             return None
-        bases = np.concatenate([[entry["base_in"] or 0], offsets - before(starts) - entry["size_in"]])
-        which = np.searchsorted(starts, ask, side="right")
-        return {"chunk_no": np.concatenate([[entry["number_in"] or 0], numbers])[which], "sample_no": ask, "size": size[own], "sample_offset": bases[which] + entry["size_in"] + before(ask)}
+        whole = lambda c: np.array([0 if v is None or v != v else int(v) for v in entry[c].tolist()], np.int64)
+        size_in, base_in, number_in = whole("size_in"), whole("base_in"), whole("number_in")
+        which = np.searchsorted(place(starts, chunk), place(ask, of), side="right") - 1
+        inside = which >= np.searchsorted(chunk, np.arange(len(lows)))[of]
+        pick = lambda own_one, came: np.where(inside, own_one[np.maximum(which, 0)], came[of]) if len(starts) else came[of]
+        return {"chunk_no": pick(numbers, number_in), "sample_no": ask, "size": size[own], "sample_offset": pick(bases - size_in[chunk], base_in) + size_in[of] + before(ask, of), GROUP: of}
 
-    return ordered.two_pass(rows, keys, "at", facts, "total bigint, base bigint, number bigint", link, finish, "chunk_no bigint, sample_no bigint, size bigint, sample_offset bigint")
+    return ordered.two_pass(rows, keys, "at", facts, "total bigint, base bigint, number bigint", link, finish, "chunk_no bigint, sample_no bigint, size bigint, sample_offset bigint", block)
 
 
 def _coverage(placed: DataFrame, stsz: DataFrame, keys: list[str]) -> DataFrame:
@@ -457,14 +471,20 @@ def chunk_samples(stsc: DataFrame, stco: DataFrame, keys: Sequence[str]) -> Data
     rows = rows.unionByName(stsc.select(*keys, F.col("first_chunk").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("samples_per_chunk").cast("long").alias("v")))
 
     def parts(g: dict) -> tuple:
-        order = np.lexsort((g["kind"], g["at"]))
-        at, run, v = g["at"][order], g["kind"][order] == 0, g["v"][order].astype(np.int64)
-        return at[~run], v[~run], v[run], np.searchsorted(at[run], at[~run], side="right")
+        """Chunks and runs of many blocks: how many runs a chunk has before it, over all blocks, and whether one of them is of its own block."""
+        order = np.lexsort((g["kind"], g["at"], g[GROUP]))
+        at, run, v, group = g["at"][order], g["kind"][order] == 0, g["v"][order].astype(np.int64), g[GROUP][order]
+        which = np.cumsum(run)[~run]
+        low = np.searchsorted(group[run], np.arange(int(group[-1]) + 2))
+        return at[~run], v[~run], group[~run], v[run], which, which > low[group[~run]], low
 
     def facts(g: dict) -> dict:
-        _, _, counts, which = parts(g)
-        ends = [counts[0], counts[-1]] if len(counts) else [None, None]
-        return {"lead": np.array([(which == 0).sum()]), "rest": np.array([counts[which[which > 0] - 1].sum()]), "first_run": np.array(ends[:1], object), "last_run": np.array(ends[1:], object)}
+        _, _, group, counts, which, own, low = parts(g)
+        some, rest = np.diff(low) > 0, np.zeros(len(low) - 1, np.int64)
+        np.add.at(rest, group[own], counts[which[own] - 1])
+        first, last = np.full(len(some), None, object), np.full(len(some), None, object)
+        first[some], last[some] = counts[low[:-1][some]], counts[low[1:][some] - 1]
+        return {"lead": np.bincount(group[~own], minlength=len(some)), "rest": rest, "first_run": first, "last_run": last}
 
     def link(blocks: DataFrame) -> DataFrame:
         over = W.partitionBy(*keys).orderBy(ordered.BLOCK_COLUMN)
@@ -474,11 +494,14 @@ def chunk_samples(stsc: DataFrame, stco: DataFrame, keys: Sequence[str]) -> Data
         return blocks.select(*keys, ordered.BLOCK_COLUMN, "run_in", F.coalesce(F.sum(F.col("lead") * F.col("run_in") + F.col("rest")).over(earlier), _zero()).alias("first_in"))
 
     def finish(g: dict, entry: dict) -> dict | None:
-        at, offsets, counts, which = parts(g)
+        at, offsets, group, counts, which, own, _ = parts(g)
         if not len(at):
             return None
-        per = np.concatenate([[entry["run_in"]], counts])[which].astype(np.int64)
-        return {"chunk_no": at, "offset": offsets, "samples_per_chunk": per, "first_sample": entry["first_in"] + np.cumsum(per) - per}
+        per = entry["run_in"].astype(np.int64)[group]
+        per[own] = counts[which[own] - 1]
+        passed = np.cumsum(per) - per
+        first = passed - passed[np.searchsorted(group, group)]  # from the first chunk of the block
+        return {"chunk_no": at, "offset": offsets, "samples_per_chunk": per, "first_sample": entry["first_in"].astype(np.int64)[group] + first, GROUP: group}
 
     return ordered.two_pass(rows, keys, "at", facts, "lead bigint, rest bigint, first_run bigint, last_run bigint", link, finish, "chunk_no bigint, offset bigint, samples_per_chunk bigint, first_sample bigint", block=1 << 20)  # chunk numbers can be sparse
 

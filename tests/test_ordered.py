@@ -2,8 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from cinelake.functions import ordered, rational
 
@@ -63,3 +64,27 @@ def test_parse_rate(spark):
     df = spark.createDataFrame([("30000/1001",), ("0/1",), ("1/0",), ("x",), ("5",), ("9999999999/1",)], "t string")
     got = [None if r.r is None else tuple(r.r) for r in df.select(rational.parse_rate(F.col("t")).alias("r")).collect()]
     assert got == [(30000, 1001), None, None, None, None, None]
+
+
+def test_small_blocks_are_folded_together(spark):
+    from cinelake.functions import grouped
+
+    rows = spark.createDataFrame([(k, i, k + i) for k in range(200) for i in range(10)], "k long, i long, v long").repartition(1)
+    calls = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def facts(g):
+        return {"total": np.bincount(g[grouped.GROUP], g["v"]).astype(np.int64), "blocks": np.full(g[grouped.GROUP][-1] + 1, g[grouped.GROUP][-1] + 1)}
+
+    def link(blocks):
+        earlier = W.partitionBy("k").orderBy(ordered.BLOCK_COLUMN).rowsBetween(W.unboundedPreceding, -1)
+        return blocks.select("k", ordered.BLOCK_COLUMN, F.coalesce(F.sum("total").over(earlier), F.lit(0)).cast("long").alias("came"), "blocks").where("k % 5 <> 0")
+
+    def finish(g, entry):
+        group = g[grouped.GROUP]
+        passed = np.cumsum(g["v"]).astype(np.int64)
+        first = np.searchsorted(group, group)
+        return {"i": g["i"], "sum": entry["came"].astype(np.int64)[group] + passed - passed[first] + g["v"][first].astype(np.int64), "blocks": entry["blocks"].astype(np.int64)[group], grouped.GROUP: group}
+
+    got = ordered.two_pass(rows, ["k"], "i", facts, "total bigint, blocks bigint", link, finish, "i bigint, sum bigint, blocks bigint", block=4).collect()
+    assert {(r.k, r.i): r.sum for r in got} == {(k, i): sum(k + j for j in range(i + 1)) for k in range(200) if k % 5 for i in range(10)}
+    assert max(r.blocks for r in got) > 600 / int(calls) / 4  # 600 blocks, and not a call for each
